@@ -1,0 +1,4 @@
+"""No streaming operators: every input of the covered analytics is a bounded batch.
+
+Look-back windows relative to a batch reference date live in ``operators.customer``.
+"""
