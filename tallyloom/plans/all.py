@@ -1,3 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
 from tallyloom.plans import customer  # noqa: F401
+from tallyloom.plans import graph  # noqa: F401
