@@ -50,6 +50,22 @@ def bucket_of(value: Column, cuts: Sequence, first: int = 0) -> Column:
     )
 
 
+def group_buckets(df: DataFrame, value: str, groups: Sequence[str], buckets: int, limit: int = 5000):
+    """Rows with ``_bucket`` from cuts of their own group, or None beyond ``limit`` groups.
+
+    For few, large groups whose values lie in different ranges. The cut table is fetched with
+    a limit, so what is broadcast is at most ``limit`` short arrays.
+    """
+    fractions = [i / buckets for i in range(1, buckets)]
+    cuts = df.groupBy(*groups).agg(F.percentile_approx(value, fractions, 10 * buckets).alias("_cuts"))
+    rows = cuts.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return None
+    table = df.sparkSession.createDataFrame(rows, cuts.schema)
+    below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    return df.join(F.broadcast(table), list(groups)).withColumn("_bucket", below).drop("_cuts")
+
+
 def _offsets(sizes: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Running start and group total over per-bucket sizes (few rows per group)."""
     by_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
@@ -67,21 +83,30 @@ def ranked_values(
     value: str,
     groups: Sequence[str] = (),
     counted: str | None = None,
-    bucket: Column | None = None,
+    per_group: bool = False,
     buckets: int | None = None,
 ) -> DataFrame:
     """Distinct values per group with ``n`` (rows), ``before`` (rows with a smaller value) and
     ``total`` (rows of the group). Null values are left out.
 
     ``counted`` names an existing row-count column when ``df`` is already one row per value;
-    its other columns are kept then. ``bucket`` overrides the value ranges.
+    its other columns are kept then. With ``per_group`` each group has its own value ranges;
+    otherwise shared ranges bound every window by 1 / buckets of all rows.
     """
     groups = list(groups)
     df = df.where(F.col(value).isNotNull())
-    if bucket is None:
-        bucket = bucket_of(F.col(value), cut_points(df, value, buckets or bucket_count(df)))
+    buckets = buckets or bucket_count(df)
+    own = group_buckets(df, value, groups, buckets) if per_group and groups else None
+    if own is None:
+        bucket = bucket_of(F.col(value), cut_points(df, value, buckets))
+    else:
+        df, bucket = own, F.col("_bucket")
+        if counted is None:
+            df = df.select(*groups, value, "_bucket")
     if counted is None:
-        df = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
+        df = df.groupBy(*groups, value).agg(
+            F.count(F.lit(1)).alias("n"), *([F.first("_bucket").alias("_bucket")] if own is not None else [])
+        )
     elif counted != "n":
         df = df.withColumnRenamed(counted, "n")
     df = df.withColumn("_bucket", bucket)

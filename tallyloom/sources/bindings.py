@@ -420,10 +420,12 @@ scored AS (
 
 
 def second_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Another model's predictions on the same items (row_id, label, pred)."""
+    """Another model's predictions on the same items (row_id, split, label, pred)."""
     t = F.floor(F.col("o_totalprice"))
+    c = F.col("o_custkey") % 20
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("row_id"),
+        F.when(c < 14, "train").when(c < 17, "val").otherwise("test").alias("split"),
         (t % 8).cast("int").alias("label"),
         F.when(t % 5 > 1, t % 8).otherwise((t + F.col("o_custkey")) % 7).cast("int").alias("pred"),
     )
@@ -432,6 +434,7 @@ def second_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 PRED2_SQL = """
 scored2 AS (
   SELECT o_orderkey AS row_id, CAST(floor(o_totalprice) % 8 AS INT) AS label,
+         CASE WHEN o_custkey % 20 < 14 THEN 'train' WHEN o_custkey % 20 < 17 THEN 'val' ELSE 'test' END AS split,
          CAST(CASE WHEN floor(o_totalprice) % 5 > 1 THEN floor(o_totalprice) % 8
               ELSE (floor(o_totalprice) + o_custkey) % 7 END AS INT) AS pred FROM orders)
 """
