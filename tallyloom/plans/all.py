@@ -3,3 +3,4 @@
 from tallyloom.plans import customer  # noqa: F401
 from tallyloom.plans import graph  # noqa: F401
 from tallyloom.plans import evaluation, profiling, sampling  # noqa: F401
+from tallyloom.plans import retrieval  # noqa: F401

@@ -249,6 +249,8 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_type") != "SMALL", F.array("p_type")).alias("genres"),
         F.when(F.col("p_size") > 10, votes).alias("tags"),
         F.col("p_retailprice").alias("price"),
+        F.lit(None).cast("string").alias("release_date"),
+        F.concat(F.lit("img/"), key.cast("string"), F.lit(".jpg")).alias("header_image"),
         F.when(F.col("p_size") > 3, F.lit(True)).alias("windows"),
         F.when(F.col("p_size") > 30, F.lit(True)).alias("mac"),
         F.lit(None).cast("boolean").alias("linux"),
