@@ -281,12 +281,8 @@ def rank_correlation(
     Rows are first summed per distinct ``p``; its rank then enters only through those sums,
     so ranks are never joined back to the rows. Null when either side is constant.
     """
-    by_value = df.groupBy(*groups, p).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.col(y_rank)).alias("_s"),
-        F.sum(F.col(y_rank) * F.col(y_rank)).alias("_ss"),
-    )
-    ranked = ranked_values(by_value, p, groups, counted="n", per_group=per_group)
+    y = F.col(y_rank)
+    ranked = ranked_values(df, p, groups, sums={"_s": y, "_ss": y * y}, per_group=per_group)
     n, s, mid = F.col("n"), F.col("_s"), (F.col("total") + 1) / 2.0
     off = F.col("before") + (n + 1) / 2.0 - mid
     sums = ranked.groupBy(*groups).agg(

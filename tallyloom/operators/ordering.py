@@ -82,43 +82,32 @@ def ranked_values(
     df: DataFrame,
     value: str,
     groups: Sequence[str] = (),
-    counted: str | None = None,
+    sums: dict[str, Column] | None = None,
     per_group: bool = False,
     buckets: int | None = None,
 ) -> DataFrame:
     """Distinct values per group with ``n`` (rows), ``before`` (rows with a smaller value) and
     ``total`` (rows of the group). Null values are left out.
 
-    ``counted`` names an existing row-count column when ``df`` is already one row per value;
-    its other columns are kept then. With ``per_group`` each group has its own value ranges;
-    otherwise shared ranges bound every window by 1 / buckets of all rows.
+    ``sums`` adds sums over the rows of each value. With ``per_group`` each group has its own
+    value ranges; otherwise shared ranges bound every window by 1 / buckets of all rows.
     """
     groups = list(groups)
     df = df.where(F.col(value).isNotNull())
     buckets = buckets or bucket_count(df)
-    own = group_buckets(df, value, groups, buckets) if per_group and groups else None
-    if own is None:
-        bucket = bucket_of(F.col(value), cut_points(df, value, buckets))
-    else:
-        df, bucket = own, F.col("_bucket")
-        if counted is None:
-            df = df.select(*groups, value, "_bucket")
-    if counted is None:
-        df = df.groupBy(*groups, value).agg(
-            F.count(F.lit(1)).alias("n"), *([F.first("_bucket").alias("_bucket")] if own is not None else [])
-        )
-    elif counted != "n":
-        df = df.withColumnRenamed(counted, "n")
-    df = df.withColumn("_bucket", bucket)
-    inside = (
-        Window.partitionBy(*groups, "_bucket")
-        .orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, -1)
+    placed = group_buckets(df, value, groups, buckets) if per_group and groups else None
+    if placed is None:
+        placed = df.withColumn("_bucket", bucket_of(F.col(value), cut_points(df, value, buckets)))
+    keys = [*groups, "_bucket"]
+    counted = placed.groupBy(*keys, value).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(name) for name, x in (sums or {}).items()]
     )
-    local = df.withColumn("_local", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    sizes = df.groupBy(*groups, "_bucket").agg(F.sum("n").alias("_size"))
+    inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    local = counted.withColumn("_local", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    # Counted from the rows: combined before the shuffle to one row per task and range.
+    sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     return (
-        local.join(_offsets(sizes, groups), [*groups, "_bucket"])
+        local.join(_offsets(sizes, groups), keys)
         .withColumn("before", F.col("_local") + F.col("_start"))
         .drop("_local", "_start", "_bucket")
     )
@@ -137,7 +126,7 @@ def average_rank(
 def dense_index(df: DataFrame, value: str, out: str = "index") -> DataFrame:
     """Distinct non-null values of a column with their 0-based position in ascending order."""
     distinct = df.where(F.col(value).isNotNull()).select(value).distinct()
-    ranked = ranked_values(distinct.withColumn("n", F.lit(1)), value, counted="n")
+    ranked = ranked_values(distinct, value)
     return ranked.select(value, F.col("before").cast("int").alias(out))
 
 

@@ -208,17 +208,17 @@ def orders_of(spark: SparkSession, sf: str) -> DataFrame:
     return cv.order_rollup(b.order_lines(spark, sf))
 
 
-def ref_of(spark: SparkSession, sf: str):
-    """Reference date from the orders themselves: only keys and dates are read."""
-    return cv.as_of(b.order_lines(spark, sf).select("order_date"))
+def kept_orders(spark: SparkSession, sf: str):
+    """The order table, written once for plans that scan it in several branches, and the
+    reference date taken from it."""
+    orders = written(orders_of(spark, sf), "orders")
+    return orders, cv.as_of(orders)
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
     """The whole feature matrix; the order table is written once and scanned by five branches."""
-    orders = written(orders_of(spark, sf), "orders")
-    return cv.feature_matrix(
-        b.transactions(spark, sf), orders, cv.as_of(orders), YEARS, b.CATEGORIES, b.SEASONS
-    )
+    orders, ref = kept_orders(spark, sf)
+    return cv.feature_matrix(b.transactions(spark, sf), orders, ref, YEARS, b.CATEGORIES, b.SEASONS)
 
 
 # --- preparation ------------------------------------------------------------------------------
@@ -256,7 +256,8 @@ def _(spark, sf):
 SELECT cust_id, sale_id, order_date, CAST(order_revenue AS DOUBLE) AS order_revenue
 FROM ord, ref WHERE order_date >= ref.d - 180"""))
 def _(spark, sf):
-    return cv.filter_since(orders_of(spark, sf), ref_of(spark, sf), 180).select(
+    orders, ref = kept_orders(spark, sf)
+    return cv.filter_since(orders, ref, 180).select(
         "cust_id", "sale_id", "order_date", F.col("order_revenue").cast("double").alias("order_revenue")
     )
 
@@ -280,7 +281,7 @@ def _(spark, sf):
 
 @query("rfm_core", _features_sql(G_RFM, source="wide"))
 def _(spark, sf):
-    orders, ref = orders_of(spark, sf), ref_of(spark, sf)
+    orders, ref = kept_orders(spark, sf)
     out = (
         cv.customer_aggregate(orders, cv.rfm_aggregates(ref))
         .join(cv.distinct_orders(orders, ref), "cust_id")
@@ -291,7 +292,7 @@ def _(spark, sf):
 
 @query("tenure_features", _features_sql(G_TENURE, source="wide"))
 def _(spark, sf):
-    orders, ref = orders_of(spark, sf), ref_of(spark, sf)
+    orders, ref = kept_orders(spark, sf)
     out = cv.customer_aggregate(orders, cv.tenure_aggregates(ref)).join(cv.gap_statistics(orders), "cust_id")
     return _pick(out, G_TENURE)
 
@@ -303,7 +304,7 @@ def _(spark, sf):
 
 @query("yearly_split", _features_sql(G_YEARS, source="wide"))
 def _(spark, sf):
-    orders, ref = orders_of(spark, sf), ref_of(spark, sf)
+    orders, ref = kept_orders(spark, sf)
     out = cv.customer_aggregate(orders, cv.yearly_aggregates(YEARS)).join(
         cv.distinct_orders(orders, ref, YEARS), "cust_id"
     )
@@ -312,7 +313,7 @@ def _(spark, sf):
 
 @query("quarterly_split", _features_sql(G_QUARTERS, source="wide"))
 def _(spark, sf):
-    orders, ref = orders_of(spark, sf), ref_of(spark, sf)
+    orders, ref = kept_orders(spark, sf)
     out = cv.customer_aggregate(orders, cv.quarterly_aggregates(YEAR2)).join(
         cv.distinct_orders(orders, ref, quarters_of=YEAR2), "cust_id"
     )
@@ -321,7 +322,7 @@ def _(spark, sf):
 
 @query("recency_windows", _features_sql(G_LOOKBACK, source="wide"))
 def _(spark, sf):
-    orders, ref = orders_of(spark, sf), ref_of(spark, sf)
+    orders, ref = kept_orders(spark, sf)
     out = cv.customer_aggregate(orders, cv.lookback_aggregates(ref)).join(
         cv.distinct_orders(orders, ref, days=cv.LOOKBACKS), "cust_id"
     )
@@ -333,7 +334,7 @@ SELECT c_custkey AS cust_id, {', '.join(f'coalesce({c}, 0.0) AS {c}' for c in G_
        {', '.join(f'coalesce({c}, 0) AS {c}' for c in G_YEARS[1])}, monetary
 FROM customer LEFT JOIN wide ON c_custkey = cust_id"""))
 def _(spark, sf):
-    orders, ref = orders_of(spark, sf), ref_of(spark, sf)
+    orders, ref = kept_orders(spark, sf)
     split = cv.customer_aggregate(orders, [*cv.yearly_aggregates(YEARS), *cv.rfm_aggregates(ref)])
     known = cv.merge_labels(b.revenue_labels(spark, sf).select("cust_id"), split).join(
         cv.distinct_orders(orders, ref, YEARS), "cust_id", "left"
@@ -366,7 +367,7 @@ def _(spark, sf):
 @query("top_share", _features_sql((["top_brand_share"], []), source="pivoted"))
 def _(spark, sf):
     largest = cv.brand_aggregates()[1]
-    return rounded(cv.shares(b.transactions(spark, sf), ["brand"]).groupBy("cust_id").agg(largest))
+    return cv.shares(b.transactions(spark, sf), ["brand"]).groupBy("cust_id").agg(largest)
 
 
 @query("share_pivot", _features_sql(G_PIVOT, source="pivoted"))
@@ -463,8 +464,8 @@ def _(spark, sf):
 SELECT c_custkey AS cust_id, {_r('monetary', 'avg_ipt', 'brand_entropy')}, frequency, n_unique_brands
 FROM customer LEFT JOIN base ON c_custkey = cust_id"""))
 def _(spark, sf):
-    orders, tx = orders_of(spark, sf), b.transactions(spark, sf)
-    ref = ref_of(spark, sf)
+    orders, ref = kept_orders(spark, sf)
+    tx = b.transactions(spark, sf)
     everyone = b.revenue_labels(spark, sf).select("cust_id")
     parts = [
         cv.customer_aggregate(orders, cv.rfm_aggregates(ref)).select("cust_id", "monetary"),
@@ -552,7 +553,7 @@ def _(spark, sf):
 
 @query("growth_features", _features_sql(F_GROWTH))
 def _(spark, sf):
-    orders, ref = orders_of(spark, sf), ref_of(spark, sf)
+    orders, ref = kept_orders(spark, sf)
     base = cv.customer_aggregate(
         orders,
         [*cv.rfm_aggregates(ref), *cv.yearly_aggregates(YEARS), *cv.quarterly_aggregates(YEAR2)],
@@ -562,7 +563,7 @@ def _(spark, sf):
 
 @query("velocity_features", _features_sql(F_VELOCITY))
 def _(spark, sf):
-    orders, ref = orders_of(spark, sf), ref_of(spark, sf)
+    orders, ref = kept_orders(spark, sf)
     aggregates = [*cv.rfm_aggregates(ref), *cv.tenure_aggregates(ref), *cv.yearly_aggregates(YEARS),
                   *cv.lookback_aggregates(ref)]
     base = cv.customer_aggregate(orders, aggregates).join(

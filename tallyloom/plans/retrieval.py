@@ -102,7 +102,7 @@ def _(spark, sf):
 @query("text_vectorize_corpus")
 def _(spark, sf):
     docs = b.table(spark, sf, "documents").select("doc_id", "text")
-    return rt.text_vectors(docs, "text").select("doc_id", "vec")
+    return rt.text_vectors(docs, "text", features=256).select("doc_id", "vec")
 
 
 @query("rank_fallback_topk", _sql("SELECT qid, id, similarity AS score, rank FROM cand WHERE rank <= 5"))

@@ -121,8 +121,8 @@ def _full(key: str) -> str:
 @query("oof_target_encode", with_sql(TOP_SQL, FOLD_SQL, ENC_SQL, select=f"""
 SELECT cust_id, fold, {', '.join(_oof(k) for k in KEYS)} FROM d, g"""))
 def _(spark, sf):
-    rows = written(encoding_input(spark, sf), "encoding")
-    folded = sa.kfold(rows, "cust_id", 5, sa.arithmetic("cust_id", 7))
+    keyed = encoding_input(spark, sf)
+    folded = written(sa.kfold(keyed, "cust_id", 5, sa.arithmetic("cust_id", 7)), "encoding")
     out = sa.encode_out_of_fold(folded, KEYS, "y_log")
     return rounded(out.select("cust_id", "fold", *[f"te_{k}" for k in KEYS]))
 
