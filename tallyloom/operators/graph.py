@@ -128,9 +128,8 @@ def claim_pairs(
     claim: DataFrame, in_category: DataFrame, ego: str, alters: Sequence[str] | None = None
 ) -> DataFrame:
     """Claims that touch both the ego and another entity, with the category of their document."""
-    links = claim_links(claim)
-    of_ego = links.where(F.col("name") == ego).select("claim_id")
-    others = links.where(F.col("name") != ego)
+    of_ego = claim.where((F.col("actor") == ego) | (F.col("target") == ego)).select("claim_id")
+    others = claim_links(claim).where(F.col("name") != ego)
     if alters is not None:
         others = name_in(others, alters)
     return (

@@ -90,21 +90,22 @@ def _search_blocks(queries: DataFrame, items: DataFrame, k: int, exclude_self: b
         F.pmod(F.xxhash64("id"), F.col("_ni")).cast("int").alias("_ib"),
         F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)).alias("_qb"),
     )
+    # Own names on this side: both sides may come from the same table.
     asked = queries.join(sizes, "cell").select(
-        "cell", "qid", "vec",
-        F.explode(F.sequence(F.lit(0), F.col("_ni") - 1)).alias("_ib"),
-        F.pmod(F.xxhash64("qid"), F.col("_nq")).cast("int").alias("_qb"),
+        F.col("cell").alias("_qcell"), F.col("qid").alias("_qid"), F.col("vec").alias("_qvec"),
+        F.explode(F.sequence(F.lit(0), F.col("_ni") - 1)).alias("_qib"),
+        F.pmod(F.xxhash64("qid"), F.col("_nq")).cast("int").alias("_qqb"),
     )
 
     def product(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(i):
             return pd.DataFrame({"qid": [], "id": [], "cosine": []})
         return _block_best(
-            q["qid"].to_numpy(np.int64), _unit(q["vec"]), i["id"].to_numpy(str), _unit(i["vec"]), k, exclude_self
+            q["_qid"].to_numpy(np.int64), _unit(q["_qvec"]), i["id"].to_numpy(str), _unit(i["vec"]), k, exclude_self
         )
 
-    keys = ["cell", "_ib", "_qb"]
-    return asked.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInPandas(product, SCORES)
+    blocks = placed.groupBy("cell", "_ib", "_qb")
+    return asked.groupBy("_qcell", "_qib", "_qqb").cogroup(blocks).applyInPandas(product, SCORES)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:

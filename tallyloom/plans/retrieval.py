@@ -174,9 +174,10 @@ def _(spark, sf):
 
 
 @query("plain_answer", _sql("""
-SELECT qid, 'Based on your search for "vector ' || CAST(qid AS VARCHAR) || '", the closest matches are: '
-       || string_agg(name, ', ' ORDER BY rank) || '.' AS answer
-FROM card WHERE rank <= 3 GROUP BY 1""", RERANK_SQL))
+SELECT vec_id AS qid, coalesce('Based on your search for "vector ' || CAST(vec_id AS VARCHAR)
+       || '", the closest matches are: ' || names || '.', 'No games were found matching your query.') AS answer
+FROM vecs LEFT JOIN (
+  SELECT qid, string_agg(name, ', ' ORDER BY rank) AS names FROM card WHERE rank <= 3 GROUP BY 1) n ON qid = vec_id""", RERANK_SQL))
 def _(spark, sf):
     asked = b.query_vectors(spark, sf).select(
         "qid", F.concat(F.lit("vector "), F.col("qid").cast("string")).alias("query")
