@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import flag, floor0, ratio, total, year_quarter
 from tallyloom.operators.ordering import exact_quantiles
+from tallyloom.session import small_table
 
 CUST = "cust_id"
 LOOKBACKS = (90, 180, 365)
@@ -244,10 +245,6 @@ def preference_aggregates() -> list[Column]:
     return [
         _mean(F.col("web_only")).alias("web_only_rate"),
         _mean(F.col("outlet")).alias("outlet_rate"),
-        F.countDistinct("brand").alias("n_unique_brands"),
-        F.countDistinct("prod_id").alias("n_unique_products"),
-        F.countDistinct("size").alias("n_unique_sizes"),
-        F.countDistinct("color").alias("n_unique_colors"),
         _mean(F.weekday("order_date")).alias("avg_order_weekday"),
         F.stddev_samp(month).alias("std_order_month"),
         _mean(month).alias("avg_order_month"),
@@ -255,20 +252,12 @@ def preference_aggregates() -> list[Column]:
     ]
 
 
-def item_price_aggregate() -> Column:
-    """Revenue per item row; rows without revenue still count."""
-    return ratio(total(F.col("sale_revenue")), F.count(F.lit(1))).alias("avg_item_price")
-
-
-def shares(tx: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Long table of shares: customer, kind, value, n, share of the customer's known values.
-
-    Counts are taken first, so the window sees one row per customer and vocabulary entry.
-    """
+def _entries(tx: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per customer, kind and known value: the columns ``keys`` under each other, counted."""
     entries = F.explode(
         F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in keys])
     )
-    counts = (
+    return (
         tx.where(F.col(CUST).isNotNull())
         .select(CUST, entries.alias("e"))
         .select(CUST, "e.kind", "e.value")
@@ -276,9 +265,46 @@ def shares(tx: DataFrame, keys: Sequence[str]) -> DataFrame:
         .groupBy(CUST, "kind", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+
+
+def distinct_values(tx: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Distinct known values per customer for several columns (output name -> column).
+
+    Narrow key rows are counted once each; several distinct counts in one aggregate would
+    carry every column and every other sum through the same shuffle.
+    """
+    entries = _entries(tx, list(columns.values()))
+    counts = [F.count(F.when(F.col("kind") == c, 1)).alias(name) for name, c in columns.items()]
+    return entries.groupBy(CUST).agg(*counts)
+
+
+VARIETY = {
+    "n_unique_brands": "brand",
+    "n_unique_products": "prod_id",
+    "n_unique_sizes": "size",
+    "n_unique_colors": "color",
+}
+
+
+def preferences(tx: DataFrame) -> DataFrame:
+    """Rates, weekday and month statistics, and the variety of brands, products, sizes, colors."""
+    plain = customer_aggregate(tx, [*preference_aggregates(), item_price_aggregate()])
+    return plain.join(distinct_values(tx, VARIETY), CUST, "left").na.fill(0, subset=list(VARIETY))
+
+
+def item_price_aggregate() -> Column:
+    """Revenue per item row; rows without revenue still count."""
+    return ratio(total(F.col("sale_revenue")), F.count(F.lit(1))).alias("avg_item_price")
+
+
+def shares(tx: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Long table of shares: customer, kind, value, n, share of the customer's known values.
+
+    Counts are taken first, so the window sees one row per customer and vocabulary entry.
+    """
     of_customer = Window.partitionBy(CUST, "kind")
     # One shuffle by customer serves this window and the aggregate by customer that follows.
-    counts = counts.repartition(CUST)
+    counts = _entries(tx, keys).repartition(CUST)
     return counts.withColumn("share", F.col("n") / F.sum("n").over(of_customer))
 
 
@@ -446,14 +472,13 @@ def order_features(orders: DataFrame, ref: Column, years: tuple[int, int]) -> Da
 
 
 def item_features(tx: DataFrame, categories: Sequence[str], seasons: Sequence[str]) -> DataFrame:
-    """All item-grain features: one aggregate over items, one over the long share table."""
-    plain = customer_aggregate(tx, [*preference_aggregates(), item_price_aggregate()])
+    """All item-grain features: one aggregate over items, one over their keys, one over shares."""
     pivoted = shares(tx, ["brand", "category", "season"]).groupBy(CUST).agg(
         *brand_aggregates(),
         *pivot_aggregates("category", categories, "cat"),
         *pivot_aggregates("season", seasons, "season"),
     )
-    return plain.join(pivoted, CUST, "left")
+    return preferences(tx).join(pivoted, CUST, "left")
 
 
 def feature_matrix(
@@ -483,5 +508,5 @@ def zero_fill(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def lookup(df: DataFrame, key: str, table: DataFrame, value: str, default: Column) -> DataFrame:
     """Attach ``value`` of a one-row-per-key table; unmatched keys get the default."""
-    found = df.join(table.select(key, value), key, "left")
+    found = df.join(small_table(table.select(key, value)), key, "left")
     return found.withColumn(value, F.coalesce(F.col(value), default))

@@ -199,15 +199,18 @@ def exact_quantiles(
 
     if not groups:
         return by_ranges(df)
+    usual = lambda part: part.groupBy(*groups).agg(
+        *[F.percentile("_value", q).alias(name) for name, q in quantiles.items()]
+    )
     large = (
         df.groupBy(*groups)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") > group_limit)
         .select(*groups)
     )
-    usual = (
-        df.join(F.broadcast(large), groups, "left_anti")
-        .groupBy(*groups)
-        .agg(*[F.percentile("_value", q).alias(name) for name, q in quantiles.items()])
+    if large.isEmpty():
+        return usual(df)
+    large = F.broadcast(large)
+    return usual(df.join(large, groups, "left_anti")).unionByName(
+        by_ranges(df.join(large, groups, "left_semi"))
     )
-    return usual.unionByName(by_ranges(df.join(F.broadcast(large), groups, "left_semi")))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import ratio
 from tallyloom.operators.ordering import dense_index
+from tallyloom.session import small_table
 
 # Luma weights of red, green, blue in a gray value (fixed values, ITU-R 601).
 LUMA = (0.299, 0.587, 0.114)
@@ -44,7 +45,7 @@ def category_counts(df: DataFrame, category: str) -> DataFrame:
 def frequent_only(df: DataFrame, category: str, min_samples: int) -> DataFrame:
     """Rows of categories with at least ``min_samples`` rows."""
     kept = category_counts(df, category).where(F.col("n") >= min_samples)
-    return df.join(kept, category, "left_semi")
+    return df.join(small_table(kept), category, "left_semi")
 
 
 def balance_summary(df: DataFrame, category: str) -> DataFrame:

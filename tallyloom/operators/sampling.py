@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.ordering import dense_index, numbered
+from tallyloom.session import small_table
 
 # Modulus and multipliers of the arithmetic key (fixed values; the modulus is prime).
 PRIME, STEP, SHIFT = 1_000_003, 7_919, 104_729
@@ -89,28 +90,50 @@ def sample_total(df: DataFrame, row_id: str, n: int, order: Shuffle) -> DataFram
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Adds 1 / class size to every row, from a class table instead of a window over the class."""
     sizes = df.groupBy(label).agg((F.lit(1.0) / F.count(F.lit(1))).alias("weight"))
-    return df.join(sizes, label)
+    return df.join(small_table(sizes), label)
 
 
-def balanced_resample(df: DataFrame, label: str, row_id: str, class_draw: Column, item_draw: Column,
-                      order: Shuffle) -> DataFrame:
+def balanced_resample(
+    df: DataFrame,
+    label: str,
+    row_id: str,
+    class_draw: Column,
+    item_draw: Column,
+    order: Shuffle,
+    draws_per_copy: int = 100_000,
+) -> DataFrame:
     """As many draws with replacement as there are rows; every class is equally likely.
 
     Each row stands for one draw (``draw_id``): ``class_draw`` (a non-negative whole number)
     picks the class, ``item_draw`` the item inside it. Weights of 1 / class size give every
-    class the same total, which is what this draws.
+    class the same total, which is what this draws. The few items of a rare class are drawn
+    very often: they are copied so that about ``draws_per_copy`` draws meet each copy.
     """
-    items = numbered(df, order.key, row_id, [label], order.range).drop("total")
-    classes = dense_index(df, label, "_class").join(
-        df.groupBy(label).agg(F.count(F.lit(1)).alias("_size")), label
+    n = df.count()
+    sizes = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
+    k = sizes.count()
+    copies = F.ceil(F.lit(float(n)) / (F.lit(float(k * draws_per_copy)) * F.col("_size"))).cast("int")
+    classes = small_table(
+        dense_index(sizes, label, "_class").join(sizes, label).withColumn("_copies", copies)
+    )
+    items = (
+        numbered(df, order.key, row_id, [label], order.range)
+        .drop("total")
+        .join(classes.select(label, "_copies"), label)
+        .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+        .drop("_copies")
     )
-    k = df.agg(F.countDistinct(label)).scalar()
     draws = (
         df.select(F.col(row_id).alias("draw_id"), (class_draw % k).cast("int").alias("_class"), item_draw.alias("_item"))
         .join(classes, "_class")
-        .select("draw_id", label, (F.col("_item") % F.col("_size") + 1).alias("rn"))
+        .select(
+            "draw_id",
+            label,
+            (F.col("_item") % F.col("_size") + 1).alias("rn"),
+            F.pmod(F.xxhash64("draw_id"), F.col("_copies")).cast("int").alias("_copy"),
+        )
     )
-    return draws.join(items, [label, "rn"]).drop("rn")
+    return draws.join(items, [label, "rn", "_copy"]).drop("rn", "_copy")
 
 
 # --- target encoding --------------------------------------------------------------------------
@@ -125,35 +148,49 @@ def global_mean(df: DataFrame, target: str) -> Column:
     return df.agg(_mean(F.sum(F.col(target).cast(EXACT)), F.count(target))).scalar()
 
 
-def encode_out_of_fold(df: DataFrame, keys: Sequence[str], target: str, fold: str = "fold") -> DataFrame:
-    """Adds te_<key>: the mean target of the key's rows in the other folds.
+def _key_sums(df: DataFrame, keys: Sequence[str], target: str, by: Sequence[str]) -> DataFrame:
+    """Sum and count of the target per key column, known key and ``by``: all keys in one pass."""
+    entries = F.explode(
+        F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in keys])
+    )
+    return (
+        df.select(entries.alias("e"), target, *by)
+        .where(F.col("e.value").isNotNull())
+        .groupBy("e.kind", "e.value", *by)
+        .agg(F.sum(F.col(target).cast(EXACT)).alias("_s"), F.count(target).alias("_n"))
+    )
 
-    One aggregate per key: totals minus the own fold. Unknown or missing keys get the global mean.
-    """
-    out, fallback = df, global_mean(df, target)
+
+def _attach(df: DataFrame, keys: Sequence[str], means: DataFrame, by: Sequence[str], default: Column) -> DataFrame:
+    """Adds te_<key> for every key from the long table of means; unknown keys get the default."""
+    means, out = small_table(means), df
     for key in keys:
-        of_key = Window.partitionBy(key)
-        s, n = F.col("_s"), F.col("_n")
-        table = (
-            df.where(F.col(key).isNotNull())
-            .groupBy(key, fold)
-            .agg(F.sum(F.col(target).cast(EXACT)).alias("_s"), F.count(target).alias("_n"))
-            .select(key, fold, _mean(F.sum(s).over(of_key) - s, F.sum(n).over(of_key) - n).alias(f"te_{key}"))
-        )
-        out = out.join(table, [key, fold], "left").withColumn(
-            f"te_{key}", F.coalesce(F.col(f"te_{key}"), fallback)
+        own = means.where(F.col("kind") == key).select(
+            F.col("value").alias("_value"), *[F.col(c).alias(f"_{c}") for c in by], F.col("mean").alias(f"te_{key}")
         )
+        match = F.col(key).cast("string") == F.col("_value")
+        for c in by:
+            match = match & (F.col(c) == F.col(f"_{c}"))
+        out = out.join(own, match, "left").drop("_value", *[f"_{c}" for c in by])
+        out = out.withColumn(f"te_{key}", F.coalesce(F.col(f"te_{key}"), default))
     return out
 
 
+def encode_out_of_fold(df: DataFrame, keys: Sequence[str], target: str, fold: str = "fold") -> DataFrame:
+    """Adds te_<key>: the mean target of the key's rows in the other folds.
+
+    One aggregate for all keys: totals minus the own fold. Unknown or missing keys get the
+    global mean.
+    """
+    of_key = Window.partitionBy("kind", "value")
+    s, n = F.col("_s"), F.col("_n")
+    means = _key_sums(df, keys, target, [fold]).select(
+        "kind", "value", fold, _mean(F.sum(s).over(of_key) - s, F.sum(n).over(of_key) - n).alias("mean")
+    )
+    return _attach(df, keys, means, [fold], global_mean(df, target))
+
+
 def encode_full(train: DataFrame, df: DataFrame, keys: Sequence[str], target: str) -> DataFrame:
     """Adds te_<key> to ``df``: the mean target of the key over all training rows."""
-    out, fallback = df, global_mean(train, target)
-    for key in keys:
-        table = (
-            train.where(F.col(key).isNotNull())
-            .groupBy(key)
-            .agg(_mean(F.sum(F.col(target).cast(EXACT)), F.count(target)).alias(f"te_{key}"))
-        )
-        out = out.join(table, key, "left").withColumn(f"te_{key}", F.coalesce(F.col(f"te_{key}"), fallback))
-    return out
+    means = _key_sums(train, keys, target, []).select("kind", "value", _mean(F.col("_s"), F.col("_n")).alias("mean"))
+    return _attach(df, keys, means, [], global_mean(train, target))

@@ -349,7 +349,7 @@ def _(spark, sf):
 
 @query("product_preferences", _features_sql(G_PREFS, source="items"))
 def _(spark, sf):
-    return _pick(cv.customer_aggregate(b.transactions(spark, sf), cv.preference_aggregates()), G_PREFS)
+    return _pick(cv.preferences(b.transactions(spark, sf)), G_PREFS)
 
 
 @query("group_share", with_sql(FEAT_SQL, select="""
@@ -471,7 +471,7 @@ def _(spark, sf):
         cv.customer_aggregate(orders, cv.rfm_aggregates(ref)).select("cust_id", "monetary"),
         cv.distinct_orders(orders, ref),
         cv.gap_statistics(orders).select("cust_id", "avg_ipt"),
-        cv.customer_aggregate(tx, [F.countDistinct("brand").alias("n_unique_brands")]),
+        cv.distinct_values(tx, {"n_unique_brands": "brand"}),
         cv.shares(tx, ["brand"]).groupBy("cust_id").agg(cv.brand_aggregates()[0]),
     ]
     for part in parts:

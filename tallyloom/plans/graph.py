@@ -90,7 +90,8 @@ SELECT l.name, entity_type, (SELECT count(*) FROM mention m WHERE m.name = l.nam
 FROM (SELECT unnest([{_list(SELECTED + ['nobody'])}]) AS name) l LEFT JOIN entity e ON l.name = e.name"""))
 def _(spark, sf):
     names = g.literal_rows(spark, "name", SELECTED + ["nobody"])
-    docs = b.mentions(spark, sf).groupBy("name").agg(F.count(F.lit(1)).alias("docs"))
+    found = g.name_in(b.mentions(spark, sf), SELECTED)
+    docs = found.groupBy("name").agg(F.count(F.lit(1)).alias("docs"))
     return (
         names.join(b.entities(spark, sf), "name", "left")
         .join(docs, "name", "left")
@@ -316,7 +317,7 @@ def _(spark, sf):
     """The selected nodes, classified, with the documents each appears in."""
     chosen = g.literal_rows(spark, "name", [EGO] + SELECTED + SELECTED_CATEGORIES)
     docs = (
-        b.mentions(spark, sf).groupBy("name").agg(F.count(F.lit(1)).alias("docs"))
+        g.name_in(b.mentions(spark, sf), [EGO] + SELECTED).groupBy("name").agg(F.count(F.lit(1)).alias("docs"))
         .unionByName(
             g.docs_per_category(b.in_category(spark, sf)).select(
                 F.col("category").alias("name"), F.col("documents").alias("docs")

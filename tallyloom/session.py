@@ -59,6 +59,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_table(df: DataFrame, limit: int = 50_000) -> DataFrame:
+    """A lookup table whose size is checked: up to ``limit`` rows are fetched once and come back
+    as local rows, whose exact size lets Catalyst broadcast them under its usual threshold.
+
+    A larger table is returned as it is and joins by shuffle, where adaptive execution splits
+    skewed keys.
+    """
+    rows = df.limit(limit + 1).collect()
+    return df if len(rows) > limit else df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def bucket_count(df: DataFrame) -> int:
     """How many pieces to split a hot group into: follows the session's shuffle width."""
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))

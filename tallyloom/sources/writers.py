@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +24,14 @@ def write_report(df: DataFrame, path: str) -> str:
 
 
 def upsert(base: DataFrame, updates: DataFrame, key: str, version: str) -> DataFrame:
-    """Insert or replace by id: the row with the highest version of each id stays.
+    """Insert or replace by id: the row with the highest version of each id stays, an update
+    before a base row of the same version. Updates hold an id and version at most once.
 
     An aggregate, not a window: copies of one id are reduced before the shuffle.
     """
-    rest: Sequence[str] = [c for c in base.columns if c not in (key, version)]
-    newest = F.max(F.struct(version, *rest)).alias("_row")
-    merged = base.unionByName(updates).groupBy(key).agg(newest).select(key, "_row.*")
-    return merged.select(base.columns)
+    rest = [c for c in base.columns if c not in (key, version)]
+    both = base.withColumn("_new", F.lit(0)).unionByName(updates.withColumn("_new", F.lit(1)))
+    merged = both.groupBy(key).agg(
+        F.max(version).alias(version), F.max_by(F.struct(*rest), F.struct(version, "_new")).alias("_row")
+    )
+    return merged.select(key, version, "_row.*").select(base.columns)

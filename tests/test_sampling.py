@@ -54,9 +54,10 @@ def test_weights_sum_to_one_per_class(rows):
     assert all(r.s == pytest.approx(1.0) for r in out)
 
 
-def test_resample_keeps_size_and_balances(rows):
+@pytest.mark.parametrize("draws_per_copy", [20, 100_000])
+def test_resample_keeps_size_and_balances(rows, draws_per_copy):
     draw = lambda seed: F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 1)
-    out = sa.balanced_resample(rows, "label", "id", draw(1), draw(2), sa.hashed("id", 3)).toPandas()
+    out = sa.balanced_resample(rows, "label", "id", draw(1), draw(2), sa.hashed("id", 3), draws_per_copy).toPandas()
     assert len(out) == 2000 and out.draw_id.is_unique
     known = {r.id: r.label for r in rows.collect()}
     assert all(known[i] == l for i, l in zip(out.id, out.label))

@@ -45,9 +45,9 @@ def test_submission_is_rounded(spark):
 def test_upsert_latest_wins(spark):
     schema = "id string, version bigint, doc string"
     base = spark.createDataFrame([("a", 1, "old"), ("b", 1, "keep"), ("c", 5, "newer")], schema)
-    new = spark.createDataFrame([("a", 2, "new"), ("d", 1, "add"), ("c", 3, "stale")], schema)
+    new = spark.createDataFrame([("a", 2, "new"), ("d", 1, "add"), ("c", 3, "stale"), ("b", 1, "same version")], schema)
     out = {r.id: r.doc for r in writers.upsert(base, new, "id", "version").collect()}
-    assert out == {"a": "new", "b": "keep", "c": "newer", "d": "add"}
+    assert out == {"a": "new", "b": "same version", "c": "newer", "d": "add"}
 
 
 def test_image_files(spark):
