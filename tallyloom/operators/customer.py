@@ -252,10 +252,10 @@ def preference_aggregates() -> list[Column]:
     ]
 
 
-def _entries(tx: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows per customer, kind and known value: the columns ``keys`` under each other, counted."""
+def _entries(tx: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Rows per customer, kind and known value: several key columns under each other, counted."""
     entries = F.explode(
-        F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in keys])
+        F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("string").alias("value")) for k, c in keys.items()])
     )
     return (
         tx.where(F.col(CUST).isNotNull())
@@ -273,8 +273,8 @@ def distinct_values(tx: DataFrame, columns: dict[str, str]) -> DataFrame:
     Narrow key rows are counted once each; several distinct counts in one aggregate would
     carry every column and every other sum through the same shuffle.
     """
-    entries = _entries(tx, list(columns.values()))
-    counts = [F.count(F.when(F.col("kind") == c, 1)).alias(name) for name, c in columns.items()]
+    entries = _entries(tx, {name: F.col(c) for name, c in columns.items()})
+    counts = [F.count(F.when(F.col("kind") == name, 1)).alias(name) for name in columns]
     return entries.groupBy(CUST).agg(*counts)
 
 
@@ -304,7 +304,7 @@ def shares(tx: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     of_customer = Window.partitionBy(CUST, "kind")
     # One shuffle by customer serves this window and the aggregate by customer that follows.
-    counts = _entries(tx, keys).repartition(CUST)
+    counts = _entries(tx, {k: F.col(k) for k in keys}).repartition(CUST)
     return counts.withColumn("share", F.col("n") / F.sum("n").over(of_customer))
 
 
@@ -329,30 +329,24 @@ def pivot_aggregates(kind: str, values: Sequence[str], prefix: str) -> list[Colu
     ]
 
 
-def top_value(tx: DataFrame, key: str, out: str, missing: str | None = None) -> DataFrame:
-    """Most frequent value per customer, the smaller value on ties."""
-    value = F.coalesce(F.col(key), F.lit(missing)) if missing else F.col(key)
-    counts = (
-        tx.select(CUST, value.alias("value"))
-        .na.drop()
-        .groupBy(CUST, "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return counts.groupBy(CUST).agg(F.min(F.struct(-F.col("n"), "value"))["value"].alias(out))
+def top_values(tx: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Most frequent known value per customer for each key, the smaller value on ties."""
+    counts = _entries(tx, keys)
+    best = [
+        F.min(F.when(F.col("kind") == name, F.struct((-F.col("n")).alias("less"), "value")))["value"].alias(name)
+        for name in keys
+    ]
+    return counts.groupBy(CUST).agg(*best)
 
 
-def top_values(tx: DataFrame, last_year: int) -> DataFrame:
-    """The encoding keys: top brand (ever, last year), top category, top fine category."""
-    parts = [
-        top_value(tx, "brand", "top_brand"),
-        top_value(tx.where(F.year("order_date") == last_year), "brand", "top_brand_y2"),
-        top_value(tx, "category", "top_cat"),
-        top_value(tx, "fine_category", "top_fine_cat", missing="unknown"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, CUST, "full")
-    return out
+def encoding_keys(last_year: int) -> dict[str, Column]:
+    """Top brand (ever, last year), top category, top fine category with a word for missing."""
+    return {
+        "top_brand": F.col("brand"),
+        "top_brand_y2": F.when(F.year("order_date") == last_year, F.col("brand")),
+        "top_cat": F.col("category"),
+        "top_fine_cat": F.coalesce("fine_category", F.lit("unknown")),
+    }
 
 
 def acquisition_cohort(df: DataFrame) -> DataFrame:

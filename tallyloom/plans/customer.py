@@ -408,12 +408,14 @@ cohort AS (
 
 @query("top_value_per_customer", with_sql(TOP_SQL, select="SELECT * FROM topv"))
 def _(spark, sf):
-    return cv.top_values(b.transactions(spark, sf), YEAR2)
+    return cv.top_values(b.transactions(spark, sf), cv.encoding_keys(YEAR2))
 
 
 @query("top1_per_group", with_sql(TOP_SQL, select="SELECT cust_id, top_fine_cat FROM topv"))
 def _(spark, sf):
-    return cv.top_value(b.transactions(spark, sf), "fine_category", "top_fine_cat", missing="unknown")
+    return cv.top_values(
+        b.transactions(spark, sf), {"top_fine_cat": cv.encoding_keys(YEAR2)["top_fine_cat"]}
+    )
 
 
 @query("acquisition_cohort", with_sql(TOP_SQL, select="SELECT cust_id, cohort_q FROM cohort"))
@@ -498,7 +500,7 @@ SELECT cust_id, top_brand, coalesce(mean_label, -1.0) AS mean_label FROM (
   FROM labels_clv JOIN topv USING (cust_id) GROUP BY 1) USING (top_brand)"""))
 def _(spark, sf):
     labels = b.revenue_labels(spark, sf)
-    keyed = cv.merge_labels(labels, cv.top_value(b.transactions(spark, sf), "brand", "top_brand"))
+    keyed = cv.merge_labels(labels, cv.top_values(b.transactions(spark, sf), {"top_brand": F.col("brand")}))
     means = (
         keyed.where(F.col("top_brand").isNotNull())
         .groupBy("top_brand")
@@ -521,7 +523,7 @@ def encoding_input(spark: SparkSession, sf: str) -> DataFrame:
     labels = b.revenue_labels(spark, sf).select(
         "cust_id", F.log1p(F.greatest("revenue_label", F.lit(0.0))).alias("y_log")
     )
-    keyed = cv.merge_labels(labels, cv.top_values(tx, YEAR2))
+    keyed = cv.merge_labels(labels, cv.top_values(tx, cv.encoding_keys(YEAR2)))
     return cv.merge_labels(keyed, cv.acquisition_cohort(b.order_lines(spark, sf)))
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = 8, memory: str = "12g") -> SparkSession:
@@ -60,14 +61,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_table(df: DataFrame, limit: int = 50_000) -> DataFrame:
-    """A lookup table whose size is checked: up to ``limit`` rows are fetched once and come back
-    as local rows, whose exact size lets Catalyst broadcast them under its usual threshold.
+    """A lookup table to broadcast, if it proves small: up to ``limit`` rows are fetched once and
+    come back as local rows with a broadcast hint.
 
     A larger table is returned as it is and joins by shuffle, where adaptive execution splits
     skewed keys.
     """
     rows = df.limit(limit + 1).collect()
-    return df if len(rows) > limit else df.sparkSession.createDataFrame(rows, df.schema)
+    if len(rows) > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def bucket_count(df: DataFrame) -> int:
