@@ -215,10 +215,17 @@ def kept_orders(spark: SparkSession, sf: str):
     return orders, cv.as_of(orders)
 
 
+def kept_transactions(spark: SparkSession, sf: str) -> DataFrame:
+    """The flat transaction table, joined and written once for plans with several item branches:
+    each branch then scans its own columns instead of repeating two fact-sized joins."""
+    return written(b.transactions(spark, sf), "transactions")
+
+
 def features(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole feature matrix; the order table is written once and scanned by five branches."""
-    orders, ref = kept_orders(spark, sf)
-    return cv.feature_matrix(b.transactions(spark, sf), orders, ref, YEARS, b.CATEGORIES, b.SEASONS)
+    """The whole feature matrix over the written transaction and order tables."""
+    tx = kept_transactions(spark, sf)
+    orders = written(cv.order_rollup(tx), "orders")
+    return cv.feature_matrix(tx, orders, cv.as_of(orders), YEARS, b.CATEGORIES, b.SEASONS)
 
 
 # --- preparation ------------------------------------------------------------------------------
@@ -349,7 +356,7 @@ def _(spark, sf):
 
 @query("product_preferences", _features_sql(G_PREFS, source="items"))
 def _(spark, sf):
-    return _pick(cv.preferences(b.transactions(spark, sf)), G_PREFS)
+    return _pick(cv.preferences(kept_transactions(spark, sf)), G_PREFS)
 
 
 @query("group_share", with_sql(FEAT_SQL, select="""
@@ -466,8 +473,9 @@ def _(spark, sf):
 SELECT c_custkey AS cust_id, {_r('monetary', 'avg_ipt', 'brand_entropy')}, frequency, n_unique_brands
 FROM customer LEFT JOIN base ON c_custkey = cust_id"""))
 def _(spark, sf):
-    orders, ref = kept_orders(spark, sf)
-    tx = b.transactions(spark, sf)
+    tx = kept_transactions(spark, sf)
+    orders = written(cv.order_rollup(tx), "orders")
+    ref = cv.as_of(orders)
     everyone = b.revenue_labels(spark, sf).select("cust_id")
     parts = [
         cv.customer_aggregate(orders, cv.rfm_aggregates(ref)).select("cust_id", "monetary"),
