@@ -12,7 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import argmax, flag, ratio, softmax
-from tallyloom.operators.ordering import average_rank, dense_index, ranked_values
+from tallyloom.operators.ordering import (
+    average_rank,
+    dense_index,
+    local_counts,
+    placed_values,
+    range_starts,
+)
 
 ERROR = "decimal(28,6)"
 
@@ -276,23 +282,40 @@ def mae_by_segment(df: DataFrame, y: str, p: str) -> DataFrame:
 def rank_correlation(
     df: DataFrame, y_rank: str, p: str, groups: Sequence[str] = (), per_group: bool = False
 ) -> DataFrame:
-    """Pearson correlation between a rank column and the tie-averaged ranks of ``p``.
+    """Pearson correlation between a rank column over the group and the tie-averaged ranks of ``p``.
 
-    Rows are first summed per distinct ``p``; its rank then enters only through those sums,
-    so ranks are never joined back to the rows. Null when either side is constant.
+    Ranks of ``p`` are taken inside value ranges; each range is summed up on its own and the
+    rows below it enter as a shift of those sums, so no rank is joined back to the rows.
+    Null when either side is constant.
     """
-    y = F.col(y_rank)
-    ranked = ranked_values(df, p, groups, sums={"_s": y, "_ss": y * y}, per_group=per_group)
-    n, s, mid = F.col("n"), F.col("_s"), (F.col("total") + 1) / 2.0
-    off = F.col("before") + (n + 1) / 2.0 - mid
-    sums = ranked.groupBy(*groups).agg(
-        F.sum("n").alias("n"),
-        F.sum(off * (s - n * mid)).alias("_cov"),
-        F.sum(n * off * off).alias("_vp"),
-        F.sum(F.col("_ss") - 2 * mid * s + n * mid * mid).alias("_vy"),
+    y, keys = F.col(y_rank), [*groups, "_bucket"]
+    placed = placed_values(df, p, groups, per_group)
+    values = local_counts(placed, p, groups, [
+        F.sum(y).alias("_s"), F.sum(y * y).alias("_ss"), F.min(y).alias("_lo"), F.max(y).alias("_hi"),
+    ])
+    n, local = F.col("n"), F.col("_local") + (F.col("n") + 1) / 2.0
+    ranges = values.groupBy(*keys).agg(
+        F.sum(n).alias("_size"),
+        F.count(F.lit(1)).alias("_values"),
+        F.sum(n * local).alias("_r"),
+        F.sum(n * local * local).alias("_rr"),
+        F.sum(local * F.col("_s")).alias("_rs"),
+        F.sum("_s").alias("_s"),
+        F.sum("_ss").alias("_ss"),
+        F.min("_lo").alias("_lo"),
+        F.max("_hi").alias("_hi"),
     )
-    rho = F.try_divide(F.col("_cov"), F.sqrt(F.col("_vp")) * F.sqrt(F.col("_vy")))
-    return sums.select(*groups, "n", rho.alias("rho"))
+    middle = (F.col("total") + 1) / 2.0
+    size, shift = F.col("_size"), F.col("_start") - middle
+    sums = range_starts(ranges, groups).groupBy(*groups).agg(
+        F.sum("_size").alias("n"),
+        F.sum(F.col("_rs") + shift * F.col("_s")).alias("_cov"),
+        F.sum(F.col("_rr") + 2 * shift * F.col("_r") + shift * shift * size).alias("_vp"),
+        F.sum(F.col("_ss") - 2 * middle * F.col("_s") + middle * middle * size).alias("_vy"),
+        ((F.sum("_values") > 1) & (F.max("_hi") > F.min("_lo"))).alias("_varies"),
+    )
+    rho = F.col("_cov") / (F.sqrt("_vp") * F.sqrt("_vy"))
+    return sums.select(*groups, "n", F.when(F.col("_varies"), rho).alias("rho"))
 
 
 def spearman(df: DataFrame, y: str, p: str, groups: Sequence[str] = ()) -> DataFrame:

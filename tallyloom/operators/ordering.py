@@ -53,61 +53,78 @@ def bucket_of(value: Column, cuts: Sequence, first: int = 0) -> Column:
 def group_buckets(df: DataFrame, value: str, groups: Sequence[str], buckets: int, limit: int = 5000):
     """Rows with ``_bucket`` from cuts of their own group, or None beyond ``limit`` groups.
 
-    For few, large groups whose values lie in different ranges. The cut table is fetched with
-    a limit, so what is broadcast is at most ``limit`` short arrays.
+    For few, large groups whose values lie in different ranges. The cuts come from a row sample
+    of about 50 rows per range, as a range partitioner takes it; they only balance the work. What
+    is broadcast is at most ``limit`` short arrays.
     """
-    fractions = [i / buckets for i in range(1, buckets)]
-    cuts = df.groupBy(*groups).agg(F.percentile_approx(value, fractions, 10 * buckets).alias("_cuts"))
-    rows = cuts.limit(limit + 1).collect()
-    if len(rows) > limit:
+    groups = list(groups)
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).limit(limit + 1).collect()
+    if len(sizes) > limit:
         return None
-    table = df.sparkSession.createDataFrame(rows, cuts.schema)
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    return df.join(F.broadcast(table), list(groups)).withColumn("_bucket", below).drop("_cuts")
-
-
-def _offsets(sizes: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Running start and group total over per-bucket sizes (few rows per group)."""
-    by_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    preceding = by_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select(
-        *groups,
-        "_bucket",
-        F.coalesce(F.sum("_size").over(preceding), F.lit(0)).alias("_start"),
-        F.sum("_size").over(by_group).alias("total"),
+    rows = sum(r["n"] for r in sizes)
+    fraction = min(1.0, 50.0 * buckets * len(sizes) / max(1, rows))
+    sample = df if fraction == 1.0 else df.sample(fraction, seed=1)
+    cuts = sample.groupBy(*groups).agg(
+        F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10 * buckets).alias("_cuts")
     )
+    table = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
+    below = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < F.col(value)))
+    return df.join(F.broadcast(table), groups, "left").withColumn("_bucket", below).drop("_cuts")
 
 
-def ranked_values(
-    df: DataFrame,
-    value: str,
-    groups: Sequence[str] = (),
-    sums: dict[str, Column] | None = None,
-    per_group: bool = False,
-    buckets: int | None = None,
+def placed_values(
+    df: DataFrame, value: str, groups: Sequence[str] = (), per_group: bool = False, buckets: int | None = None
 ) -> DataFrame:
-    """Distinct values per group with ``n`` (rows), ``before`` (rows with a smaller value) and
-    ``total`` (rows of the group). Null values are left out.
+    """Rows with a known value, and the range (``_bucket``) of their value.
 
-    ``sums`` adds sums over the rows of each value. With ``per_group`` each group has its own
-    value ranges; otherwise shared ranges bound every window by 1 / buckets of all rows.
+    With ``per_group`` each group has its own ranges, for few large groups whose values differ;
+    otherwise shared ranges bound every (group, range) by 1 / buckets of all rows.
     """
-    groups = list(groups)
     df = df.where(F.col(value).isNotNull())
     buckets = buckets or bucket_count(df)
     placed = group_buckets(df, value, groups, buckets) if per_group and groups else None
     if placed is None:
         placed = df.withColumn("_bucket", bucket_of(F.col(value), cut_points(df, value, buckets)))
+    return placed
+
+
+def local_counts(
+    placed: DataFrame, value: str, groups: Sequence[str] = (), aggregates: Sequence[Column] = ()
+) -> DataFrame:
+    """One row per (group, range, value): ``n`` rows, ``_local`` rows of the range with a smaller
+    value, and any further aggregates over the rows of the value."""
     keys = [*groups, "_bucket"]
-    counted = placed.groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(name) for name, x in (sums or {}).items()]
-    )
     inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = counted.withColumn("_local", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    counted = placed.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), *aggregates)
+    return counted.withColumn("_local", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+
+
+def range_starts(sizes: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Adds to one row per (group, range) with its ``_size``: ``_start``, the rows of lower
+    ranges, and ``total``, the rows of the group. A group has few ranges."""
+    by_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    lower = by_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumns(
+        {
+            "_start": F.coalesce(F.sum("_size").over(lower), F.lit(0)),
+            "total": F.sum("_size").over(by_group),
+        }
+    )
+
+
+def ranked_values(
+    df: DataFrame, value: str, groups: Sequence[str] = (), buckets: int | None = None
+) -> DataFrame:
+    """Distinct values per group with ``n`` (rows), ``before`` (rows with a smaller value) and
+    ``total`` (rows of the group). Null values are left out."""
+    groups = list(groups)
+    keys = [*groups, "_bucket"]
+    placed = placed_values(df, value, groups, buckets=buckets)
     # Counted from the rows: combined before the shuffle to one row per task and range.
     sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     return (
-        local.join(_offsets(sizes, groups), keys)
+        local_counts(placed, value, groups)
+        .join(range_starts(sizes, groups).drop("_size"), keys)
         .withColumn("before", F.col("_local") + F.col("_start"))
         .drop("_local", "_start", "_bucket")
     )
@@ -156,7 +173,7 @@ def numbered(
     local = df.withColumn("_local", F.row_number().over(inside))
     sizes = df.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     return (
-        local.join(_offsets(sizes, groups), [*groups, "_bucket"])
+        local.join(range_starts(sizes, groups).drop("_size"), [*groups, "_bucket"])
         .withColumn(out, F.col("_local") + F.col("_start"))
         .drop("_local", "_start", "_bucket", "_key")
     )

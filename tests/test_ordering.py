@@ -29,15 +29,24 @@ def test_average_rank_in_groups(spark, frame):
 
 
 @pytest.mark.parametrize("per_group", [True, False])
-def test_ranked_values_keeps_sums(spark, frame, per_group):
-    df = spark.createDataFrame(frame)
-    out = o.ranked_values(df, "v", ["g"], sums={"s": F.col("id")}, per_group=per_group).toPandas()
+def test_ranges_add_up_to_ranks(spark, frame, per_group):
+    placed = o.placed_values(spark.createDataFrame(frame), "v", ["g"], per_group)
+    values = o.local_counts(placed, "v", ["g"], [F.sum("id").alias("s")])
+    sizes = values.groupBy("g", "_bucket").agg(F.sum("n").alias("_size"))
+    out = values.join(o.range_starts(sizes, ["g"]), ["g", "_bucket"]).toPandas()
     want = frame.groupby(["g", "v"]).id.agg(["size", "sum"]).reset_index()
     got = out.sort_values(["g", "v"]).reset_index(drop=True)
     assert (got.n.to_numpy() == want["size"].to_numpy()).all()
     assert (got.s.to_numpy() == want["sum"].to_numpy()).all()
     before = want.groupby("g")["size"].cumsum() - want["size"]
-    assert (got.before.to_numpy() == before.to_numpy()).all()
+    assert ((got['_local'] + got['_start']).to_numpy() == before.to_numpy()).all()
+    assert (got.total == got.groupby("g").n.transform("sum")).all()
+
+
+def test_more_groups_than_the_limit_share_ranges(spark, frame):
+    df = spark.createDataFrame(frame)
+    assert o.group_buckets(df, "v", ["g"], 8, limit=3) is None
+    assert o.group_buckets(df, "v", ["g"], 8, limit=500) is not None
 
 
 @pytest.mark.parametrize("limit", [10, 100, 1_000_000])
