@@ -21,6 +21,7 @@ from tallyloom.session import small_table
 
 CUST = "cust_id"
 LOOKBACKS = (90, 180, 365)
+MONEY = "decimal(18,4)"
 ENTROPY_EPSILON = 1e-12
 
 
@@ -68,8 +69,9 @@ def order_rollup(tx: DataFrame) -> DataFrame:
         tx.na.drop(subset=keys)
         .groupBy(*keys)
         .agg(
-            total(F.col("sale_revenue")).alias("order_revenue"),
-            total(F.col("sale_discount")).alias("order_discount"),
+            # Back to long-backed decimals: compact in the order table, fast in later sums.
+            total(F.col("sale_revenue")).cast(MONEY).alias("order_revenue"),
+            total(F.col("sale_discount")).cast(MONEY).alias("order_discount"),
             F.count(F.lit(1)).alias("n_items"),
             F.max(flag(F.col("returned_to").isNotNull())).alias("has_return"),
         )

@@ -57,3 +57,15 @@ def test_linear_probe(spark):
     out = ml.linear_probe(df, "vec", "label")
     assert out.where(F.col("prediction") == F.col("label")).count() > 290
     assert len(out.first().probs) == 3
+
+
+def test_whole_revenue_run(rows):
+    from tallyloom.plans.customer_value import predict_revenue
+
+    parted = rows.withColumn("part", F.when(F.col("id") % 5 == 0, "test").otherwise("train"))
+    run = predict_revenue(parted, "id", "y", trees=3, depth=2)
+    assert sum(run.weights) == pytest.approx(1.0)
+    rhos = {r.model: r.rho for r in run.correlations.collect()}
+    assert rhos["blend"] >= max(rhos["a"], rhos["b"], rhos["c"]) - 1e-9 and rhos["blend"] > 0.7
+    assert {r.segment for r in run.errors.collect()} == {"all", "zeros", "nonzeros"}
+    assert run.submission.count() == 120 and run.submission.where("prediction < 0").count() == 0

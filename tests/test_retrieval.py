@@ -179,3 +179,21 @@ def test_text_vectors_have_unit_length(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, "a a d"), (3, "e")], "id int, text string")
     for r in rt.text_vectors(df, "text", 64).collect():
         assert np.linalg.norm(r.vec) == pytest.approx(1.0)
+
+
+def test_search_batch(spark, records):
+    from tallyloom.plans.search import search
+
+    vectors = spark.createDataFrame([("1", [1.0, 0.0]), ("2", [0.6, 0.8])], "id string, vec array<double>")
+    queries = spark.createDataFrame([(1, "up", [0.0, 1.0]), (2, "right", [1.0, 0.1])], "qid bigint, query string, vec array<double>")
+    reviews = spark.createDataFrame(
+        [("1", 1, "fine", "english", 1)], "appid string, review_id int, review string, language string, votes_up int"
+    )
+    plain = search(queries, vectors, records, reviews)
+    first = {r.qid: r.id for r in plain.matches.where("rank = 1").collect()}
+    assert first == {1: "2", 2: "1"} and plain.cards.count() == 4
+    assert '"fine"' in plain.context.where("qid = 2").first().context
+    assert plain.answers.where("qid = 2").first().answer.endswith("Alpha, Unknown title.")
+    responses = spark.createDataFrame([(1, '["1"]'), (2, "none")], "qid bigint, text string")
+    ranked = search(queries, vectors, records, reviews, responses)
+    assert {r.qid: r.id for r in ranked.matches.where("rank = 1").collect()} == {1: "1", 2: "1"}
