@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.ordering import dense_index, numbered
-from tallyloom.session import small_table
+from tallyloom.session import small_table, written
 
 # Modulus and multipliers of the arithmetic key (fixed values; the modulus is prime).
 PRIME, STEP, SHIFT = 1_000_003, 7_919, 104_729
@@ -163,9 +163,11 @@ def _key_sums(df: DataFrame, keys: Sequence[str], target: str, by: Sequence[str]
 
 def _attach(df: DataFrame, keys: Sequence[str], means: DataFrame, by: Sequence[str], default: Column) -> DataFrame:
     """Adds te_<key> for every key from the long table of means; unknown keys get the default."""
-    means, out = small_table(means), df
+    table, out = small_table(means), df
+    if table is means:
+        table = written(means, "means")  # too large to broadcast: at least computed only once
     for key in keys:
-        own = means.where(F.col("kind") == key).select(
+        own = table.where(F.col("kind") == key).select(
             F.col("value").alias("_value"), *[F.col(c).alias(f"_{c}") for c in by], F.col("mean").alias(f"te_{key}")
         )
         match = F.col(key).cast("string") == F.col("_value")

@@ -89,3 +89,9 @@ def test_full_encoding(encoded, spark):
     train, _ = encoded
     test = spark.createDataFrame([("a",), ("new",), (None,)], "k string")
     assert {r.k: r.te_k for r in sa.encode_full(train, test, ["k"], "y").collect()} == {"a": 3.0, "new": 5.0, None: 5.0}
+
+
+def test_encoding_with_more_keys_than_a_small_table(spark, encoded, monkeypatch):
+    df, te = encoded
+    monkeypatch.setattr(sa, "small_table", lambda table: table)
+    assert {r.id: r.te_k for r in sa.encode_out_of_fold(df, ["k"], "y").collect()} == te
