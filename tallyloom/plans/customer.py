@@ -25,9 +25,15 @@ INEXACT = {
 }
 
 
+def _digits(column: str) -> int:
+    """Six digits, but three for the deviation of amounts, whose last digits depend on the order
+    in which partial results are merged."""
+    return 3 if column == "std_order_val" else 6
+
+
 def _r(*columns: str) -> str:
     """Select list; + 0.0 turns a negative zero of the rounding into zero."""
-    return ", ".join(f"round({c}, 6) + 0.0 AS {c}" if c in INEXACT else c for c in columns)
+    return ", ".join(f"round({c}, {_digits(c)}) + 0.0 AS {c}" if c in INEXACT else c for c in columns)
 
 
 def _per_period(name: str, inside: str) -> str:
@@ -200,7 +206,7 @@ def _features_sql(*groups, source: str = "feat", ctes: str = FEAT_SQL) -> str:
 def _pick(df: DataFrame, *groups) -> DataFrame:
     columns = [c for doubles, whole in groups for c in doubles + whole]
     return df.select(
-        "cust_id", *[F.round(c, 6).alias(c) if c in INEXACT else F.col(c) for c in columns]
+        "cust_id", *[F.round(c, _digits(c)).alias(c) if c in INEXACT else F.col(c) for c in columns]
     )
 
 
