@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import quality, rules, secrets
+from tallyloom.llm import packing, pieces, quality, rules, secrets, tokens
 from tallyloom.llm.frames import table
 from tallyloom.plans.registry import Plan
 
@@ -23,6 +25,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file lies; TALLYLOOM_TOKENIZERS names another folder."""
+    folder = os.environ.get("TALLYLOOM_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def held_out(id_column: str = "doc_id"):
     """Rows whose crc32 of the id as text leaves remainder 1 by 3; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % 3 == 1, F.lit(False))
@@ -54,3 +66,23 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(secrets.KINDS).alias("spans")
     )
+
+
+@query("op2_token_files")
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    manifest = tokens.write_shards(docs, tokenizer_path("byte_bpe_50k.json"), "space", end_id=2)
+    return tokens.read_documents(manifest, "doc_id", tokens.crc, "ids_crc32", "long")
+
+
+@query("op7_piece_codes")
+def op7_piece_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+
+
+@query("op8_vector_packing")
+def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = packing.Limits()
+    docs = table(spark, sf_dir, "documents")
+    cut = packing.pieces(docs, tokenizer_path("word_bpe_49k.json"), "words", 1, limits.tokens, with_ids=False)
+    return packing.pack(cut, limits)
