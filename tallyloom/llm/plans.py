@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import packing, pieces, quality, rules, secrets, tokens
+from tallyloom.llm import extraction, packing, pieces, quality, rules, secrets, tokens, topk
 from tallyloom.llm.frames import table
 from tallyloom.plans.registry import Plan
 
@@ -86,3 +86,32 @@ def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cut = packing.pieces(docs, tokenizer_path("word_bpe_49k.json"), "words", 1, limits.tokens, with_ids=False)
     return packing.pack(cut, limits)
+
+
+@query(
+    "op5_block_topk",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+    ), ranked AS (
+      SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+        vec_id, score FROM scored
+    )
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
+)
+def op5_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantized(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors.where(F.col("vec_id") % 100 == 0), vectors, 10)
+
+
+@query("op6_main_text")
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    text = extraction.extract(pages, extraction.fit_weights(pages))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
