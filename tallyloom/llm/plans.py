@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import extraction, packing, pieces, quality, rules, secrets, tokens, topk
+from tallyloom.llm import extraction, ngram_join, packing, pieces, quality, rules, secrets, tokens, topk
 from tallyloom.llm.frames import table
 from tallyloom.plans.registry import Plan
 
@@ -115,3 +115,8 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     text = extraction.extract(pages, extraction.fit_weights(pages))
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op1_ngram_join")
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_groups(table(spark, sf_dir, "documents"))
