@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import extraction, ngram_join, packing, pieces, quality, rules, secrets, tokens, topk
+from tallyloom.llm import extraction, ngram_join, packing, passages, pieces, quality, rules, secrets, tokens, topk
 from tallyloom.llm.frames import table
 from tallyloom.plans.registry import Plan
 
@@ -120,3 +120,8 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_ngram_join")
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op10_repeated_passages")
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(table(spark, sf_dir, "documents"))
