@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_map(
-    df: DataFrame, columns: list[str], each: Callable[[pa.RecordBatch], Iterable[dict[str, object]]], schema: str
+    df: DataFrame, columns: list[str], each: Callable[[pa.RecordBatch], Iterable[dict[str, object]]], schema: str | StructType
 ) -> DataFrame:
     """Maps Arrow batches: ``each`` gets a batch with ``columns`` in this order and yields dicts of arrays, one per
     column of ``schema`` in its order."""

@@ -193,3 +193,16 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str =
             yield {id_column: batch.column(0).slice(first, end - first), "score": model.scores(texts)}
 
     return arrow_map(docs, [id_column, text], each, f"`{id_column}` {kind}, score double")
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores ``least`` or more, with all their columns; null texts score as empty."""
+    names = docs.columns
+    at = names.index(text)
+
+    def each(batch: pa.RecordBatch):
+        scores = [model.scores(texts) for _, _, texts in Texts.from_arrow(batch.column(at)).slices()]
+        kept = batch.filter(pa.array(np.concatenate(scores) >= least))
+        yield dict(zip(names, kept.columns))
+
+    return arrow_map(docs, names, each, docs.schema)

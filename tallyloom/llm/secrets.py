@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -147,9 +148,12 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", limits:
     return arrow_map(docs, [id_column, text], each, f"`{id_column}` {kind}, found array<struct<kind:string,start:long,end:long>>")
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", text: str = "text", limits: Novelty = Novelty()) -> DataFrame:
+def redact(
+    docs: DataFrame, mark: str = "[secret]", text: str = "text", n_chars: str | None = None, limits: Novelty = Novelty()
+) -> DataFrame:
     """``docs`` with every found span replaced by ``mark`` in ``text``; overlapping spans become one mark. All columns
-    and their order stay; rows without findings are unchanged, null texts stay null."""
+    and their order stay; rows without findings are unchanged, null texts stay null. If ``n_chars`` names a column, it
+    is counted anew in rows that change."""
     schema = docs.schema
     names = schema.names
     at = names.index(text)
@@ -157,6 +161,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", text: str = "text", limits:
     def each(batch: pa.RecordBatch):
         column = batch.column(at)
         made: list[str | None] = []
+        changed: list[bool] = []
         for _, _, texts in Texts.from_arrow(column).slices():
             for i, spans in enumerate(scan_texts(texts, limits)):
                 body, parts, upto = texts.text(i), [], 0
@@ -165,8 +170,13 @@ def redact(docs: DataFrame, mark: str = "[secret]", text: str = "text", limits:
                         parts += [body[upto:a], mark]
                     upto = max(upto, b)
                 made.append("".join(parts) + body[upto:])
+                changed.append(bool(spans))
         made = [x if ok else None for x, ok in zip(made, column.is_valid().to_pylist())]
-        yield {n: (pa.array(made, pa.string()) if i == at else batch.column(i)) for i, n in enumerate(names)}
+        out = {n: (pa.array(made, pa.string()) if i == at else batch.column(i)) for i, n in enumerate(names)}
+        if n_chars in out:
+            old = out[n_chars]
+            out[n_chars] = pc.if_else(pa.array(changed), pc.utf8_length(out[text]).cast(old.type), old)
+        yield out
 
     return arrow_map(docs, names, each, schema)
 
