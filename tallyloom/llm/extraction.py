@@ -53,6 +53,9 @@ PRIOR = {
     "tag:apart": (1, 30), "tag:content": (2, 2),
 }
 
+#: What a run of words in an element apart costs at most, and each of its tags.
+APART_COST = 1.0
+
 Weights = dict[str, float]
 
 
@@ -158,7 +161,7 @@ def parse(page: str) -> list[tuple[str, str, int, int]]:
             kind = "item"
         else:
             kind = "block" if is_block else "inline"
-        out.append((f"tag:{kind}", "", block, content))
+        out.append((f"tag:{kind}", " " if tag == "br" else "", block, content))
     return out
 
 
@@ -180,6 +183,8 @@ def extract_text(page: str | None, weights: Weights) -> str:
     """The main text: blocks in page order, joined by two newlines; empty if there is none."""
     tokens = parse(page or "")
     scores = [weights.get(kind, 0.0) * (len(text.split()) if kind[0] == "w" else 1) for kind, text, _, _ in tokens]
+    # words apart never reach the text, so a run of them may cost a region no more than a gap
+    scores = [max(x, -APART_COST) if kind.endswith("apart") else x for x, (kind, *_) in zip(scores, tokens)]
     first, end = best_region(scores)
     if first == end:
         return ""
@@ -193,10 +198,10 @@ def extract_text(page: str | None, weights: Weights) -> str:
     parts: dict[int, list[str]] = {}
     for kind, text, block, _ in chosen:
         if kind[0] == "w" and kind != "word:apart":
-            parts.setdefault(block, []).append(text)
-        elif kind[0] == "t" and block in parts and kind == "tag:inline":
-            parts[block].append("\0")
-    made = (" ".join(entities.unescape("".join(x)).replace("\0", "").split()) for x in parts.values())
+            parts.setdefault(block, []).append(entities.unescape(text))
+        elif text == " " and block in parts:
+            parts[block].append(text)  # a line break inside a block
+    made = (" ".join("".join(x).split()) for x in parts.values())
     return "\n\n".join(x for x in made if x)
 
 
