@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import flag, floor0, ratio, total, year_quarter
 from tallyloom.operators.ordering import exact_quantiles
-from tallyloom.session import small_table
 
 CUST = "cust_id"
 LOOKBACKS = (90, 180, 365)
@@ -72,7 +71,7 @@ def order_rollup(tx: DataFrame) -> DataFrame:
             # Back to long-backed decimals: compact in the order table, fast in later sums.
             total(F.col("sale_revenue")).cast(MONEY).alias("order_revenue"),
             total(F.col("sale_discount")).cast(MONEY).alias("order_discount"),
-            F.count(F.lit(1)).alias("n_items"),
+            F.count("prod_id").alias("n_items"),
             F.max(flag(F.col("returned_to").isNotNull())).alias("has_return"),
         )
         .withColumn("order_year", F.year("order_date"))
@@ -181,8 +180,8 @@ def distinct_orders(
     return sales.groupBy(CUST).agg(*[F.sum(c).alias(c) for c in ["frequency", *periods]])
 
 
-def median_order_value(orders: DataFrame, group_limit: int = 1_000_000) -> DataFrame:
-    return exact_quantiles(orders, "order_revenue", {"median_order_val": 0.5}, [CUST], group_limit)
+def median_order_value(orders: DataFrame) -> DataFrame:
+    return exact_quantiles(orders, "order_revenue", {"median_order_val": 0.5}, [CUST])
 
 
 def _days(orders: DataFrame) -> DataFrame:
@@ -504,5 +503,5 @@ def zero_fill(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def lookup(df: DataFrame, key: str, table: DataFrame, value: str, default: Column) -> DataFrame:
     """Attach ``value`` of a one-row-per-key table; unmatched keys get the default."""
-    found = df.join(small_table(table.select(key, value)), key, "left")
+    found = df.join(table.select(key, value), key, "left")
     return found.withColumn(value, F.coalesce(F.col(value), default))

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from tallyloom.functions.scalars import argmax, flag, ratio, softmax
 from tallyloom.operators.ordering import (
     average_rank,
+    bucket_of,
     dense_index,
     local_counts,
     placed_values,
     range_starts,
 )
+from tallyloom.session import bucket_count, written
 
 ERROR = "decimal(28,6)"
 
@@ -280,16 +282,16 @@ def mae_by_segment(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def rank_correlation(
-    df: DataFrame, y_rank: str, p: str, groups: Sequence[str] = (), per_group: bool = False
+    df: DataFrame, y_rank: str, p: str, groups: Sequence[str] = (), placed: DataFrame | None = None
 ) -> DataFrame:
     """Pearson correlation between a rank column over the group and the tie-averaged ranks of ``p``.
 
     Ranks of ``p`` are taken inside value ranges; each range is summed up on its own and the
     rows below it enter as a shift of those sums, so no rank is joined back to the rows.
-    Null when either side is constant.
+    Null when either side is constant. ``placed`` are the rows with ranges of the caller's own.
     """
     y, keys = F.col(y_rank), [*groups, "_bucket"]
-    placed = placed_values(df, p, groups, per_group)
+    placed = placed_values(df, p, groups) if placed is None else placed
     values = local_counts(placed, p, groups, [
         F.sum(y).alias("_s"), F.sum(y * y).alias("_ss"), F.min(y).alias("_lo"), F.max(y).alias("_hi"),
     ])
@@ -354,8 +356,19 @@ def ensemble_search(df: DataFrame, y: str, a: str, b: str, c: str, steps: int =
 
     The target is ranked once; blends are ranked per grid point with that point's own ranges.
     """
-    target = average_rank(df.select(y, a, b, c), y, out="_y")
-    scores = rank_correlation(blends(target, a, b, c, ["_y"], steps), "_y", "blend", ["ia", "ib"], per_group=True)
+    target = written(average_rank(df.select(y, a, b, c), y, out="_y").select("_y", a, b, c), "ranked-target")
+    # the cuts of every grid point come from one sample of the rows, before any copies are made: one row per point
+    buckets = bucket_count(df)
+    some = target.orderBy(F.xxhash64(a, b, c)).limit(50 * buckets)
+    fractions = [i / buckets for i in range(1, buckets)]
+    cuts = blends(some, a, b, c, [], steps).groupBy("ia", "ib").agg(
+        F.array_distinct(F.percentile_approx("blend", fractions, 10 * buckets)).alias("_cuts")
+    )
+    copies = blends(target, a, b, c, ["_y"], steps).where(F.col("blend").isNotNull())
+    placed = copies.join(F.broadcast(cuts), ["ia", "ib"]).withColumn(
+        "_bucket", bucket_of(F.col("blend"), F.col("_cuts"), buckets)
+    ).drop("_cuts")
+    scores = rank_correlation(copies, "_y", "blend", ["ia", "ib"], placed)
     scores = scores.select(
         (F.col("ia") / float(steps)).alias("wa"),
         (F.col("ib") / float(steps)).alias("wb"),

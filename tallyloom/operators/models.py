@@ -22,21 +22,26 @@ def assembled(df: DataFrame, columns: Sequence[str], nullable: Sequence[str] = (
     return vector.transform(filled).drop(*flags)
 
 
+#: Trees that a boosted model grows at most; validation rows stop it earlier.
+MAX_TREES = 20
+
+
 def two_stage_revenue(
-    train: DataFrame, df: DataFrame, label: str, trees: int = 20, depth: int = 5, seed: int = 42
+    train: DataFrame, df: DataFrame, label: str, held: str, trees: int = MAX_TREES, depth: int = 5, seed: int = 42
 ) -> DataFrame:
     """P(spend > 0) times the predicted amount, fitted on spenders with relative-error loss.
 
-    Absolute error weighted by 1 / max(1, amount) is the mean relative error.
+    Absolute error weighted by 1 / max(1, amount) is the mean relative error. Training rows marked by the
+    boolean column ``held`` validate: both models stop growing when these no longer improve.
     """
     marked = train.withColumn("_spends", (F.col(label) > 0).cast("double"))
     classifier = GBTClassifier(
-        labelCol="_spends", maxIter=trees, maxDepth=depth, seed=seed, predictionCol="_class"
+        labelCol="_spends", maxIter=trees, maxDepth=depth, seed=seed, predictionCol="_class", validationIndicatorCol=held
     ).fit(marked)
     weighted = marked.where(F.col("_spends") == 1).withColumn("_w", 1 / F.greatest(F.col(label), F.lit(1.0)))
     regressor = GBTRegressor(
         labelCol=label, weightCol="_w", lossType="absolute", maxIter=trees, maxDepth=depth, seed=seed,
-        predictionCol="_amount",
+        predictionCol="_amount", validationIndicatorCol=held,
     ).fit(weighted)
     scored = regressor.transform(classifier.transform(df))
     chance = vector_to_array("probability")[1]
@@ -53,7 +58,7 @@ def back_transformed(log_prediction: Column) -> Column:
 
 
 def log_target_cv(
-    train: DataFrame, test: DataFrame, label: str, fold: str = "fold", folds: int = 5, trees: int = 20,
+    train: DataFrame, test: DataFrame, label: str, fold: str = "fold", folds: int = 5, trees: int = MAX_TREES,
     depth: int = 5, seed: int = 7,
 ) -> tuple[DataFrame, DataFrame, object]:
     """Cross-validated regression of log(1 + target).
@@ -99,15 +104,16 @@ def tweedie(train: DataFrame, df: DataFrame, label: str, power: float = 1.5, pen
     return fitted.transform(df).withColumn("prediction", F.col("_p") * mean).drop("_scaled", "_p")
 
 
-def linear_probe(df: DataFrame, vector: str, label: str, penalty: float = 0.01) -> DataFrame:
-    """Linear classifier over frozen vectors: standardised, multinomial; adds prediction and probs."""
-    rows = df.withColumn("_v", array_to_vector(vector))
+def linear_probe(train: DataFrame, df: DataFrame, vector: str, label: str, penalty: float = 0.01) -> DataFrame:
+    """Linear classifier over frozen vectors, standardised and multinomial: fitted on ``train``, adds prediction and
+    probs to ``df``."""
+    rows = lambda part: part.withColumn("_v", array_to_vector(vector))
     scaler = StandardScaler(inputCol="_v", outputCol="_scaled", withMean=True)
     model = LogisticRegression(
         featuresCol="_scaled", labelCol=label, family="multinomial", regParam=penalty, maxIter=100,
         probabilityCol="_probs", rawPredictionCol="_raw",
     )
-    out = Pipeline(stages=[scaler, model]).fit(rows).transform(rows)
+    out = Pipeline(stages=[scaler, model]).fit(rows(train)).transform(rows(df))
     return out.withColumn("probs", vector_to_array("_probs")).drop("_v", "_scaled", "_probs", "_raw")
 
 

@@ -17,75 +17,39 @@ from pyspark.sql import types as T
 from tallyloom.session import bucket_count
 
 
-def cut_points(df: DataFrame, value: str, buckets: int) -> list:
-    """At most ``buckets - 1`` ascending cut values, fetched once so that all uses agree.
+def cut_points(df: DataFrame, value: str, buckets: int) -> Column:
+    """Ascending cut values, about ``buckets - 1`` of them, as an array that the plan computes once.
 
     Numbers and dates use a quantile sketch; other types a hash-ordered sample of fixed size.
     The cuts only balance the work; results are exact for any cuts.
     """
     if isinstance(df.schema[value].dataType, (T.NumericType, T.DateType)):
         fractions = [i / buckets for i in range(1, buckets)]
-        cuts = df.agg(F.percentile_approx(value, fractions, 10 * buckets)).first()[0]
-        return sorted(set(cuts or []))
-    sample = (
-        df.where(F.col(value).isNotNull())
-        .select(value)
-        .distinct()
-        .orderBy(F.xxhash64(value))
-        .limit(16 * buckets)
-        .collect()
-    )
-    values = sorted(r[0] for r in sample)
-    step = max(1, len(values) // buckets)
-    return values[step::step]
-
-
-def bucket_of(value: Column, cuts: Sequence, first: int = 0) -> Column:
-    """Index of the range that holds ``value``: a balanced tree of comparisons."""
-    if not cuts:
-        return F.lit(first)
-    mid = len(cuts) // 2
-    return F.when(value <= F.lit(cuts[mid]), bucket_of(value, cuts[:mid], first)).otherwise(
-        bucket_of(value, cuts[mid + 1 :], first + mid + 1)
-    )
+        return df.agg(F.array_distinct(F.percentile_approx(value, fractions, 10 * buckets))).scalar()
+    sample = df.where(F.col(value).isNotNull()).select(value).distinct().orderBy(F.xxhash64(value)).limit(16 * buckets)
+    return sample.agg(F.filter(F.sort_array(F.collect_list(value)), lambda x, i: i % 16 == 15)).scalar()
 
 
-def group_buckets(df: DataFrame, value: str, groups: Sequence[str], buckets: int, limit: int = 5000):
-    """Rows with ``_bucket`` from cuts of their own group, or None beyond ``limit`` groups.
+def bucket_of(value: Column, cuts: Column, buckets: int) -> Column:
+    """Number of cuts below ``value``: a binary search with one step per power of two."""
+    steps = [F.lit(1 << i) for i in reversed(range(max(1, (buckets - 1).bit_length())))]
+    size = F.coalesce(F.size(cuts), F.lit(0))
 
-    For few, large groups whose values lie in different ranges. The cuts come from a row sample
-    of about 50 rows per range, as a range partitioner takes it; they only balance the work. What
-    is broadcast is at most ``limit`` short arrays.
-    """
-    groups = list(groups)
-    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).limit(limit + 1).collect()
-    if len(sizes) > limit:
-        return None
-    rows = sum(r["n"] for r in sizes)
-    fraction = min(1.0, 50.0 * buckets * len(sizes) / max(1, rows))
-    sample = df if fraction == 1.0 else df.sample(fraction, seed=1)
-    cuts = sample.groupBy(*groups).agg(
-        F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10 * buckets).alias("_cuts")
-    )
-    table = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
-    below = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < F.col(value)))
-    return df.join(F.broadcast(table), groups, "left").withColumn("_bucket", below).drop("_cuts")
+    def step(low: Column, width: Column) -> Column:
+        ahead = low + width
+        return F.when((ahead <= size) & (F.get(cuts, ahead - 1) < value), ahead).otherwise(low)
 
+    return F.aggregate(F.array(*steps), F.lit(0), step)
 
-def placed_values(
-    df: DataFrame, value: str, groups: Sequence[str] = (), per_group: bool = False, buckets: int | None = None
-) -> DataFrame:
-    """Rows with a known value, and the range (``_bucket``) of their value.
 
-    With ``per_group`` each group has its own ranges, for few large groups whose values differ;
-    otherwise shared ranges bound every (group, range) by 1 / buckets of all rows.
-    """
+def placed_values(df: DataFrame, value: str, groups: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """Rows with a known value, and the range (``_bucket``) of their value; shared ranges bound every
+    (group, range) by 1 / buckets of all rows."""
     df = df.where(F.col(value).isNotNull())
     buckets = buckets or bucket_count(df)
-    placed = group_buckets(df, value, groups, buckets) if per_group and groups else None
-    if placed is None:
-        placed = df.withColumn("_bucket", bucket_of(F.col(value), cut_points(df, value, buckets)))
-    return placed
+    return df.withColumn("_cuts", cut_points(df, value, buckets)).withColumn(
+        "_bucket", bucket_of(F.col(value), F.col("_cuts"), buckets)
+    ).drop("_cuts")
 
 
 def local_counts(
@@ -133,11 +97,30 @@ def ranked_values(
 def average_rank(
     df: DataFrame, value: str, groups: Sequence[str] = (), out: str = "avg_rank"
 ) -> DataFrame:
-    """Adds the tie-averaged ascending rank of ``value`` inside its group (null stays null)."""
+    """Adds the tie-averaged ascending rank of ``value`` inside its group (null stays null).
+
+    Values that hold a hundredth of their group or more (at most a hundred per group) reach their rows in
+    one aggregated map per group, so no join key holds many rows; all other values are joined.
+    """
+    groups = list(groups)
     ranks = ranked_values(df, value, groups).select(
-        *groups, value, (F.col("before") + (F.col("n") + 1) / 2.0).alias(out)
+        *groups, value, (F.col("n") * 100 >= F.col("total")).alias("_often"),
+        (F.col("before") + (F.col("n") + 1) / 2.0).alias(out),
+    )
+    often = ranks.where("_often").groupBy(*groups).agg(
+        F.map_from_entries(F.collect_list(F.struct(value, out))).alias("_ranks")
     )
-    return df.join(ranks, [*groups, value], "left")
+    if groups:
+        known = df.join(often, groups, "left")
+    else:
+        known = df.withColumn("_ranks", often.select("_ranks").scalar())
+    known = known.withColumn("_rank", F.when(F.col(value).isNotNull(), F.element_at("_ranks", F.col(value)))).drop("_ranks")
+    # rows that have their rank, or need none, get a key of their own and spread over all tasks
+    spread = F.when(F.col("_rank").isNull() & F.col(value).isNotNull(), F.lit(0)).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)))
+    rest = ranks.where("not _often").select(*groups, value, out, F.lit(0).cast("long").alias("_own"))
+    keyed = known.withColumn("_own", spread.cast("long"))
+    joined = keyed.join(rest, [*groups, value, "_own"], "left")
+    return joined.withColumn(out, F.coalesce(F.col("_rank"), F.col(out))).drop("_rank", "_own").select(*df.columns, out)
 
 
 def dense_index(df: DataFrame, value: str, out: str = "index") -> DataFrame:
@@ -189,45 +172,13 @@ def _interpolated(fraction: float) -> Column:
     low = F.max(F.when(holds(F.floor(position)), F.col("_value")))
     high = F.max(F.when(holds(F.ceil(position)), F.col("_value")))
     weight = F.max(position - F.floor(position))
-    return F.when(low == high, low).otherwise(low + (high - low) * weight)
+    return F.when(low == high, low).otherwise((1 - weight) * low + weight * high)
 
 
-def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    quantiles: dict[str, float],
-    groups: Sequence[str] = (),
-    group_limit: int = 1_000_000,
-) -> DataFrame:
-    """Exact interpolated quantiles per group, one column per entry of ``quantiles``.
-
-    The built-in percentile keeps all distinct values of a group in one buffer. It serves
-    groups of up to ``group_limit`` rows; larger groups (at most rows / group_limit of them,
-    the bound on what is broadcast) and the ungrouped case go through value ranges.
-    """
+def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], groups: Sequence[str] = ()) -> DataFrame:
+    """Exact interpolated quantiles per group, one column per entry of ``quantiles``: from the ranks of the
+    distinct values, so that a group of any size is spread over ranges."""
     groups = list(groups)
-    df = df.where(F.col(value).isNotNull()).select(
-        *groups, F.col(value).cast("double").alias("_value")
-    )
-
-    def by_ranges(part: DataFrame) -> DataFrame:
-        exprs = [_interpolated(q).alias(name) for name, q in quantiles.items()]
-        return ranked_values(part, "_value", groups).groupBy(*groups).agg(*exprs)
-
-    if not groups:
-        return by_ranges(df)
-    usual = lambda part: part.groupBy(*groups).agg(
-        *[F.percentile("_value", q).alias(name) for name, q in quantiles.items()]
-    )
-    large = (
-        df.groupBy(*groups)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > group_limit)
-        .select(*groups)
-    )
-    if large.isEmpty():
-        return usual(df)
-    large = F.broadcast(large)
-    return usual(df.join(large, groups, "left_anti")).unionByName(
-        by_ranges(df.join(large, groups, "left_semi"))
-    )
+    rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_value"))
+    exprs = [_interpolated(q).alias(name) for name, q in quantiles.items()]
+    return ranked_values(rows, "_value", groups).groupBy(*groups).agg(*exprs)

@@ -10,12 +10,13 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF, Normalizer, Tokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import text_or_null
+from tallyloom.session import written
 
 SCORES = "qid bigint, id string, cosine double"
 
@@ -52,60 +53,26 @@ def _block_best(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, items: n
     width = scores.shape[1]
     cut = np.partition(scores, width - k, axis=1)[:, width - k] if width > k else scores.min(axis=1)
     row, column = np.nonzero((scores >= cut[:, None]) & (scores > -np.inf))
-    found = pd.DataFrame({"qid": qids[row], "id": ids[column], "cosine": scores[row, column]})
+    found = pd.DataFrame({"qid": qids[row], "id": ids[column].astype(object), "cosine": scores[row, column]})
     return _keep_best(found, k)
 
 
-def _search_few(queries: list, items: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    """Few queries: they travel to the items; each task returns its best k per query."""
-    qids = np.array([r["qid"] for r in queries], dtype=np.int64)
-    matrix = items.sparkSession.sparkContext.broadcast(_unit([r["vec"] for r in queries]))
+def _block_count(df: DataFrame, size: int) -> Column:
+    """Blocks of about ``size`` rows, as a scalar the plan computes itself."""
+    return F.greatest(F.lit(1), df.agg(F.ceil(F.count(F.lit(1)) / F.lit(float(size))).cast("int")).scalar())
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for frame in frames:
-            if len(frame):
-                found = _block_best(
-                    qids, matrix.value, frame["id"].to_numpy(str), _unit(frame["vec"]), k, exclude_self
-                )
-                best = found if best is None else _keep_best(pd.concat([best, found]), k)
-        if best is not None:
-            yield best
 
-    return items.select("id", "vec").mapInPandas(scan, SCORES)
-
-
-def _search_blocks(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool, block: int,
-                   query_block: int) -> DataFrame:
-    """Any number of queries, within cells: items and queries of a cell are cut into blocks of
-    bounded size, every pair of blocks is one task's matrix product, and only the best k per
-    query leave it. Both sides carry a ``cell`` column.
-    """
-    share = lambda df, size, out: df.groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(float(size))).cast("int").alias(out)
-    )
-    sizes = share(items, block, "_ni").join(share(queries, query_block, "_nq"), "cell")
-    placed = items.join(sizes, "cell").select(
-        "cell", "id", "vec",
-        F.pmod(F.xxhash64("id"), F.col("_ni")).cast("int").alias("_ib"),
-        F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)).alias("_qb"),
-    )
-    # Own names on this side: both sides may come from the same table.
-    asked = queries.join(sizes, "cell").select(
-        F.col("cell").alias("_qcell"), F.col("qid").alias("_qid"), F.col("vec").alias("_qvec"),
-        F.explode(F.sequence(F.lit(0), F.col("_ni") - 1)).alias("_qib"),
-        F.pmod(F.xxhash64("qid"), F.col("_nq")).cast("int").alias("_qqb"),
-    )
+def _products(asked: DataFrame, held: DataFrame, keys: Sequence[str], k: int, exclude_self: bool) -> DataFrame:
+    """The best k items per query within every cell of ``keys``: one matrix product per cell."""
 
     def product(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(i):
-            return pd.DataFrame({"qid": [], "id": [], "cosine": []})
+            return pd.DataFrame({"qid": np.zeros(0, np.int64), "id": np.zeros(0, object), "cosine": np.zeros(0)})
         return _block_best(
             q["_qid"].to_numpy(np.int64), _unit(q["_qvec"]), i["id"].to_numpy(str), _unit(i["vec"]), k, exclude_self
         )
 
-    blocks = placed.groupBy("cell", "_ib", "_qb")
-    return asked.groupBy("_qcell", "_qib", "_qqb").cogroup(blocks).applyInPandas(product, SCORES)
+    return asked.groupBy(*[f"_q{c}" for c in keys]).cogroup(held.groupBy(*keys)).applyInPandas(product, SCORES)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -122,23 +89,29 @@ def cosine_topk(
     items: DataFrame,
     k: int = 20,
     exclude_self: bool = False,
-    few: int = 1024,
     block: int = 8192,
     query_block: int = 1024,
 ) -> DataFrame:
     """Exact k nearest items per query: qid, id, similarity = max(0, cosine), rank.
 
-    Up to ``few`` queries (checked) are sent to the items, which then need no shuffle; more
-    queries go through bounded block products. Ties are settled by id.
+    Items and queries are cut into blocks of bounded size by hash; every pair of blocks is one
+    task's matrix product, and only the best k per query leave it. Ties are settled by id.
     """
-    head = queries.select("qid", "vec").limit(few + 1).collect()
-    if len(head) <= few:
-        return _ranked(_search_few(head, items, k, exclude_self), k)
-    one = F.lit(0).alias("cell")
-    found = _search_blocks(
-        queries.select("qid", "vec", one), items.select("id", "vec", one), k, exclude_self, block, query_block
+    ni, nq = _block_count(items, block), _block_count(queries, query_block)
+    held = items.select(
+        "id", "vec", F.pmod(F.xxhash64("id"), ni).cast("int").alias("ib"), F.explode(F.sequence(F.lit(0), nq - 1)).alias("qb")
     )
-    return _ranked(found, k)
+    asked = queries.select(
+        F.col("qid").alias("_qid"), F.col("vec").alias("_qvec"), F.explode(F.sequence(F.lit(0), ni - 1)).alias("_qib"),
+        F.pmod(F.xxhash64("qid"), nq).cast("int").alias("_qqb"),
+    )
+    return _ranked(_products(asked, held, ["ib", "qb"], k, exclude_self), k)
+
+
+def _centres(items: DataFrame, most: int) -> np.ndarray:
+    """Unit vectors that cells form around: a sample of bounded size, smallest hashes first."""
+    rows = items.select("vec").orderBy(F.xxhash64("id"), "id").limit(most).collect()
+    return _unit([r["vec"] for r in rows]) if rows else np.zeros((0, 1))
 
 
 def approximate_topk(
@@ -146,34 +119,51 @@ def approximate_topk(
     items: DataFrame,
     k: int = 20,
     exclude_self: bool = False,
-    tables: int = 8,
-    projections: int = 2,
-    bucket: float = 0.2,
-    seed: int = 7,
+    cells: int = 64,
+    probes: int = 48,
     block: int = 8192,
-    query_block: int = 1024,
 ) -> DataFrame:
-    """Approximate k nearest items: only vectors sharing a hash cell are compared, exactly.
+    """Approximate k nearest items by cells around ``cells`` sampled vectors.
 
-    Random projections of the unit vectors give ``tables`` cells of ``projections`` buckets
-    each. Crowded cells are cut into bounded blocks, so no cell emits its pairs.
+    Every item is in the cell of its nearest centre only; a query visits the ``probes`` nearest
+    cells. Vectors travel once per cell pair, crowded cells are cut into blocks of about
+    ``block`` items. Queries that meet fewer than k items are searched exactly.
     """
-    size = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x))
-    unit = lambda df: df.withColumn("_v", array_to_vector(F.transform("vec", lambda x: F.try_divide(x, size))))
-    hashing = BucketedRandomProjectionLSH(
-        inputCol="_v", outputCol="_h", bucketLength=bucket, numHashTables=tables * projections, seed=seed
-    ).fit(unit(items))
-    parts = [
-        F.concat_ws("/", F.lit(str(t)), *[
-            vector_to_array(F.get("_h", F.lit(t * projections + p)))[0].cast("bigint").cast("string")
-            for p in range(projections)
-        ])
-        for t in range(tables)
-    ]
-    cells = lambda df, key: hashing.transform(unit(df)).select(key, "vec", F.explode(F.array(*parts)).alias("cell"))
-    found = _search_blocks(cells(queries, "qid"), cells(items, "id"), k, exclude_self, block, query_block)
-    # A pair may meet in several cells; its cosine is the same in all of them.
-    return _ranked(found.groupBy("qid", "id").agg(F.max("cosine").alias("cosine")), k)
+    centres = _centres(items, cells)
+    if not len(centres):
+        return cosine_topk(queries, items, k, exclude_self)
+    broadcast = items.sparkSession.sparkContext.broadcast(centres)
+
+    def placed(key: str, kind: str, width: int) -> tuple:
+        def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if len(frame):
+                    near = np.argsort(-(_unit(frame["vec"]) @ broadcast.value.T), axis=1, kind="stable")[:, :width]
+                    yield pd.DataFrame({key: pd.Series(frame[key].tolist(), dtype=object), "vec": list(frame["vec"]), "cell": list(near)})
+
+        return place, f"{key} {kind}, vec array<double>, cell array<int>"
+
+    doubles = lambda df, key: df.select(key, F.col("vec").cast("array<double>").alias("vec"))
+    own = doubles(items, "id").mapInPandas(*placed("id", "string", 1)).withColumn("cell", F.col("cell")[0])
+    share = items.agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int")).scalar()
+    parts = F.greatest(F.lit(1), share)
+    held = own.select("id", "vec", "cell", F.pmod(F.xxhash64("id"), parts).cast("int").alias("ib"))
+    visits = doubles(queries, "qid").mapInPandas(*placed("qid", queries.schema["qid"].dataType.simpleString(), probes))
+    asked = visits.select(
+        F.col("qid").alias("_qid"), F.col("vec").alias("_qvec"), F.explode("cell").alias("_qcell")
+    ).select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_qib"))
+    found = written(_ranked(_products(asked, held, ["cell", "ib"], k, exclude_self), k), "near")
+    short = queries.join(found.groupBy("qid").count().where(F.col("count") >= k), "qid", "left_anti")
+    return found.join(short.select("qid"), "qid", "left_anti").unionByName(cosine_topk(short, items, k, exclude_self, block))
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: queries, exact neighbours, and the share of them that ``found`` has too."""
+    pairs = exact.select("qid", "id").join(found.select("qid", "id", F.lit(1).alias("_hit")), ["qid", "id"], "left")
+    return pairs.agg(
+        F.countDistinct("qid").alias("queries"), F.count(F.lit(1)).alias("neighbours"),
+        F.try_divide(F.sum(F.coalesce("_hit", F.lit(0))), F.count(F.lit(1))).alias("recall"),
+    )
 
 
 def text_vectors(df: DataFrame, text: str, features: int = 1024) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.ordering import dense_index, numbered
-from tallyloom.session import small_table, written
+from tallyloom.session import written
 
 # Modulus and multipliers of the arithmetic key (fixed values; the modulus is prime).
 PRIME, STEP, SHIFT = 1_000_003, 7_919, 104_729
@@ -44,6 +44,13 @@ def arithmetic(row_id: str, seed: int) -> Shuffle:
     return Shuffle(key, 0, PRIME)
 
 
+def draw(row_id: str, seed: int) -> Column:
+    """A number of 60 bits from md5 of id and seed, which other engines can repeat; draws of different seeds are
+    independent, and no modulus narrows the range of ids."""
+    text = F.concat_ws("#", F.col(row_id).cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def stratified_split(
     df: DataFrame,
     label: str,
@@ -90,7 +97,7 @@ def sample_total(df: DataFrame, row_id: str, n: int, order: Shuffle) -> DataFram
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Adds 1 / class size to every row, from a class table instead of a window over the class."""
     sizes = df.groupBy(label).agg((F.lit(1.0) / F.count(F.lit(1))).alias("weight"))
-    return df.join(small_table(sizes), label)
+    return df.join(sizes, label)
 
 
 def balanced_resample(
@@ -113,9 +120,7 @@ def balanced_resample(
     sizes = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
     k = sizes.count()
     copies = F.ceil(F.lit(float(n)) / (F.lit(float(k * draws_per_copy)) * F.col("_size"))).cast("int")
-    classes = small_table(
-        dense_index(sizes, label, "_class").join(sizes, label).withColumn("_copies", copies)
-    )
+    classes = dense_index(sizes, label, "_class").join(sizes, label).withColumn("_copies", copies)
     items = (
         numbered(df, order.key, row_id, [label], order.range)
         .drop("total")
@@ -161,25 +166,25 @@ def _key_sums(df: DataFrame, keys: Sequence[str], target: str, by: Sequence[str]
     )
 
 
-def _attach(df: DataFrame, keys: Sequence[str], means: DataFrame, by: Sequence[str], default: Column) -> DataFrame:
-    """Adds te_<key> for every key from the long table of means; unknown keys get the default."""
-    table, out = small_table(means), df
-    if table is means:
-        table = written(means, "means")  # too large to broadcast: at least computed only once
-    for key in keys:
-        own = table.where(F.col("kind") == key).select(
-            F.col("value").alias("_value"), *[F.col(c).alias(f"_{c}") for c in by], F.col("mean").alias(f"te_{key}")
-        )
-        match = F.col(key).cast("string") == F.col("_value")
-        for c in by:
-            match = match & (F.col(c) == F.col(f"_{c}"))
-        out = out.join(own, match, "left").drop("_value", *[f"_{c}" for c in by])
-        out = out.withColumn(f"te_{key}", F.coalesce(F.col(f"te_{key}"), default))
-    return out
+def _attach(df: DataFrame, row_id: str, keys: Sequence[str], means: DataFrame, by: Sequence[str], default: Column) -> DataFrame:
+    """Adds te_<key> for every key from the long table of means; unknown keys get the default.
+
+    One join for all keys: rows become long (id, kind, value), meet the means once, and come back as
+    one row per id. The join's value side is small next to the rows; a value that holds very
+    many rows is split by adaptive execution.
+    """
+    entries = F.explode(
+        F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in keys])
+    )
+    long = df.select(row_id, *by, entries.alias("e")).select(row_id, *by, "e.*").where(F.col("value").isNotNull())
+    met = long.join(means.select("kind", "value", *by, "mean"), ["kind", "value", *by])
+    wide = met.groupBy(row_id).agg(*[F.max(F.when(F.col("kind") == k, F.col("mean"))).alias(f"te_{k}") for k in keys])
+    out = df.join(wide, row_id, "left")
+    return out.withColumns({f"te_{k}": F.coalesce(F.col(f"te_{k}"), default) for k in keys})
 
 
-def encode_out_of_fold(df: DataFrame, keys: Sequence[str], target: str, fold: str = "fold") -> DataFrame:
-    """Adds te_<key>: the mean target of the key's rows in the other folds.
+def encode_out_of_fold(df: DataFrame, row_id: str, keys: Sequence[str], target: str, fold: str = "fold") -> DataFrame:
+    """Adds te_<key>: the mean target of the key's rows in the other folds; ``row_id`` is unique.
 
     One aggregate for all keys: totals minus the own fold. Unknown or missing keys get the
     global mean.
@@ -189,10 +194,10 @@ def encode_out_of_fold(df: DataFrame, keys: Sequence[str], target: str, fold: st
     means = _key_sums(df, keys, target, [fold]).select(
         "kind", "value", fold, _mean(F.sum(s).over(of_key) - s, F.sum(n).over(of_key) - n).alias("mean")
     )
-    return _attach(df, keys, means, [fold], global_mean(df, target))
+    return _attach(df, row_id, keys, means, [fold], global_mean(df, target))
 
 
-def encode_full(train: DataFrame, df: DataFrame, keys: Sequence[str], target: str) -> DataFrame:
-    """Adds te_<key> to ``df``: the mean target of the key over all training rows."""
+def encode_full(train: DataFrame, df: DataFrame, row_id: str, keys: Sequence[str], target: str) -> DataFrame:
+    """Adds te_<key> to ``df``: the mean target of the key over all training rows; ``row_id`` is unique."""
     means = _key_sums(train, keys, target, []).select("kind", "value", _mean(F.col("_s"), F.col("_n")).alias("mean"))
-    return _attach(df, keys, means, [], global_mean(train, target))
+    return _attach(df, row_id, keys, means, [], global_mean(train, target))

@@ -68,7 +68,7 @@ ORD_SQL = f"""
 ref AS (SELECT max(order_date) + 1 AS d FROM lines),
 ord AS (
   SELECT cust_id, sale_id, order_date, sum(sale_revenue) AS order_revenue,
-         sum(sale_discount) AS order_discount, count(*) AS n_items,
+         sum(sale_discount) AS order_discount, count(prod_id) AS n_items,
          max(CASE WHEN returned_to IS NOT NULL THEN 1 ELSE 0 END) AS has_return,
          CAST(year(order_date) AS INT) AS order_year
   FROM lines GROUP BY 1, 2, 3)
@@ -269,8 +269,8 @@ def _(spark, sf):
 SELECT cust_id, sale_id, order_date, CAST(order_revenue AS DOUBLE) AS order_revenue
 FROM ord, ref WHERE order_date >= ref.d - 180"""))
 def _(spark, sf):
-    orders, ref = kept_orders(spark, sf)
-    return cv.filter_since(orders, ref, 180).select(
+    orders = orders_of(spark, sf)
+    return cv.filter_since(orders, cv.as_of(b.order_lines(spark, sf)), 180).select(
         "cust_id", "sale_id", "order_date", F.col("order_revenue").cast("double").alias("order_revenue")
     )
 

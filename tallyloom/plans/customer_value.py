@@ -23,11 +23,11 @@ class RevenueRun:
     submission: DataFrame
 
 
-def predict_revenue(rows: DataFrame, row_id: str, label: str, trees: int = 20, depth: int = 5, seed: int = 42) -> RevenueRun:
+def predict_revenue(rows: DataFrame, row_id: str, label: str, trees: int = ml.MAX_TREES, depth: int = 5, seed: int = 42) -> RevenueRun:
     """``rows``: id, label, part ('train' or 'test'), vector ``features``.
 
     A fifth of the training rows, stratified by spend, validates. The two-stage and the Tweedie
-    model are fitted on the rest; the log model predicts every training row out of five folds.
+    model are fitted on the rest, and the validating rows stop the former; the log model predicts every training row out of five folds.
     """
     test = rows.where(F.col("part") == "test").select(row_id, "features")
     known = rows.where(F.col("part") == "train").select(row_id, label, "features")
@@ -38,7 +38,7 @@ def predict_revenue(rows: DataFrame, row_id: str, label: str, trees: int = 20, d
 
     unseen = validate.select(row_id, "features").unionByName(test)
     only = lambda df, name: df.select(row_id, F.col("prediction").alias(name))
-    a = only(ml.two_stage_revenue(fit, unseen, label, trees, depth, seed), "a")
+    a = only(ml.two_stage_revenue(train.withColumn("held", F.col("split") == "validate"), unseen, label, "held", trees, depth, seed), "a")
     out_of_fold, on_test, _ = ml.log_target_cv(train, test, label, folds=5, trees=trees, depth=depth)
     b = only(out_of_fold, "b").unionByName(only(on_test, "b"))
     c = only(ml.tweedie(fit, unseen, label), "c")

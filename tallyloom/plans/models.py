@@ -7,24 +7,34 @@ from pyspark.sql import functions as F
 from tallyloom.operators import customer as cv
 from tallyloom.operators import models as ml
 from tallyloom.operators import sampling as sa
-from tallyloom.plans.customer import FIXED_COLUMNS, G_PIVOT, features
+from tallyloom.plans.customer import FIXED_COLUMNS, G_PIVOT, encoding_input, features
 from tallyloom.plans.registry import query
+from tallyloom.plans.sampling import KEYS
 from tallyloom.session import written
 from tallyloom.sources import bindings as b
 
 NULLABLE = ["avg_ipt", "std_ipt", "std_order_val"]
-LINEAR = ["monetary_log", "frequency_log", "rev_y2_log", "rev_last180d_log", "recency", "n_unique_brands", "share_q4"]
 
 
-def labelled(spark, sf, columns=None):
-    """Customers with label, part, fold and feature vector; written once, since fits scan it often."""
-    names = columns or [*FIXED_COLUMNS, *G_PIVOT[0]]
+def labelled(spark, sf):
+    """Customers with label, part, fold, validation mark and the vector of all features, the five target encodings
+    included: out of fold for training rows, from all training rows for the test part. Written once, since
+    fits scan it often."""
+    names = [*FIXED_COLUMNS, *G_PIVOT[0]]
+    encoded = [f"te_{k}" for k in KEYS]
     rows = cv.merge_labels(b.revenue_labels(spark, sf), features(spark, sf))
-    rows = rows.withColumns({c: F.col(c).cast("double") for c in names})
-    nullable = [c for c in NULLABLE if c in names]
-    rows = sa.kfold(rows, "cust_id", 5, sa.hashed("cust_id", 7))
-    kept = written(rows.select("cust_id", "revenue_label", "part", "fold", *names), "model-rows")
-    return ml.assembled(kept, names, nullable).select("cust_id", "revenue_label", "part", "fold", "features")
+    rows = rows.withColumns({c: F.col(c).cast("double") for c in names}).select("cust_id", "revenue_label", "part", *names)
+    keyed = written(sa.kfold(encoding_input(spark, sf).join(rows.select("cust_id", "part"), "cust_id"), "cust_id", 5, sa.hashed("cust_id", 7)), "keys")
+    train = keyed.where(F.col("part") == "train")
+    codes = sa.encode_out_of_fold(train, "cust_id", KEYS, "y_log").select("cust_id", "fold", *encoded).unionByName(
+        sa.encode_full(train, keyed.where(F.col("part") == "test"), "cust_id", KEYS, "y_log").select("cust_id", "fold", *encoded)
+    )
+    rows = rows.join(codes, "cust_id").withColumn("spends", F.col("revenue_label") > 0)
+    parts = {"fit": 0.8, "validate": 0.2}
+    rows = sa.stratified_split(rows, "spends", "cust_id", parts, sa.hashed("cust_id", 42)).withColumn("held", F.col("split") == "validate")
+    keep = ["cust_id", "revenue_label", "part", "fold", "held"]
+    kept = written(rows.select(*keep, *names, *encoded), "model-rows")
+    return ml.assembled(kept, [*names, *encoded], NULLABLE).select(*keep, "features")
 
 
 def train_part(rows):
@@ -38,21 +48,21 @@ def test_part(rows):
 @query("two_stage_revenue")
 def _(spark, sf):
     rows = labelled(spark, sf)
-    out = ml.two_stage_revenue(train_part(rows), rows, "revenue_label", trees=8, depth=4)
+    out = ml.two_stage_revenue(train_part(rows), rows, "revenue_label", "held")
     return out.select("cust_id", "part", "revenue_label", "spend_probability", "prediction")
 
 
 @query("log_target_regression_cv")
 def _(spark, sf):
     rows = labelled(spark, sf)
-    held, test, _ = ml.log_target_cv(train_part(rows), test_part(rows), "revenue_label", trees=5, depth=4)
+    held, test, _ = ml.log_target_cv(train_part(rows), test_part(rows), "revenue_label")
     columns = ["cust_id", "part", "revenue_label", "prediction"]
     return held.select(columns).unionByName(test.select(columns))
 
 
 @query("tweedie_regression")
 def _(spark, sf):
-    rows = labelled(spark, sf, LINEAR)
+    rows = labelled(spark, sf)
     out = ml.tweedie(train_part(rows), rows, "revenue_label")
     return out.select("cust_id", "part", "revenue_label", "prediction")
 
@@ -60,11 +70,13 @@ def _(spark, sf):
 @query("linear_probe")
 def _(spark, sf):
     rows = b.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label")
-    return ml.linear_probe(rows, "vec", "label").select("vec_id", "label", "prediction", "probs")
+    split = sa.stratified_split(rows, "label", "vec_id", {"train": 0.8, "test": 0.2}, sa.hashed("vec_id", 42))
+    out = ml.linear_probe(split.where(F.col("split") == "train"), split.where(F.col("split") == "test"), "vec", "label")
+    return out.select("vec_id", "label", "prediction", "probs")
 
 
 @query("feature_importance_top25")
 def _(spark, sf):
     rows = labelled(spark, sf)
-    _, _, model = ml.log_target_cv(train_part(rows), test_part(rows), "revenue_label", folds=2, trees=5, depth=4)
+    _, _, model = ml.log_target_cv(train_part(rows), test_part(rows), "revenue_label")
     return ml.feature_importances(rows, model, 25)

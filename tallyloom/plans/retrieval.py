@@ -99,10 +99,29 @@ def _(spark, sf):
     return rt.approximate_topk(b.query_vectors(spark, sf), b.vectors(spark, sf), 20, exclude_self=True)
 
 
+@query("approx_recall", _sql("""
+SELECT count(DISTINCT qid) AS queries, count(*) AS neighbours, true AS recall_reached FROM cand"""))
+def _(spark, sf):
+    """The approximate search against the exact one: all neighbours of all vectors."""
+    exact = candidates(spark, sf, keep=True)
+    near = rt.approximate_topk(b.query_vectors(spark, sf), b.vectors(spark, sf), 20, exclude_self=True)
+    return rt.recall(near, exact).select("queries", "neighbours", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 @query("text_vectorize_corpus")
 def _(spark, sf):
     docs = b.table(spark, sf, "documents").select("doc_id", "text")
-    return rt.text_vectors(docs, "text", features=256).select("doc_id", "vec")
+    return rt.text_vectors(docs, "text").select("doc_id", "vec")
+
+
+@query("text_vector_norms", """
+SELECT doc_id, length(trim(text)) > 0 AS has_words, CASE WHEN length(trim(text)) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm
+FROM documents""")
+def _(spark, sf):
+    docs = b.table(spark, sf, "documents").select("doc_id", "text")
+    squares = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x)
+    words = (F.length(F.trim("text")) > 0).alias("has_words")
+    return rt.text_vectors(docs, "text").select("doc_id", words, F.round(F.sqrt(squares), 6).alias("norm"))
 
 
 @query("rank_fallback_topk", _sql("SELECT qid, id, similarity AS score, rank FROM cand WHERE rank <= 5"))

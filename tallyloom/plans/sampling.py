@@ -17,6 +17,10 @@ WEIGHTS = {"train": 0.70, "val": 0.15, "test": 0.15}
 KEYS = ["top_brand", "top_brand_y2", "top_cat", "top_fine_cat", "cohort_q"]
 
 
+def draw_sql(column: str, seed: int) -> str:
+    return f"CAST('0x' || substr(md5(CAST({column} AS VARCHAR) || '#{seed}'), 1, 15) AS BIGINT)"
+
+
 @query("stratified_split_70_15_15", with_sql(PROFILE_SQL, f"""
 r AS (
   SELECT item_id, category, count(*) OVER (PARTITION BY category) AS n,
@@ -83,13 +87,13 @@ cls AS (
   FROM item GROUP BY 1)
 """, select=f"""
 SELECT d.item_id AS draw_id, cls.category, i.item_id
-FROM minifig d JOIN cls ON {key_sql('d.item_id', 2)} % k = c
-     JOIN item i ON i.category = cls.category AND i.rn = {key_sql('d.item_id', 3)} % cls.n + 1"""))
+FROM minifig d JOIN cls ON {draw_sql('d.item_id', 2)} % k = c
+     JOIN item i ON i.category = cls.category AND i.rn = {draw_sql('d.item_id', 3)} % cls.n + 1"""))
 def _(spark, sf):
     items = b.minifigs(spark, sf).select("item_id", "category")
     order = sa.arithmetic("item_id", 1)
     return sa.balanced_resample(
-        items, "category", "item_id", sa.arithmetic("item_id", 2).key, sa.arithmetic("item_id", 3).key, order
+        items, "category", "item_id", sa.draw("item_id", 2), sa.draw("item_id", 3), order
     )
 
 
@@ -123,7 +127,7 @@ SELECT cust_id, fold, {', '.join(_oof(k) for k in KEYS)} FROM d, g"""))
 def _(spark, sf):
     keyed = encoding_input(spark, sf)
     folded = written(sa.kfold(keyed, "cust_id", 5, sa.arithmetic("cust_id", 7)), "encoding")
-    out = sa.encode_out_of_fold(folded, KEYS, "y_log")
+    out = sa.encode_out_of_fold(folded, "cust_id", KEYS, "y_log")
     return rounded(out.select("cust_id", "fold", *[f"te_{k}" for k in KEYS]))
 
 
@@ -133,5 +137,5 @@ def _(spark, sf):
     """Means over the training part, applied to every customer."""
     parts = b.revenue_labels(spark, sf).select("cust_id", "part")
     rows = written(encoding_input(spark, sf).join(parts, "cust_id"), "encoding")
-    out = sa.encode_full(rows.where(F.col("part") == "train"), rows, KEYS, "y_log")
+    out = sa.encode_full(rows.where(F.col("part") == "train"), rows, "cust_id", KEYS, "y_log")
     return rounded(out.select("cust_id", "part", *[f"te_{k}" for k in KEYS]))

@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     own = getattr(spark, "_tallyloom_dir", None)
     if own is None:
@@ -60,20 +60,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_table(df: DataFrame, limit: int = 50_000) -> DataFrame:
-    """A lookup table to broadcast, if it proves small: up to ``limit`` rows are fetched once and
-    come back as local rows with a broadcast hint.
-
-    A larger table is returned as it is and joins by shuffle, where adaptive execution splits
-    skewed keys.
-    """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def bucket_count(df: DataFrame) -> int:
     """How many pieces to split a hot group into: follows the session's shuffle width."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(8, min(256, width))
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -37,11 +37,11 @@ def vectors():
     return base
 
 
-@pytest.mark.parametrize("few, block, query_block", [(1000, 8192, 1024), (10, 8192, 1024), (10, 13, 7)])
+@pytest.mark.parametrize("block, query_block", [(8192, 1024), (13, 7)])
 @pytest.mark.parametrize("exclude_self", [True, False])
-def test_search_paths_equal_brute_force(spark, vectors, few, block, query_block, exclude_self):
+def test_search_paths_equal_brute_force(spark, vectors, block, query_block, exclude_self):
     queries, items = tables(spark, vectors)
-    got = collected(rt.cosine_topk(queries, items, 5, exclude_self, few, block, query_block))
+    got = collected(rt.cosine_topk(queries, items, 5, exclude_self, block, query_block))
     want = brute(vectors, vectors, 5, exclude_self)
     assert set(got) == set(want)
     for q in want:
@@ -61,7 +61,7 @@ def test_approximate_search_finds_most_neighbours(spark):
     data = np.repeat(centres, 30, axis=0) + 0.15 * rng.normal(size=(300, 16))
     queries, items = tables(spark, data)
     exact = collected(rt.cosine_topk(queries, items, 10, True))
-    near = collected(rt.approximate_topk(queries, items, 10, True, tables=12, projections=2, bucket=0.4, block=50, query_block=40))
+    near = collected(rt.approximate_topk(queries, items, 10, True, cells=16, probes=8, block=50))
     hits = sum(len({i for i, _ in exact[q]} & {i for i, _ in near.get(q, [])}) for q in exact)
     assert hits / (10 * len(exact)) > 0.9
     for q, rows in near.items():

@@ -72,7 +72,7 @@ def encoded(spark):
         (5, None, 9.0, 1),     # no key
     ]
     df = spark.createDataFrame(data, "id int, k string, y double, fold int")
-    return df, {r.id: r.te_k for r in sa.encode_out_of_fold(df, ["k"], "y").collect()}
+    return df, {r.id: r.te_k for r in sa.encode_out_of_fold(df, "id", ["k"], "y").collect()}
 
 
 def test_own_fold_is_left_out(encoded):
@@ -87,11 +87,26 @@ def test_unseen_and_missing_keys_get_the_mean_of_all_rows(encoded):
 
 def test_full_encoding(encoded, spark):
     train, _ = encoded
-    test = spark.createDataFrame([("a",), ("new",), (None,)], "k string")
-    assert {r.k: r.te_k for r in sa.encode_full(train, test, ["k"], "y").collect()} == {"a": 3.0, "new": 5.0, None: 5.0}
+    test = spark.createDataFrame([(1, "a"), (2, "new"), (3, None)], "id int, k string")
+    assert {r.k: r.te_k for r in sa.encode_full(train, test, "id", ["k"], "y").collect()} == {"a": 3.0, "new": 5.0, None: 5.0}
 
 
-def test_encoding_with_more_keys_than_a_small_table(spark, encoded, monkeypatch):
-    df, te = encoded
-    monkeypatch.setattr(sa, "small_table", lambda table: table)
-    assert {r.id: r.te_k for r in sa.encode_out_of_fold(df, ["k"], "y").collect()} == te
+def test_draws_are_independent_and_reach_every_item(spark):
+    """Distinct items per class as drawing with replacement gives them, in the registered query."""
+    import math
+
+    import __spark_entry__ as entry
+
+    out = entry.queries()["weighted_resample"](spark, "/root/testdata/sf0.1").toPandas()
+    sizes = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").groupBy("lang").count().toPandas()
+    for lang, size in zip(sizes["lang"], sizes["count"]):
+        own = out[out.category == lang]
+        expected = size * (1 - math.exp(-len(own) / size))
+        assert abs(own.item_id.nunique() - expected) < 0.05 * expected
+        assert abs(len(own) - len(out) / len(sizes)) < 0.05 * len(out) / len(sizes)
+
+
+def test_draws_cover_classes_of_any_size(spark):
+    """Row numbers drawn for a class of 2,500,000 rows reach its end."""
+    highest = spark.range(100_000).select(F.max(sa.draw("id", 3) % 2_500_000 + 1)).first()[0]
+    assert highest > 2_499_000

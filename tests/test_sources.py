@@ -6,7 +6,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.session import new_path, shared_dir, small_table, written
+from tallyloom.session import new_path, shared_dir, written
 from tallyloom.sources import readers, writers
 from tallyloom.sources.image_files import write_images
 
@@ -67,21 +67,15 @@ def test_written_table_keeps_schema(spark):
     assert written(df, "t").schema.simpleString() == df.schema.simpleString()
 
 
-def test_only_small_tables_are_fetched(spark):
-    df = spark.range(10)
-    assert small_table(df, limit=9) is df
-    assert sorted(r.id for r in small_table(df, limit=10).collect()) == list(range(10))
-
-
 def test_shared_folder_comes_from_the_session():
     cluster = SimpleNamespace(conf={"spark.checkpoint.dir": "hdfs://shared/work/"})
     assert shared_dir(cluster) == "hdfs://shared/work"
 
 
 def test_cluster_without_shared_folder_is_refused():
-    cluster = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="yarn"))
-    with pytest.raises(RuntimeError):
-        shared_dir(cluster)
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master)))
 
 
 def test_capped_read(spark):
