@@ -125,13 +125,17 @@ def node_export(entity: DataFrame) -> DataFrame:
 
 
 def claim_pairs(
-    claim: DataFrame, in_category: DataFrame, ego: str, alters: Sequence[str] | None = None
+    claim: DataFrame, in_category: DataFrame, ego: str, alters: Sequence[str] | None = None,
+    categories: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Claims that touch both the ego and another entity, with the category of their document."""
+    """Claims that touch both the ego and another entity, with the category of their document; optionally only
+    some other entities and some categories."""
     of_ego = claim.where((F.col("actor") == ego) | (F.col("target") == ego)).select("claim_id")
     others = claim_links(claim).where(F.col("name") != ego)
     if alters is not None:
         others = name_in(others, alters)
+    if categories is not None:
+        in_category = in_category.where(F.col("category").isin(list(categories)))
     return (
         others.join(of_ego, "claim_id", "left_semi")
         .join(in_category, "doc_id")

@@ -5,3 +5,4 @@ from tallyloom.plans import graph  # noqa: F401
 from tallyloom.plans import evaluation, profiling, sampling  # noqa: F401
 from tallyloom.plans import retrieval  # noqa: F401
 from tallyloom.plans import models, sources  # noqa: F401
+from tallyloom.plans import flows  # noqa: F401

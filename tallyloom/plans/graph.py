@@ -32,16 +32,20 @@ touching AS (
 """
 
 PAIRS_SQL = f"""
+of_ego AS MATERIALIZED (
+  SELECT DISTINCT claim_id FROM links WHERE name = '{EGO}'),
 pairs AS (
-  SELECT l.name AS alter, category, l.doc_id, l.claim_id FROM links l JOIN in_category USING (doc_id)
-  WHERE l.name <> '{EGO}' AND l.claim_id IN (SELECT claim_id FROM links WHERE name = '{EGO}'))
+  SELECT l.name AS alter, category, l.doc_id, l.claim_id
+  FROM (SELECT links.* FROM links JOIN of_ego USING (claim_id) WHERE name <> '{EGO}') l JOIN in_category USING (doc_id))
 """
 
 TOGETHER_SQL = f"""
+own_docs AS MATERIALIZED (
+  SELECT DISTINCT doc_id FROM mention WHERE contains(lower(name), '{VARIANT}')),
 together AS (
-  SELECT doc_id, name, category FROM mention JOIN in_category USING (doc_id)
-  WHERE NOT contains(lower(name), '{VARIANT}')
-    AND doc_id IN (SELECT doc_id FROM mention WHERE contains(lower(name), '{VARIANT}'))),
+  SELECT doc_id, name, category
+  FROM (SELECT mention.* FROM mention JOIN own_docs USING (doc_id) WHERE NOT contains(lower(name), '{VARIANT}'))
+  JOIN in_category USING (doc_id)),
 comention AS (
   SELECT name AS source, category AS target, count(DISTINCT doc_id) AS weight FROM together
   GROUP BY 1, 2 HAVING weight >= {MIN_DOCS})
@@ -188,6 +192,23 @@ def _(spark, sf):
     return pairs(spark, sf)
 
 
+PAIR_ALTERS = ["C#1", "C#10", "C#100", "C#1000", "C#7", "C#77"]
+PAIR_CATEGORIES = ["1-URGENT", "2-HIGH", "5-LOW"]
+
+
+@query("claim_pairs_selected", _sql(f"""
+SELECT * FROM pairs WHERE category IN ({_list(PAIR_CATEGORIES)}) AND (alter IN ({_list(PAIR_ALTERS)}) OR alter LIKE 'C#2%')""", PAIRS_SQL))
+def _(spark, sf):
+    """Only some other entities and some categories."""
+    some = b.table(spark, sf, "customer").where(F.col("c_custkey").cast("string").startswith("2"))
+    claims = b.claims(spark, sf)
+    listed = g.claim_pairs(claims, b.in_category(spark, sf), EGO, PAIR_ALTERS, PAIR_CATEGORIES)
+    by_prefix = g.claim_pairs(claims, b.in_category(spark, sf), EGO, categories=PAIR_CATEGORIES).join(
+        some.select(F.concat(F.lit("C#"), F.col("c_custkey").cast("string")).alias("alter")), "alter", "left_semi"
+    )
+    return listed.unionByName(by_prefix)
+
+
 @query("co_mention_join", _sql("SELECT * FROM together", TOGETHER_SQL))
 def _(spark, sf):
     return together(spark, sf)

@@ -31,10 +31,11 @@ def search(
     language: str = "english",
     candidates: int = 20,
     k: int = 5,
+    exclude_self: bool = False,
 ) -> SearchResults:
     """``queries``: qid, query text, vec. ``responses`` are a ranker's texts per query (qid, text);
     without them the best candidates by similarity are the matches."""
-    found = written(rt.cosine_topk(queries, vectors, candidates), "candidates")
+    found = written(rt.cosine_topk(queries, vectors, candidates, exclude_self), "candidates")
     if responses is None:
         matches = rt.top_by_score(found, k)
     else:

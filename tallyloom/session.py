@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,6 +29,16 @@ def local_session(cpus: int | str = 8, memory: str = "12g") -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors of a cluster that doesn't have it installed; once per session."""
+    if getattr(spark, "_tallyloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tallyloom-package-")  # on the driver only: Spark serves the file from there
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "tallyloom"), "zip", os.path.dirname(root), "tallyloom"))
+    spark._tallyloom_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 

@@ -211,10 +211,10 @@ claim AS (
          l_orderkey AS doc_id, 'S#' || CAST(l_suppkey AS VARCHAR) AS actor,
          'C#' || CAST(o_custkey AS VARCHAR) AS target, p_type || '/' || l_linestatus AS topic
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
-links AS (
+links AS MATERIALIZED (
   SELECT claim_id, doc_id, actor AS name, 'ACTOR' AS role FROM claim
   UNION ALL SELECT claim_id, doc_id, target, 'TARGET' FROM claim),
-mention AS (
+mention AS MATERIALIZED (
   SELECT l_orderkey AS doc_id, 'S#' || CAST(l_suppkey AS VARCHAR) AS name FROM lineitem
   UNION SELECT l_orderkey, 'P#' || CAST(l_partkey AS VARCHAR) FROM lineitem
   UNION SELECT o_orderkey, 'C#' || CAST(o_custkey AS VARCHAR) FROM orders)
