@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Entries that a map task gathers before it packs them.
-WINDOW = 2_000_000
+WINDOW = 1_000_000
 #: Members of a key that are paired fully.
 SMALL = 8
 #: Bytes of packed entries that one bucket task should get.

@@ -14,15 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_map(
-    df: DataFrame, columns: list[str], each: Callable[[pa.RecordBatch], Iterable[dict[str, object]]], schema: str | StructType
+    df: DataFrame, columns: list[str], each: Callable[[pa.RecordBatch], Iterable[dict[str, object]]], schema: str | StructType,
+    rows: int = 1 << 30,
 ) -> DataFrame:
-    """Maps Arrow batches: ``each`` gets a batch with ``columns`` in this order and yields dicts of arrays, one per
-    column of ``schema`` in its order."""
+    """Maps Arrow batches: ``each`` gets a batch with ``columns`` in this order, of at most ``rows`` rows, and yields dicts of
+    arrays, one per column of ``schema`` in its order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                for made in each(batch):
+            for at in range(0, batch.num_rows, rows):
+                for made in each(batch.slice(at, rows)):
                     arrays = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in made.values()]
                     yield pa.RecordBatch.from_arrays(arrays, names=list(made))
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.chunkids import CALL_BYTES
 from tallyloom.llm.frames import arrow_map
 from tallyloom.llm.textbatch import Texts
 from tallyloom.llm.tokens import crc, encoder, with_end
@@ -97,7 +98,7 @@ def pieces(
 
     def each(batch: pa.RecordBatch):
         encode = encoder(tokenizer, cut)
-        for first, end, texts in Texts.from_arrow(batch.column(1)).slices():
+        for first, end, texts in Texts.from_arrow(batch.column(1)).slices(CALL_BYTES):
             flat, sizes = with_end(*encode(texts), end_id)
             made = -(-sizes // capacity)
             owner = np.repeat(np.arange(len(sizes)), made)

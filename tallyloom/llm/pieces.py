@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyloom.llm.chunkids import ChunkEncoder, before_blank
+from tallyloom.llm.chunkids import CALL_BYTES, ChunkEncoder, before_blank
 from tallyloom.llm.frames import arrow_map
 from tallyloom.llm.textbatch import Texts
 
@@ -131,7 +131,7 @@ def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text: st
 
     def each(batch: pa.RecordBatch):
         model, encoder = _loaded(model_path)
-        for first, end, texts in Texts.from_arrow(batch.column(1)).slices():
+        for first, end, texts in Texts.from_arrow(batch.column(1)).slices(CALL_BYTES):
             flat, sizes = encoder(_prefixed(texts))
             ends = np.cumsum(sizes)
             wide = flat.astype("<u4")

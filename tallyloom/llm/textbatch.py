@@ -23,7 +23,7 @@ _RADIX_INVERSE = U64(pow(int(_RADIX), -1, 2**64))
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes per slice of a batch; bounds the working arrays of a task whatever the batch holds.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 

@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.chunkids import ChunkEncoder, at_words, before_space
-from tallyloom.llm.textbatch import SLICE_BYTES, Texts
+from tallyloom.llm.chunkids import CALL_BYTES, ChunkEncoder, at_words, before_space
+from tallyloom.llm.textbatch import Texts
 from tallyloom.llm.wavelet import WaveletMatrix, build
 from tallyloom.session import new_path, written
 
@@ -95,7 +95,7 @@ def write_shards(
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], names=[c.split()[0] for c in MANIFEST.split(", ")])
 
         for batch in batches:
-            for first, end, texts in Texts.from_arrow(batch.column(1)).slices(min(SLICE_BYTES, 2 * shard_tokens)):
+            for first, end, texts in Texts.from_arrow(batch.column(1)).slices(min(CALL_BYTES, 2 * shard_tokens)):
                 flat, sizes = with_end(*encode(texts), end_id)
                 parts.append(flat)
                 counts.append(sizes)
