@@ -72,11 +72,11 @@ def shingle_sets(texts: Texts, width: int = WIDTH) -> tuple[np.ndarray, np.ndarr
 
 
 def digests(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set; equal sets have equal names."""
+    """A 63-bit name of each set, so that it is positive as a long; equal sets have equal names."""
     stops = np.cumsum(sizes)
     sums = np.zeros(len(sets) + 1, U64)
     np.cumsum(mix(sets ^ U64(0x6A09E667F3BCC909)), dtype=U64, out=sums[1:])
-    return mix(sums[stops] - sums[stops - sizes] + sizes.astype(U64) * U64(0x9E3779B97F4A7C15))
+    return mix(sums[stops] - sums[stops - sizes] + sizes.astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(1)
 
 
 def _projections(
@@ -224,7 +224,7 @@ def verified(pairs: DataFrame, sequences: DataFrame, width: int, percent: int) -
         keep = pa.array(linked, pa.bool_())
         yield {"a": batch.column(0).filter(keep), "b": batch.column(1).filter(keep)}
 
-    return arrow_map(both, ["a", "b", "words_a", "words_b"], each, "a long, b long")
+    return arrow_map(both, ["a", "b", "words_a", "words_b"], each, "a long, b long", rows=256)
 
 
 def link_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -262,13 +262,11 @@ def link_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     large = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("digest")).distinct()
     placed = large.join(joined.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     placed = written(placed, "large-keys")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_rows = placed.join(mixed, "key", "left_semi").select("key", F.col("digest").alias("a"), F.col("component").alias("ca"))
-    other = open_rows.select("key", F.col("a").alias("b"), F.col("ca").alias("cb"))
-    crossed = open_rows.join(other, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    crossed = written(sized(crossed, classes, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "crossed")
-    if not crossed.isEmpty():
-        more = _compare(docs, crossed, id_column, text, width, percent)
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("digest").alias("center"))
+    rows = placed.join(mixed.where("x <> y").select("key", "center"), "key").select("center", "digest", "component").distinct()
+    rows = written(rows.join(classes.select("digest", F.col("rep").alias("id")), "digest"), "open-members")
+    if not rows.isEmpty():
+        more = _within_groups(docs, rows, id_column, text, width, percent)
         joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     # components of classes, then of the documents in them; a class without links is its own
@@ -282,6 +280,88 @@ def link_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     return rows.unionByName(alone.select("id", "n_shingles", "component_id")).withColumnRenamed("id", id_column)
 
 
+#: Members of a group that one task compares with each other, or with as many of another block.
+BLOCK = 1024
+#: Counters of a set's sketch: elements per hash class. Their differences never exceed the sets' difference.
+CLASSES = 256
+
+
+def _sketch(own: np.ndarray) -> np.ndarray:
+    return np.minimum(np.bincount((own >> U64(40)).astype(np.int64) & (CLASSES - 1), minlength=CLASSES), 255).astype(np.int16)
+
+
+def _joined_members(words: list[bytes], labels: np.ndarray, sides: np.ndarray | None, width: int, percent: int) -> list[tuple[int, int]]:
+    """Links (row, row) between members of different components, one for each two components that they join.
+
+    Pairs whose sketches differ more than linked sets can are passed over; the rest are compared in full unless they are
+    joined by then. With ``sides`` only rows of different sides meet.
+    """
+    sets = [_set_of(w, width) for w in words]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, label, share = np.unique(labels, return_inverse=True, return_counts=True)
+    # members of the largest component last: rows after the last other one need no turn of their own
+    order = np.argsort(share[label], kind="stable")
+    turns = len(order) if sides is not None else int(np.count_nonzero(label != label[order[-1]]))
+    sketches = np.stack([_sketch(sets[i]) for i in order])
+    parent = list(range(len(share)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links = []
+    for at in range(turns):
+        i = int(order[at])
+        rest = order[at + 1 :]
+        a, b = sizes[i], sizes[rest]
+        fits = (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent) & (label[rest] != label[i])
+        if sides is not None:
+            fits &= sides[rest] != sides[i]
+        chosen = np.flatnonzero(fits)
+        if not len(chosen):
+            continue
+        apart = np.abs(sketches[at + 1 + chosen] - sketches[at]).sum(axis=1)
+        near = apart <= most_apart(a, b[chosen], percent)
+        for j in rest[chosen[near]][np.argsort(apart[near], kind="stable")].tolist():
+            p, q = root(int(label[i])), root(int(label[j]))
+            if p != q:
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * shared >= percent * (sizes[i] + sizes[j] - shared):
+                    parent[max(p, q)] = min(p, q)
+                    links.append((i, j))
+    return links
+
+
+def _within_groups(docs: DataFrame, rows: DataFrame, id_column: str, text: str, width: int, percent: int) -> DataFrame:
+    """Verified links (a, b) that join components inside the groups of ``rows`` (center, digest, component, id).
+
+    Keys with one smallest member form a group, since their members are mostly the same. A group larger than BLOCK is
+    cut into blocks, and every two blocks meet in a task of their own.
+    """
+    sizes = rows.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    cut = rows.join(sizes, "center").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = cut.select(
+        "center", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "component", "id"
+    )
+    sequences = _sequences(docs, id_filter(rows.select("id").distinct(), "id"), id_column, text, width)
+    full = placed.join(sequences, ["digest", "id"])
+
+    def one(part: pa.Table) -> pa.Table:
+        digest = part["digest"].to_numpy()
+        _, first = np.unique(digest, return_index=True)
+        digest, labels, block = digest[first], part["component"].to_numpy()[first], part["block"].to_numpy()[first]
+        words = part["words"].take(pa.array(first)).to_pylist()
+        apart = part["i"][0].as_py() != part["j"][0].as_py()
+        links = _joined_members(words, labels, block if apart else None, width, percent)
+        ends = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"a": digest[ends[:, 0]], "b": digest[ends[:, 1]]})
+
+    return written(full.groupBy("center", "i", "j").applyInArrow(one, "a long, b long"), "links")
+
+
 def sized(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, id_a, id_b) whose sizes allow a link."""
     left = classes.select(F.col("digest").alias("a"), F.col("rep").alias("id_a"), F.col("n").alias("n_a"))
