@@ -48,7 +48,41 @@ def op3_quality_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-@query("op4_rule_ledger")
+WORDS_SQL = r"""
+w AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)"""
+
+#: The rules of policy v1 in SQL, in the order of their bits.
+RULES_SQL = [
+    "n_words < 20", "100 * n_repeat_words > 30 * n_words", "100 * n_symbols > 20 * n_words", "100 * n_dup_lines > 30 * n_lines",
+    "100 * word_chars > 1500 * n_words", "100 * n_upper > 30 * word_chars", "100 * n_bangs > 30 * n_words",
+    "100 * n_same_next > 20 * n_words",
+]
+BITS_SQL = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(RULES_SQL))
+
+
+@query(
+    "op4_rule_ledger",
+    rf"""
+    WITH {WORDS_SQL}, windows AS (
+      SELECT row, i, array_to_string(ws[i : i + 7], ' ') AS g FROM w, unnest(range(1, len(ws) - 6)) r(i) WHERE len(ws) >= 8
+    ), twice AS (SELECT row, g FROM windows GROUP BY 1, 2 HAVING count(*) > 1),
+    covered AS (
+      SELECT row, count(DISTINCT i + k) AS n FROM windows JOIN twice USING (row, g), unnest(range(0, 8)) o(k) GROUP BY 1
+    ), lines AS (SELECT row, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM w),
+    m AS (
+      SELECT doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+        coalesce(covered.n, 0) AS n_repeat_words, len(ls) AS n_lines, len(regexp_extract_all(t, '[A-Z]')) AS n_upper,
+        len(regexp_extract_all(t, '!')) AS n_bangs,
+        len(list_filter(range(1, len(ws)), lambda i: ws[i] = ws[i + 1])) AS n_same_next
+      FROM w JOIN lines USING (row) LEFT JOIN covered USING (row)
+    ), b AS (SELECT *, CAST({BITS_SQL} AS BIGINT) AS failed_bits FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed,
+      failed_bits = 0 AS kept, failed_bits FROM b
+    """,
+)
 def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rules.ledger(table(spark, sf_dir, "documents"))
     rows = rules.apply_policy(rules.apply_policy(rows, "base", "base_kept"), "v1")
@@ -117,7 +151,26 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-@query("op1_ngram_join")
+@query(
+    "op1_ngram_join",
+    r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+      FROM documents WHERE doc_id IS NOT NULL
+    ), s AS (
+      SELECT doc_id, CASE WHEN len(ws) >= 5
+          THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')))
+        WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w
+    ), e AS MATERIALIZED (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+    links AS MATERIALIZED (
+      SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b USING (g) WHERE a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+    ), ends AS MATERIALIZED (SELECT x, y FROM links UNION SELECT y, x FROM links),
+    reach(x, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT ends.y, reach.c FROM reach JOIN ends ON ends.x = reach.x)
+    SELECT s.doc_id, len(sh) AS n_shingles, min(c) AS component_id FROM s JOIN reach ON reach.x = s.doc_id GROUP BY s.doc_id, sh
+    """,
+)
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_groups(table(spark, sf_dir, "documents"))
 

@@ -76,6 +76,24 @@ def test_links_match_brute_force(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None) == brute_groups(rows)
 
 
+@pytest.mark.parametrize("block", [1024, 9])
+def test_large_group_at_the_limit_of_similarity(spark, monkeypatch, block):
+    """Copies that differ about as much as links allow: few are linked with any one of them."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(21)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for _ in range(160):
+        own = list(base)
+        for _ in range(rng.randint(1, 5)):
+            own[rng.randrange(150)] = f"e{rng.randint(0, 10**6)}"
+        texts.append(" ".join(own))
+    rows = list(enumerate(texts))
+    want = brute_groups(rows)
+    assert 2 < len({c for _, _, c in want}) < 100
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in linked(spark, rows).collect()) == want
+
+
 def test_links_do_not_depend_on_the_known_shingles(spark, monkeypatch):
     rng = random.Random(4)
     shared = " ".join(f"s{i}" for i in range(60))
@@ -122,9 +140,12 @@ def test_large_keys_leave_a_task_as_one_entry():
 
 def test_components_of_stars_chains_and_rings(spark):
     edges = [(0, i) for i in range(1, 40)] + [(100 + i, 101 + i) for i in range(30)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(5, 5), (130, 131), (131, 130)]
-    made = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    want = {i: 0 for i in range(40)} | {i: 100 for i in range(100, 132)} | {i: 200 for i in range(200, 209)}
-    assert made == want
+    edges += [(400 - i, 399 - i) for i in range(60)] + [(500 + i * 37 % 101, 500 + (i + 1) * 37 % 101) for i in range(100)]
+    groups = {}
+    for r in components(spark.createDataFrame(edges, "a long, b long")).collect():
+        groups.setdefault(r.component, set()).add(r.node)
+    want = [range(40), range(100, 132), range(200, 209), range(340, 401), range(500, 601)]
+    assert sorted(map(sorted, groups.values())) == [list(x) for x in want] and all(k in v for k, v in groups.items())
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
