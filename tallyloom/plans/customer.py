@@ -221,15 +221,21 @@ def kept_orders(spark: SparkSession, sf: str):
     return orders, cv.as_of(orders)
 
 
-def kept_transactions(spark: SparkSession, sf: str) -> DataFrame:
-    """The flat transaction table, joined and written once for plans with several item branches:
-    each branch then scans its own columns instead of repeating two fact-sized joins."""
-    return written(b.transactions(spark, sf), "transactions")
+#: What the item features read of a transaction; order features need the sale, the date and the amounts too.
+ITEM_COLUMNS = [
+    "cust_id", "prod_id", "order_date", "sale_revenue", "web_only", "outlet", "brand", "size", "color", "category", "season",
+]
+
+
+def kept_transactions(spark: SparkSession, sf: str, columns=None) -> DataFrame:
+    """The flat transaction table with the columns a plan needs, joined and written once for plans with several item
+    branches: each branch then scans its own columns instead of repeating two fact-sized joins."""
+    return written(b.transactions(spark, sf).select(*(columns or ["*"])), "transactions")
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
     """The whole feature matrix over the written transaction and order tables."""
-    tx = kept_transactions(spark, sf)
+    tx = kept_transactions(spark, sf, [*ITEM_COLUMNS, "sale_id", "sale_discount", "returned_to"])
     orders = written(cv.order_rollup(tx), "orders")
     return cv.feature_matrix(tx, orders, cv.as_of(orders), YEARS, b.CATEGORIES, b.SEASONS)
 
@@ -362,7 +368,7 @@ def _(spark, sf):
 
 @query("product_preferences", _features_sql(G_PREFS, source="items"))
 def _(spark, sf):
-    return _pick(cv.preferences(kept_transactions(spark, sf)), G_PREFS)
+    return _pick(cv.preferences(kept_transactions(spark, sf, ITEM_COLUMNS)), G_PREFS)
 
 
 @query("group_share", with_sql(FEAT_SQL, select="""
