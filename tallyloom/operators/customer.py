@@ -22,6 +22,8 @@ CUST = "cust_id"
 LOOKBACKS = (90, 180, 365)
 MONEY = "decimal(18,4)"
 ENTROPY_EPSILON = 1e-12
+# Fixed values of the cycle features: days expected orders are counted over, and the floor of that count.
+EXPECTED_DAYS, EXPECTED_FLOOR = 90.0, 0.01
 
 
 # --- preparation ------------------------------------------------------------------------------
@@ -430,7 +432,7 @@ def cycle_columns(f: DataFrame) -> DataFrame:
             "rev_y2_q4_log": F.log1p(floor0(c("rev_y2_q4"))),
             "q4_to_q3_rev_ratio": ratio(c("rev_y2_q4"), c("rev_y2_q3") + 1),
             "recent_vs_expected": ratio(
-                c("orders_last90d"), F.lit(90.0) / (c("avg_ipt") + 1) + 0.01
+                c("orders_last90d"), F.lit(EXPECTED_DAYS) / (c("avg_ipt") + 1) + EXPECTED_FLOOR
             ),
             "max_val_x_freq_inv_rec": ratio(c("max_order_val") * c("frequency"), c("recency") + 1),
             "freq_per_active_month": ratio(c("frequency"), c("n_active_months") + 1),

@@ -24,6 +24,18 @@ SCORES = "qid bigint, id string, cosine double"
 UNKNOWN_TITLE = "Unknown title"
 NO_REVIEWS = "No reviews available."
 NO_MATCHES = "No games were found matching your query."
+LINE = ("app_id={}", " | {}", " | {}", " | tags: {}")
+BLOCK = ("Game: {}", "\nDescription: {}", "\nGenres: {}", " | Tags: {}", "\nPlayer reviews: {}")
+SENTENCE = ('Based on your search for "{}"', ", the closest matches are: {}.")
+
+
+def _filled(template: Sequence[str], *values: Column) -> Column:
+    """The parts of a fixed format with a column in each gap."""
+    parts = []
+    for text, value in zip(template, values, strict=True):
+        before, after = text.split("{}")
+        parts += [F.lit(before), value, F.lit(after)]
+    return F.concat(*parts)
 
 
 # --- vector search ----------------------------------------------------------------------------
@@ -325,10 +337,7 @@ def candidate_lines(candidates: DataFrame, records: DataFrame, excerpt: int = 15
     """One text block per query listing its candidates, for a ranker to read."""
     known = record_defaults(records)
     short = F.regexp_replace(F.substring("short_description", 1, excerpt), "\n", " ")
-    line = F.concat(
-        F.lit("app_id="), F.col("app_id"), F.lit(" | "), F.col("name"), F.lit(" | "), short,
-        F.lit(" | tags: "), joined("tags"),
-    )
+    line = _filled(LINE, F.col("app_id"), F.col("name"), short, joined("tags"))
     rows = candidates.join(known, candidates["id"] == known["app_id"])
     return rows.groupBy("qid").agg(_in_order(line, "rank", "\n").alias("block"))
 
@@ -344,11 +353,9 @@ def answer_context(matches: DataFrame, records: DataFrame, best_reviews: DataFra
     quoted = F.concat(F.lit('"'), F.substring("review", 1, quote), F.lit('"'))
     wanted = best_reviews.join(matches.select(F.col("id").alias("appid")).distinct(), "appid", "left_semi")
     quotes = wanted.groupBy(F.col("appid").alias("app_id")).agg(_in_order(quoted, "rank", " | ").alias("quotes"))
-    block = F.concat(
-        F.lit("Game: "), F.col("name"),
-        F.lit("\nDescription: "), F.substring("short_description", 1, excerpt),
-        F.lit("\nGenres: "), joined("genres"), F.lit(" | Tags: "), joined("tags"),
-        F.lit("\nPlayer reviews: "), F.coalesce("quotes", F.lit(NO_REVIEWS)),
+    block = _filled(
+        BLOCK, F.col("name"), F.substring("short_description", 1, excerpt), joined("genres"), joined("tags"),
+        F.coalesce("quotes", F.lit(NO_REVIEWS)),
     )
     rows = matches.join(known, matches["id"] == known["app_id"]).join(quotes, "app_id", "left")
     return rows.groupBy("qid").agg(_in_order(block, "rank", "\n\n").alias("context"))
@@ -362,8 +369,5 @@ def plain_answer(queries: DataFrame, matches: DataFrame, records: DataFrame) ->
             _in_order(F.col("name"), "rank", ", ").alias("names")
         )
     )
-    found = F.concat(
-        F.lit('Based on your search for "'), F.col("query"),
-        F.lit('", the closest matches are: '), F.col("names"), F.lit("."),
-    )
+    found = _filled(SENTENCE, F.col("query"), F.col("names"))
     return queries.join(first, "qid", "left").select("qid", F.coalesce(found, F.lit(NO_MATCHES)).alias("answer"))
