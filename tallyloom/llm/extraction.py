@@ -230,7 +230,10 @@ def count_labelled(page: str | None) -> dict[str, list[int]]:
 def fit_weights(pages: DataFrame, id_column: str = "page_id", html: str = "html", max_pages: int = MAX_FIT_PAGES) -> Weights:
     """Weights from labelled pages: those that mark their article with an article or main element. At most
     ``max_pages`` pages take part, smallest hashes of the id first; without any, the prior counts alone decide."""
-    some = pages.where(F.col(html).rlike("(?i)<(article|main)[\\s>]")).orderBy(F.xxhash64(id_column), id_column).limit(max_pages)
+    marked = pages.where(F.col(id_column).isNotNull() & F.col(html).rlike("(?i)<(article|main)[\\s>]")).select(id_column).distinct()
+    # ids first: the one task that merges the smallest hashes then reads no pages
+    chosen = marked.orderBy(F.xxhash64(id_column), id_column).limit(max_pages)
+    some = pages.join(F.broadcast(chosen), id_column, "left_semi")
 
     def each(batch: pa.RecordBatch):
         total: dict[str, list[int]] = {}
