@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Entries that a map task gathers before it packs them.
-WINDOW = 1_000_000
+WINDOW = 500_000
 #: Members of a key that are paired fully.
 SMALL = 8
 #: Bytes of packed entries that one bucket task should get.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 8 << 20
 
 PACKED = "bucket int, kind int, x binary, y binary"
 PAIRS = "kind int, a long, b long"

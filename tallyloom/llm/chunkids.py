@@ -16,7 +16,7 @@ from tallyloom.llm.textbatch import SPACE, Texts
 MEMO = 1_000_000
 
 #: Bytes of text per call of an encoder: larger slices look fewer pieces up twice.
-CALL_BYTES = 4 << 20
+CALL_BYTES = 2 << 20
 
 Encode = Callable[[list[str]], list[list[int]]]
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.buckets import PACKED, Packer, bucket_count, match
 from tallyloom.llm.components import components
-from tallyloom.llm.frames import arrow_map
+from tallyloom.llm.frames import arrow_map, release
 from tallyloom.llm.textbatch import Texts, mix, shingles
 from tallyloom.session import written
 
@@ -250,6 +250,7 @@ def link_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                 sets, sizes = shingle_sets(texts, width)
                 keys, holders = signatures(sets, sizes, frequent, percent)
                 yield from packer.add(keys, digests(sets, sizes)[holders])
+            release()
         yield from packer.flush()
 
     packed = docs.where(F.col(id_column).isNotNull()).select(text).mapInArrow(pack, PACKED)

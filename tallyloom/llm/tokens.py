@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.chunkids import CALL_BYTES, ChunkEncoder, at_words, before_space
+from tallyloom.llm.frames import release, small_batches
 from tallyloom.llm.textbatch import Texts
 from tallyloom.llm.wavelet import WaveletMatrix, build
 from tallyloom.session import new_path, written
@@ -67,6 +68,7 @@ def write_shards(
     Null texts count as empty: only the end id. Rows with a null id come first; rows that share an id follow one
     another by text. Other columns are ignored; an empty table writes no shard.
     """
+    small_batches(docs.sparkSession)
     folder = folder or new_path(docs.sparkSession, "tokens")
     ordered = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
     ordered = ordered.repartitionByRange("id").sortWithinPartitions("id", "text")
@@ -103,6 +105,7 @@ def write_shards(
                 held += len(flat)
                 if held >= shard_tokens:
                     yield flush()
+            release()
         if ids:
             yield flush()
 
