@@ -13,10 +13,10 @@ import numpy as np
 from tallyloom.llm.textbatch import SPACE, Texts
 
 #: Distinct pieces that a worker remembers at most; about 25 bytes each plus their ids.
-MEMO = 1_000_000
+MEMO = 500_000
 
 #: Bytes of text per call of an encoder: larger slices look fewer pieces up twice.
-CALL_BYTES = 2 << 20
+CALL_BYTES = 1 << 20
 
 Encode = Callable[[list[str]], list[list[int]]]
 

@@ -40,8 +40,8 @@ def encoder(path: str, cut: str) -> ChunkEncoder:
 
     def encode(pieces: list[str]) -> list[list[int]]:
         out = []
-        for a in range(0, len(pieces), 20_000):
-            out += [x.ids for x in tokenizer.encode_batch_fast(pieces[a : a + 20_000], add_special_tokens=False)]
+        for a in range(0, len(pieces), 5_000):
+            out += [x.ids for x in tokenizer.encode_batch_fast(pieces[a : a + 5_000], add_special_tokens=False)]
         return out
 
     return ChunkEncoder({"space": before_space, "words": at_words}[cut], encode)
