@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.buckets import PACKED, Packer, bucket_count, match
@@ -165,9 +165,14 @@ def frequent_shingles(docs: DataFrame, id_column: str, text: str, width: int) ->
 
 
 def id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A filter of FILTER_BITS bits that holds every id: built from at most 2**(FILTER_BITS - 6) aggregated rows."""
-    place = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
-    words = ids.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{column}`), {1 << FILTER_BITS}) & 63 as int))").alias("bits"))
+    """A filter of FILTER_BITS bits that holds every id."""
+    return place_filter(ids, F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS)))
+
+
+def place_filter(rows: DataFrame, place: Column) -> np.ndarray:
+    """A filter of FILTER_BITS bits that holds every place: built from at most 2**(FILTER_BITS - 6) aggregated rows."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    words = rows.select(F.shiftright(place, 6).alias("word"), bit.alias("bits"))
     out = np.zeros(1 << (FILTER_BITS - 6), U64)
     for r in words.groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
         out[r["word"]] = np.int64(r["bits"]).view(U64)

@@ -215,6 +215,31 @@ def test_repeated_passages_are_found_and_real(spark, seed, monkeypatch):
         assert places <= covered.get(i, set()), i
 
 
+@pytest.mark.parametrize("window", [300_000, 2000])
+def test_passages_that_continue_a_frequent_line(spark, monkeypatch, window):
+    """A line under 50 words stands in many documents; words beside it are shared by two or three documents each."""
+    monkeypatch.setattr(passages, "WINDOW", window)
+    rng = random.Random(8)
+    fresh = lambda k: [f"u{rng.randint(0, 10**9)}" for _ in range(k)]
+    line = fresh(45)
+    bodies = [fresh(60) + line + fresh(60) for _ in range(40)]
+    for n in range(40):
+        before, behind = fresh(n % 9), fresh(8 - n % 9)
+        for _ in range(2 + n % 2):
+            bodies.append(fresh(20) + before + line + behind + fresh(30) + (before + line + behind + fresh(9) if n % 5 == 0 else []))
+    late = bodies[40:]
+    rng.shuffle(late)
+    rows = list(enumerate(" ".join(b) for b in bodies[:40] + late))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    covered = {}
+    for r in passages.repeats(df).collect():
+        covered.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    want = run_cover(rows, 50)
+    assert len(want) > 50
+    for i, places in want.items():
+        assert places <= covered.get(i, set()), i
+
+
 def test_near_copies_of_passages_are_found(spark):
     rng = random.Random(5)
     passage = [f"p{i}" for i in range(100)]
