@@ -305,8 +305,8 @@ def _joined_members(words: list[bytes], labels: np.ndarray, sides: np.ndarray |
     sets = [_set_of(w, width) for w in words]
     sizes = np.array([len(x) for x in sets], np.int64)
     _, label, share = np.unique(labels, return_inverse=True, return_counts=True)
-    # members of the largest component last: rows after the last other one need no turn of their own
-    order = np.argsort(share[label], kind="stable")
+    # members of one largest component last: rows after the last other one need no turn of their own
+    order = np.lexsort((label, share[label]))
     turns = len(order) if sides is not None else int(np.count_nonzero(label != label[order[-1]]))
     sketches = np.stack([_sketch(sets[i]) for i in order])
     parent = list(range(len(share)))

@@ -94,6 +94,18 @@ def test_large_group_at_the_limit_of_similarity(spark, monkeypatch, block):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in linked(spark, rows).collect()) == want
 
 
+def test_components_of_equal_size_are_joined_wherever_their_link_stands():
+    rng = np.random.default_rng(9)
+    fresh = lambda: rng.integers(0, 2**32, 60, dtype=np.uint32)
+    for labels in ([1, 2, 1, 2, 1, 2], [1, 1, 1, 2, 2, 2], [2, 1, 3, 1, 2, 3], [5, 1, 2, 1, 2]):
+        for i in range(len(labels)):
+            for j in range(i):
+                words = [fresh() for _ in labels]
+                words[i] = np.concatenate((words[j][:-1], words[i][:1]))
+                links = ngram_join._joined_members([w.tobytes() for w in words], np.array(labels), None, 5, 80)
+                assert [{*x} for x in links] == ([{i, j}] if labels[i] != labels[j] else []), (labels, i, j)
+
+
 def test_links_do_not_depend_on_the_known_shingles(spark, monkeypatch):
     rng = random.Random(4)
     shared = " ".join(f"s{i}" for i in range(60))
