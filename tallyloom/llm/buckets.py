@@ -3,7 +3,8 @@
 Map tasks pack (key, member) entries per bucket of keys. A key that many members of a task's window share leaves the
 task as one entry: its members are paired with the smallest of them at once. Bucket tasks pair the members of small
 keys fully and of large keys with the smallest member (a star); all members of large keys also come out as ``kind`` 1
-rows, so that a caller can go on with the keys whose members prove not to belong together.
+rows, so that a caller can go on with the keys whose members prove not to belong together. A key that any map task
+cut is named in its bucket and large there, however few entries arrive.
 """
 
 from __future__ import annotations
@@ -84,6 +85,8 @@ class Packer:
         yield from self._rows(0, keys[keep], members[keep], keys[keep])
         yield from self._rows(1, keys[hot], members[hot], members[hot])
         yield from self._rows(2, a, b, b)
+        cut = keys[starts[sizes > SMALL]]
+        yield from self._rows(3, cut, cut, cut)
 
     def _rows(self, kind: int, x: np.ndarray, y: np.ndarray, by: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(x):
@@ -105,16 +108,17 @@ class Packer:
             )
 
 
-def _pairs_of(keys: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of a bucket's sorted entries, and which entries belong to large keys."""
+def _pairs_of(keys: np.ndarray, members: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a bucket's sorted entries, and which entries belong to large keys: those of many entries and those in ``cut``."""
     starts, sizes = _runs(keys)
+    many = (sizes > SMALL) | np.isin(keys[starts], cut) if len(keys) else np.zeros(len(sizes), bool)
     made_a, made_b = [], []
     for gap in range(1, SMALL):
         # members of small keys ``gap`` places apart
-        first = np.flatnonzero(np.repeat(sizes <= SMALL, sizes)[: len(keys) - gap] & (keys[:-gap] == keys[gap:])) if len(keys) > gap else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.repeat(~many, sizes)[: len(keys) - gap] & (keys[:-gap] == keys[gap:])) if len(keys) > gap else np.zeros(0, np.int64)
         made_a.append(members[first])
         made_b.append(members[first + gap])
-    large = np.repeat(sizes > SMALL, sizes)
+    large = np.repeat(many, sizes)
     rest = large.copy()
     rest[starts] = False
     made_a.append(np.repeat(members[starts], sizes)[rest])
@@ -128,7 +132,7 @@ def _array(chunks: list, dtype=np.uint64) -> np.ndarray:
 
 def match(packed: DataFrame) -> DataFrame:
     """PAIRS rows: kind 0 has candidate pairs of members (a < b as unsigned), distinct within a bucket; kind 1 has (key, member)
-    of all keys with more than SMALL members."""
+    of all keys with more than SMALL members in all or in a map task."""
 
     def one(part: pa.Table) -> pa.Table:
         kinds = part["kind"].to_numpy()
@@ -139,12 +143,11 @@ def match(packed: DataFrame) -> DataFrame:
             return _array([xs[i] for i in chosen]), _array([ys[i] for i in chosen])
 
         keys, members = _sorted(*of(0))
-        a, b, large = _pairs_of(keys, members)
+        a, b, large = _pairs_of(keys, members, of(3)[0])
         more_a, more_b = of(2)
         a, b = _distinct_pairs(np.concatenate((a, more_a)), np.concatenate((b, more_b)))
         hot_keys, hot_members = of(1)
         hot_keys, hot_members = np.concatenate((hot_keys, keys[large])), np.concatenate((hot_members, members[large]))
-        # keys that a task packed keep one entry here that may stand alone: it is already among kind 1 rows
         return pa.table(
             {
                 "kind": pa.array(np.repeat(np.array([0, 1], np.int32), [len(a), len(hot_keys)])),

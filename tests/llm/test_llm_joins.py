@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -94,6 +95,42 @@ def test_large_group_at_the_limit_of_similarity(spark, monkeypatch, block):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in linked(spark, rows).collect()) == want
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_large_group_in_one_partition_and_a_few_copies_in_another(spark, seed):
+    """Groups at the limit of similarity whose copies are mostly in one map task: each few must meet all others."""
+    rng = random.Random(seed)
+    many, few = [], []
+    for g in range(5):
+        base = [f"g{g}b{i}" for i in range(150)]
+        for n in range(43):
+            own = list(base)
+            for _ in range(rng.randint(1, 5)):
+                own[rng.randrange(150)] = f"e{rng.randint(0, 10**6)}"
+            (few if n >= 40 else many).append(" ".join(own))
+    rows = list(enumerate(many + few))
+    df = spark.createDataFrame(rows[: len(many)], "doc_id long, text string").coalesce(1)
+    df = df.union(spark.createDataFrame(rows[len(many) :], "doc_id long, text string").coalesce(1))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_groups(df).collect()) == brute_groups(rows)
+
+
+def test_members_of_a_key_that_one_task_cut_all_come_out():
+    hot, other = buckets.Packer(1), buckets.Packer(1)
+    list(hot.add(np.full(40, 7, np.uint64), np.arange(40, dtype=np.uint64)))
+    list(other.add(np.array([7, 7, 7, 5, 5], np.uint64), np.arange(90, 95, dtype=np.uint64)))
+    rows = pa.Table.from_batches([*hot.flush(), *other.flush()])
+
+    class Packed:
+        def groupBy(self, _):
+            return self
+
+        def applyInArrow(self, one, _):
+            return one(rows).to_pylist()
+
+    made = buckets.match(Packed())
+    assert {r["b"] for r in made if r["kind"] == 1 and r["a"] == 7} == {*range(40), 90, 91, 92}
+    assert {(r["a"], r["b"]) for r in made if r["kind"] == 0} >= {(93, 94), (0, 90), (0, 39)}
+
+
 def test_components_of_equal_size_are_joined_wherever_their_link_stands():
     rng = np.random.default_rng(9)
     fresh = lambda: rng.integers(0, 2**32, 60, dtype=np.uint32)
