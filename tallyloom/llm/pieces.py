@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyloom.llm.chunkids import CALL_BYTES, ChunkEncoder, before_blank
+from tallyloom.llm.chunkids import CALL_BYTES, ChunkEncoder, before_blank, flat
 from tallyloom.llm.frames import arrow_map
 from tallyloom.llm.textbatch import Texts
 
@@ -106,8 +106,8 @@ class PieceModel:
 def _loaded(path: str) -> tuple[PieceModel, ChunkEncoder]:
     model = PieceModel.load(path)
 
-    def encode(chunks: list[str]) -> list[list[int]]:
-        return [model.encode(x.replace(" ", BLANK)) for x in chunks]
+    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return flat([model.encode(x.replace(" ", BLANK)) for x in chunks])
 
     return model, ChunkEncoder(before_blank, encode)
 

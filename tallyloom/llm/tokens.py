@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.chunkids import CALL_BYTES, ChunkEncoder, at_words, before_space
+from tallyloom.llm.chunkids import CALL_BYTES, ChunkEncoder, JoinedEncode, at_words, before_space
 from tallyloom.llm.frames import release, small_batches
 from tallyloom.llm.textbatch import Texts
 from tallyloom.llm.wavelet import WaveletMatrix, build
@@ -36,15 +36,9 @@ def encoder(path: str, cut: str) -> ChunkEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-
-    def encode(pieces: list[str]) -> list[list[int]]:
-        out = []
-        for a in range(0, len(pieces), 5_000):
-            out += [x.ids for x in tokenizer.encode_batch_fast(pieces[a : a + 5_000], add_special_tokens=False)]
-        return out
-
-    return ChunkEncoder({"space": before_space, "words": at_words}[cut], encode)
+    at, glue = {"space": (before_space, ""), "words": (at_words, " ")}[cut]
+    encode = JoinedEncode(Tokenizer.from_file(path), glue)
+    return ChunkEncoder(at, encode, encode.dtype)
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
