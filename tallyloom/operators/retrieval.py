@@ -5,7 +5,7 @@ All operators take a batch of queries as a table; ids are text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import text_or_null
-from tallyloom.session import written
 
 SCORES = "qid bigint, id string, cosine double"
 
@@ -41,7 +40,8 @@ def _filled(template: Sequence[str], *values: Column) -> Column:
 # --- vector search ----------------------------------------------------------------------------
 
 
-def _unit(rows: Sequence) -> np.ndarray:
+def unit_rows(rows: Sequence) -> np.ndarray:
+    """Vectors as rows of a matrix, scaled to length one; zero vectors stay."""
     matrix = np.array([np.asarray(r, dtype=np.float64) for r in rows])
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(norms == 0, 1.0, norms)
@@ -81,7 +81,7 @@ def _products(asked: DataFrame, held: DataFrame, keys: Sequence[str], k: int, ex
         if not len(q) or not len(i):
             return pd.DataFrame({"qid": np.zeros(0, np.int64), "id": np.zeros(0, object), "cosine": np.zeros(0)})
         return _block_best(
-            q["_qid"].to_numpy(np.int64), _unit(q["_qvec"]), i["id"].to_numpy(str), _unit(i["vec"]), k, exclude_self
+            q["_qid"].to_numpy(np.int64), unit_rows(q["_qvec"]), i["id"].to_numpy(str), unit_rows(i["vec"]), k, exclude_self
         )
 
     return asked.groupBy(*[f"_q{c}" for c in keys]).cogroup(held.groupBy(*keys)).applyInPandas(product, SCORES)
@@ -120,55 +120,6 @@ def cosine_topk(
     return _ranked(_products(asked, held, ["ib", "qb"], k, exclude_self), k)
 
 
-def _centres(items: DataFrame, most: int) -> np.ndarray:
-    """Unit vectors that cells form around: a sample of bounded size, smallest hashes first."""
-    rows = items.select("vec").orderBy(F.xxhash64("id"), "id").limit(most).collect()
-    return _unit([r["vec"] for r in rows]) if rows else np.zeros((0, 1))
-
-
-def approximate_topk(
-    queries: DataFrame,
-    items: DataFrame,
-    k: int = 20,
-    exclude_self: bool = False,
-    cells: int = 64,
-    probes: int = 48,
-    block: int = 8192,
-) -> DataFrame:
-    """Approximate k nearest items by cells around ``cells`` sampled vectors.
-
-    Every item is in the cell of its nearest centre only; a query visits the ``probes`` nearest
-    cells. Vectors travel once per cell pair, crowded cells are cut into blocks of about
-    ``block`` items. Queries that meet fewer than k items are searched exactly.
-    """
-    centres = _centres(items, cells)
-    if not len(centres):
-        return cosine_topk(queries, items, k, exclude_self)
-    broadcast = items.sparkSession.sparkContext.broadcast(centres)
-
-    def placed(key: str, kind: str, width: int) -> tuple:
-        def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                if len(frame):
-                    near = np.argsort(-(_unit(frame["vec"]) @ broadcast.value.T), axis=1, kind="stable")[:, :width]
-                    yield pd.DataFrame({key: pd.Series(frame[key].tolist(), dtype=object), "vec": list(frame["vec"]), "cell": list(near)})
-
-        return place, f"{key} {kind}, vec array<double>, cell array<int>"
-
-    doubles = lambda df, key: df.select(key, F.col("vec").cast("array<double>").alias("vec"))
-    own = doubles(items, "id").mapInPandas(*placed("id", "string", 1)).withColumn("cell", F.col("cell")[0])
-    share = items.agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int")).scalar()
-    parts = F.greatest(F.lit(1), share)
-    held = own.select("id", "vec", "cell", F.pmod(F.xxhash64("id"), parts).cast("int").alias("ib"))
-    visits = doubles(queries, "qid").mapInPandas(*placed("qid", queries.schema["qid"].dataType.simpleString(), probes))
-    asked = visits.select(
-        F.col("qid").alias("_qid"), F.col("vec").alias("_qvec"), F.explode("cell").alias("_qcell")
-    ).select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_qib"))
-    found = written(_ranked(_products(asked, held, ["cell", "ib"], k, exclude_self), k), "near")
-    short = queries.join(found.groupBy("qid").count().where(F.col("count") >= k), "qid", "left_anti")
-    return found.join(short.select("qid"), "qid", "left_anti").unionByName(cosine_topk(short, items, k, exclude_self, block))
-
-
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """One row: queries, exact neighbours, and the share of them that ``found`` has too."""
     pairs = exact.select("qid", "id").join(found.select("qid", "id", F.lit(1).alias("_hit")), ["qid", "id"], "left")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import tags_of_map
 from tallyloom.operators import retrieval as rt
+from tallyloom.operators import vector_index as vi
 from tallyloom.plans.registry import query, with_sql
 from tallyloom.session import written
 from tallyloom.sources import bindings as b
@@ -96,7 +97,7 @@ def _(spark, sf):
 
 @query("approx_cosine_topk")
 def _(spark, sf):
-    return rt.approximate_topk(b.query_vectors(spark, sf), b.vectors(spark, sf), 20, exclude_self=True)
+    return vi.approximate_topk(b.query_vectors(spark, sf), b.vectors(spark, sf), 20, exclude_self=True)
 
 
 @query("approx_recall", _sql("""
@@ -104,7 +105,7 @@ SELECT count(DISTINCT qid) AS queries, count(*) AS neighbours, true AS recall_re
 def _(spark, sf):
     """The approximate search against the exact one: all neighbours of all vectors."""
     exact = candidates(spark, sf, keep=True)
-    near = rt.approximate_topk(b.query_vectors(spark, sf), b.vectors(spark, sf), 20, exclude_self=True)
+    near = vi.approximate_topk(b.query_vectors(spark, sf), b.vectors(spark, sf), 20, exclude_self=True)
     return rt.recall(near, exact).select("queries", "neighbours", (F.col("recall") >= 0.9).alias("recall_reached"))
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tallyloom.operators import retrieval as rt
+from tallyloom.operators import vector_index as vi
 
 
 def brute(queries, items, k, exclude_self):
@@ -55,17 +56,54 @@ def test_fewer_items_than_k(spark):
     assert all(len(v) == 3 for v in got.values()) and got[0][0] == ("0", 1.0)
 
 
-def test_approximate_search_finds_most_neighbours(spark):
+@pytest.fixture(scope="module")
+def clustered():
     rng = np.random.default_rng(4)
-    centres = rng.normal(size=(10, 16))
-    data = np.repeat(centres, 30, axis=0) + 0.15 * rng.normal(size=(300, 16))
-    queries, items = tables(spark, data)
+    centres = rng.normal(size=(20, 16))
+    return np.repeat(centres, 60, axis=0) + 0.15 * rng.normal(size=(1200, 16))
+
+
+def hits(exact, near):
+    return sum(len({i for i, _ in exact[q]} & {i for i, _ in near.get(q, [])}) for q in exact) / sum(map(len, exact.values()))
+
+
+@pytest.mark.parametrize("block, query_block", [(65_536, 1024), (70, 100)])
+def test_index_finds_most_neighbours_and_reads_few_items(spark, clustered, block, query_block):
+    queries, items = tables(spark, clustered)
+    index = vi.build_index(items, 10, cells=32)
+    near = collected(vi.indexed_topk(queries, index, 10, True, block, query_block))
     exact = collected(rt.cosine_topk(queries, items, 10, True))
-    near = collected(rt.approximate_topk(queries, items, 10, True, cells=16, probes=8, block=50))
-    hits = sum(len({i for i, _ in exact[q]} & {i for i, _ in near.get(q, [])}) for q in exact)
-    assert hits / (10 * len(exact)) > 0.9
+    assert hits(exact, near) > 0.9 and all(len(rows) == 10 for rows in near.values())
+    codes, vectors = vi.visited_share(index, clustered, 10)
+    assert codes < 0.25 and vectors < 0.25 and index.items.count() == len(clustered) == index.sizes.sum()
     for q, rows in near.items():
-        assert len({i for i, _ in rows}) == len(rows)
+        assert len({i for i, _ in rows}) == len(rows) and str(q) not in dict(rows)
+
+
+def test_index_without_clusters_reads_few_whole_vectors(spark):
+    data = np.random.default_rng(9).normal(size=(1500, 32))
+    queries, items = tables(spark, data)
+    index = vi.build_index(items, 20)
+    near = collected(vi.indexed_topk(queries.where("qid % 10 = 0"), index, 20, True))
+    exact = collected(rt.cosine_topk(queries.where("qid % 10 = 0"), items, 20, True))
+    assert hits(exact, near) > 0.9 and vi.visited_share(index, data, 20)[1] < 0.25
+
+
+def test_index_of_few_equal_and_no_items(spark):
+    queries, items = tables(spark, np.array([[1.0, 0, 0], [0, 0, 0], [1.0, 0, 0], [0, 1, 0]]))
+    near = collected(vi.approximate_topk(queries, items, 3))
+    assert near[0][:2] == [("0", 1.0), ("2", 1.0)] and all(len(rows) == 3 for rows in near.values())
+    assert vi.approximate_topk(queries, items.limit(0), 3).count() == 0
+
+
+def test_blocks_hold_cells_of_any_size():
+    sizes = np.array([3, 0, 30, 5, 4, 9])
+    first, parts = vi._blocks(sizes, 10)
+    assert parts.tolist() == [1, 1, 3, 1, 1, 1]
+    held = np.zeros(first.max() + 1)
+    for f, p, n in zip(first, parts, sizes):
+        held[f : f + p] += n / p
+    assert held.max() <= 10 and held.sum() == sizes.sum()
 
 
 @pytest.fixture(scope="module")
