@@ -6,8 +6,12 @@ and only class pairs are shuffled. A division by zero counts as 0.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -307,6 +311,12 @@ def rank_correlation(
         F.min("_lo").alias("_lo"),
         F.max("_hi").alias("_hi"),
     )
+    return _correlation(ranges, groups)
+
+
+def _correlation(ranges: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """n and rho per group from the sums of its value ranges: rows and values, ranks inside the range (sum, squares, times
+    the target's rank), the target's ranks (sum, squares, least, greatest)."""
     middle = (F.col("total") + 1) / 2.0
     size, shift = F.col("_size"), F.col("_start") - middle
     sums = range_starts(ranges, groups).groupBy(*groups).agg(
@@ -351,24 +361,88 @@ def blends(df: DataFrame, a: str, b: str, c: str, keep: Sequence[str], steps: in
     return rows.select(*keep, "ia", "ib", blend.alias("blend"))
 
 
+#: Rows that one task sorts together, and rows per value range, about.
+TOGETHER = 1 << 18
+PER_RANGE = 1 << 20
+PACKED = "point int, _bucket int, xs binary, ns binary, ys binary, _ss double, _lo double, _hi double"
+SUMS = "point int, _bucket int, _size long, _values long, _r double, _rr double, _rs double, _s double, _ss double, _lo double, _hi double"
+
+
+def _packed_blends(points: np.ndarray, cuts: np.ndarray, y: np.ndarray, models: np.ndarray) -> pa.RecordBatch:
+    """One row per grid point and value range: the distinct blends in order, their rows, and the sum of their target ranks."""
+    rows: dict[str, list] = {f.split()[0]: [] for f in PACKED.split(", ")}
+    for point, (weights, cut) in enumerate(zip(points, cuts)):
+        blend = weights[0] * models[0] + weights[1] * models[1] + weights[2] * models[2]
+        order = np.argsort(blend, kind="stable")
+        x, own = blend[order], y[order]
+        first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+        n, s = np.diff(np.append(first, len(x))), np.add.reduceat(own, first)
+        bucket = np.searchsorted(cut, x[first], "left")
+        starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        inner = first[starts]
+        rows["_ss"] += np.add.reduceat(own * own, inner).tolist()
+        rows["_lo"] += np.minimum.reduceat(own, inner).tolist()
+        rows["_hi"] += np.maximum.reduceat(own, inner).tolist()
+        rows["_bucket"] += bucket[starts].tolist()
+        rows["point"] += [point] * len(starts)
+        for name, values in (("xs", x[first]), ("ns", n), ("ys", s)):
+            rows[name] += [part.tobytes() for part in np.split(values, starts[1:])]
+    kinds = {"int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+    return pa.RecordBatch.from_arrays(
+        [pa.array(rows[f.split()[0]], kinds[f.split()[1]]) for f in PACKED.split(", ")], names=list(rows)
+    )
+
+
+def _range_sums(part: pa.Table) -> pa.Table:
+    """The sums of one value range of one grid point over the packed blends of all tasks."""
+    x, n, s = (np.frombuffer(b"".join(part[c].to_pylist()), kind) for c, kind in (("xs", "f8"), ("ns", "i8"), ("ys", "f8")))
+    order = np.argsort(x, kind="stable")
+    x, n, s = x[order], n[order], s[order]
+    first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    n, s = np.add.reduceat(n, first), np.add.reduceat(s, first)
+    local = np.cumsum(n) - n + (n + 1) / 2.0
+    low, high = pc.min(part["_lo"]).as_py(), pc.max(part["_hi"]).as_py()
+    sums = [int(n.sum()), len(n), float((n * local).sum()), float((n * local * local).sum()), float((local * s).sum()), float(s.sum())]
+    row = [part["point"][0].as_py(), part["_bucket"][0].as_py(), *sums, pc.sum(part["_ss"]).as_py(), low, high]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+    return pa.table({f.split()[0]: pa.array([v], kinds[f.split()[1]]) for f, v in zip(SUMS.split(", "), row)})
+
+
 def ensemble_search(df: DataFrame, y: str, a: str, b: str, c: str, steps: int = 20) -> DataFrame:
     """Spearman of every blend; the first maximum in (weight a, weight b) order is best.
 
-    The target is ranked once; blends are ranked per grid point with that point's own ranges.
+    The target is ranked once. Every task blends and sorts its own rows for each grid point and hands on, per point
+    and value range, its distinct blends as one packed row; a range is then merged and ranked in one task, and
+    the rows of lower ranges are a shift of its sums. No row is copied per grid point. The ranges of all points come
+    from one sample of the rows, 50 for each range; they only balance the work.
     """
-    target = written(average_rank(df.select(y, a, b, c), y, out="_y").select("_y", a, b, c), "ranked-target")
-    # the cuts of every grid point come from one sample of the rows, before any copies are made: one row per point
-    buckets = bucket_count(df)
-    some = target.orderBy(F.xxhash64(a, b, c)).limit(50 * buckets)
-    fractions = [i / buckets for i in range(1, buckets)]
-    cuts = blends(some, a, b, c, [], steps).groupBy("ia", "ib").agg(
-        F.array_distinct(F.percentile_approx("blend", fractions, 10 * buckets)).alias("_cuts")
-    )
-    copies = blends(target, a, b, c, ["_y"], steps).where(F.col("blend").isNotNull())
-    placed = copies.join(F.broadcast(cuts), ["ia", "ib"]).withColumn(
-        "_bucket", bucket_of(F.col("blend"), F.col("_cuts"), buckets)
-    ).drop("_cuts")
-    scores = rank_correlation(copies, "_y", "blend", ["ia", "ib"], placed)
+    spark = df.sparkSession
+    target = written(average_rank(df.select(y, a, b, c).na.drop(), y, out="_y").select("_y", a, b, c), "ranked-target")
+    buckets = max(bucket_count(df), math.ceil(target.count() / PER_RANGE))
+    grid = [(i, j) for i in range(steps + 1) for j in range(steps + 1 - i)]
+    points = np.array([(i / float(steps), j / float(steps), (steps - i - j) / float(steps)) for i, j in grid])
+    some = target.select(a, b, c).orderBy(F.xxhash64(a, b, c)).limit(50 * buckets).collect()
+    sample = points @ np.array([tuple(r) for r in some], float).reshape(-1, 3).T
+    at = (np.arange(1, buckets) * sample.shape[1]) // buckets
+    cuts = np.sort(sample, axis=1)[:, at] if len(some) else np.zeros((len(grid), 0))
+    shared = spark.sparkContext.broadcast((points, cuts))  # points x ranges
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(np.stack([x.to_numpy() for x in batch.columns]))
+            if sum(x.shape[1] for x in held) >= TOGETHER:
+                rows = np.concatenate(held, axis=1)
+                held = []
+                yield _packed_blends(*shared.value, rows[0], rows[1:])
+        if held and sum(x.shape[1] for x in held):
+            rows = np.concatenate(held, axis=1)
+            yield _packed_blends(*shared.value, rows[0], rows[1:])
+
+    kinds = target.select(*(F.col(x).cast("double") for x in ("_y", a, b, c)))
+    ranges = kinds.mapInArrow(pack, PACKED).groupBy("point", "_bucket").applyInArrow(_range_sums, SUMS)
+    place = spark.createDataFrame([(n, i, j) for n, (i, j) in enumerate(grid)], "point int, ia int, ib int")
+    scores = place.join(F.broadcast(_correlation(ranges, ["point"])), "point")  # one row per grid point
     scores = scores.select(
         (F.col("ia") / float(steps)).alias("wa"),
         (F.col("ib") / float(steps)).alias("wb"),
