@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.operators import boosting as bo
 from tallyloom.operators import customer as cv
 from tallyloom.operators import models as ml
 from tallyloom.operators import sampling as sa
 from tallyloom.plans.customer import FIXED_COLUMNS, G_PIVOT, encoding_input, features
-from tallyloom.plans.registry import query
+from tallyloom.plans.registry import query, with_sql
 from tallyloom.plans.sampling import KEYS
 from tallyloom.session import written
 from tallyloom.sources import bindings as b
+from tallyloom.sources.bindings import TX_SQL
 
 NULLABLE = ["avg_ipt", "std_ipt", "std_order_val"]
 
@@ -63,8 +65,26 @@ def _(spark, sf):
 @query("tweedie_regression")
 def _(spark, sf):
     rows = labelled(spark, sf)
-    out = ml.tweedie(train_part(rows), rows, "revenue_label")
-    return out.select("cust_id", "part", "revenue_label", "prediction")
+    model = bo.fit_tweedie(train_part(rows), "revenue_label", "held")
+    return model.predict(rows).select("cust_id", "part", "revenue_label", "prediction")
+
+
+@query("tweedie_deviance", with_sql(TX_SQL, select="""
+SELECT true AS trees_below_linear, true AS ended_by_validation, count(*) AS customers FROM labels_clv"""))
+def _(spark, sf):
+    """Boosted trees against the linear model, both fitted on the fitting rows, by their deviance on the validating rows."""
+    rows = labelled(spark, sf)
+    train = train_part(rows)
+    model = bo.fit_tweedie(train, "revenue_label", "held")
+    held = train.where("held")
+    linear = ml.tweedie(train.where("not held"), held, "revenue_label")
+    unit = lambda df: df.agg(F.avg(bo.tweedie_deviance(
+        F.col("revenue_label") / model.scale, F.greatest(F.col("prediction") / model.scale, F.lit(1e-9)), 1.5
+    )))
+    return rows.agg(
+        (unit(model.predict(held)).scalar() < unit(linear).scalar()).alias("trees_below_linear"),
+        F.lit(model.stopped).alias("ended_by_validation"), F.count(F.lit(1)).alias("customers"),
+    )
 
 
 @query("linear_probe")

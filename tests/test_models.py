@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.operators import boosting as bo
 from tallyloom.operators import evaluation as ev
 from tallyloom.operators import models as ml
 from tallyloom.operators import sampling as sa
@@ -49,6 +50,35 @@ def test_tweedie(rows):
     assert rho(out) > 0.7 and out.where("prediction <= 0").count() == 0
 
 
+def test_boosted_tweedie_ends_by_validation_and_beats_the_linear_model(rows):
+    marked = rows.withColumn("held", F.col("id") % 5 == 0)
+    model = bo.fit_tweedie(marked, "y", "held", least=5)
+    assert model.stopped and 3 <= len(model.trees) < 4000 and min(model.history) == model.history[len(model.trees)]
+    scaled = lambda df: df.agg(F.avg(bo.tweedie_deviance(F.col("y") / model.scale, F.col("prediction") / model.scale, 1.5))).first()[0]
+    held = marked.where("held")
+    mine = scaled(model.predict(held))
+    assert mine == pytest.approx(min(model.history)) and mine < scaled(ml.tweedie(marked.where("not held"), held, "y"))
+    assert rho(model.predict(held)) > 0.7
+
+
+def test_boosting_goes_on_where_it_was(rows, spark):
+    from tallyloom.session import new_path
+
+    marked = rows.withColumn("held", F.col("id") % 5 == 0)
+    folder = new_path(spark, "resumed")
+    whole = bo.fit_tweedie(marked, "y", "held", least=5, most=7)
+    bo.fit_tweedie(marked, "y", "held", least=5, most=5, folder=folder)
+    resumed = bo.fit_tweedie(marked, "y", "held", least=5, most=7, folder=folder)
+    assert resumed.history == pytest.approx(whole.history) and len(resumed.trees) == len(whole.trees)
+
+
+def test_boosting_without_rows_or_spend(rows):
+    none = bo.fit_tweedie(rows.withColumn("held", F.lit(False)).limit(0), "y", "held")
+    assert none.trees == [] and none.predict(rows).where("prediction <> 0").count() == 0
+    zero = rows.withColumns({"held": F.col("id") % 5 == 0, "y": F.lit(None).cast("double")})
+    assert bo.fit_tweedie(zero, "y", "held").scale == 0.0
+
+
 def test_linear_probe(spark):
     rng = np.random.default_rng(1)
     label = rng.integers(0, 3, 300)
