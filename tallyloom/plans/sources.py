@@ -10,9 +10,11 @@ from tallyloom.plans.graph import PROFILE, profile
 from tallyloom.plans.registry import query, with_sql
 from tallyloom.session import new_path
 from tallyloom.sources import bindings as b
-from tallyloom.sources import readers, writers
+from tallyloom.sources import keyed_table, readers, writers
 from tallyloom.sources.bindings import GRAPH_SQL, IMAGE_SQL, PROFILE_SQL, REVPRED_SQL, RETRIEVAL_SQL, TX_SQL
+from tallyloom.sources.headed_file import write_headed_csv
 from tallyloom.sources.image_files import write_images
+from tallyloom.sources.sqlite_files import read_sqlite, write_sqlite
 from tallyloom.plans.registry import ORACLES
 
 
@@ -66,21 +68,25 @@ def _(spark, sf):
 @query("scan_games_limited", with_sql(RETRIEVAL_SQL, select="""
 SELECT app_id, name, short_description, price FROM games ORDER BY CAST(app_id AS BIGINT) LIMIT 5000"""))
 def _(spark, sf):
-    rows = b.games(spark, sf).withColumn("key", F.col("app_id").cast("bigint"))
-    return readers.read_capped(rows, "key", 5000).select("app_id", "name", "short_description", "price")
+    """The catalogue as embedded database files, one per task, and the first records of it read back."""
+    rows = b.games(spark, sf).select(F.col("app_id").cast("bigint").alias("key"), "app_id", "name", "short_description", "price")
+    folder = write_sqlite(rows, new_path(spark, "catalogue"), "games")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    games = read_sqlite(spark, folder, "games", schema).where("key is not null")
+    return readers.read_capped(games, "key", 5000).select("app_id", "name", "short_description", "price")
 
 
 @query("sink_csv_with_header", with_sql(GRAPH_SQL, select=PROFILE + " LIMIT 100"))
 def _(spark, sf):
     table = top(profile(spark, sf), "total_interactions", ["alter"], 100)
-    path = writers.write_csv(table, new_path(spark, "interactions"), single_file=True)
+    path = write_headed_csv(table, new_path(spark, "interactions") + ".csv")
     return readers.read_csv(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema))
 
 
 @query("interaction_profile_export", with_sql(GRAPH_SQL, select=PROFILE + " LIMIT 500"))
 def _(spark, sf):
     table = top(profile(spark, sf), "total_interactions", ["alter"], 500)
-    path = writers.write_csv(table, new_path(spark, "interactions"), single_file=True)
+    path = write_headed_csv(table, new_path(spark, "interactions") + ".csv")
     return readers.read_csv(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema))
 
 
@@ -115,4 +121,6 @@ def _(spark, sf):
         (F.col("vec_id") * 2).cast("string").alias("id"), (F.col("vec_id") + 2).alias("version"),
         (F.col("label") + 100).alias("label"), F.get("embedding", F.lit(1)).alias("head"),
     )
-    return writers.upsert(base, newer, "id", "version")
+    root = keyed_table.create(base, new_path(spark, "keyed"), "id", "version", buckets=16)
+    keyed_table.merge(root, newer)
+    return keyed_table.read(spark, root, base.schema)
