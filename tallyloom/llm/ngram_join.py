@@ -236,7 +236,7 @@ def link_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     """One row per row of ``docs``: id, n_shingles and component_id, the smallest id it reaches over links.
 
     Texts without words are linked with nothing and are their own component; rows with a null id take no part in links and
-    have a null component. Rows that share an id are one node. Equal sets are one class, compared once. Other columns
+    have a null component. Rows with words that share an id are one node, whatever their texts. Equal sets are one class, compared once. Other columns
     are ignored; an empty table gives no rows.
     """
     meta = written(_meta(docs, id_column, text, width), "sets")
@@ -262,7 +262,9 @@ def link_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     found = written(match(packed), "candidates")
     pairs = sized(found.where("kind = 0").select("a", "b").distinct(), classes, percent)
     edges = _compare(docs, pairs, id_column, text, width, percent)
-    joined = components(edges)
+    known = meta.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
+    several = known.groupBy("id").agg(F.min("digest").alias("a"), F.max("digest").alias("most")).where("a <> most")
+    joined = components(edges.unionByName(known.join(several, "id").select("a", F.col("digest").alias("b"))))
 
     # keys with many members were only compared with one of them: go on where the members aren't one component
     large = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("digest")).distinct()
