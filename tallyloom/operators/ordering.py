@@ -8,6 +8,7 @@ any window, so a value held by a third of all rows is one row there.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -182,3 +183,51 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], grou
     rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_value"))
     exprs = [_interpolated(q).alias(name) for name, q in quantiles.items()]
     return ranked_values(rows, "_value", groups).groupBy(*groups).agg(*exprs)
+
+
+#: Size of the sketch that brackets a quantile, and the share of the rows by which the bracket is wider than the sketch errs.
+SKETCH = 4096
+MARGIN = 0.005
+
+
+def selected_quantiles(df: DataFrame, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """One row of exact interpolated quantiles of a whole column, null without values.
+
+    A sketch brackets each of them; a second pass counts the rows below every bracket and ranks only those inside, about a
+    hundredth of all. Should a bracket miss, or NaN occur, which sketches leave out, all distinct values are ranked.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_value"))
+    sketch = rows.agg(
+        F.kll_sketch_agg_double("_value", SKETCH).alias("s"), F.count(F.lit(1)).alias("n"), F.count_if(F.isnan("_value")).alias("odd")
+    )
+    found = sketch.select("n", "odd", *[
+        F.when(F.col("n") > F.col("odd"), F.kll_sketch_get_quantile_double("s", F.lit(min(1.0, max(0.0, q + side))))).alias(f"{name}_{i}")
+        for name, q in quantiles.items() for i, side in enumerate((-MARGIN, MARGIN))
+    ]).first()
+    n = found["n"]
+    if not n or found["odd"]:
+        return exact_quantiles(df, value, quantiles)
+    low = {name: found[f"{name}_0"] for name in quantiles}
+    high = {name: found[f"{name}_1"] for name in quantiles}
+    # places just outside count too: the sketch's least and greatest values are those of the rows
+    inside = {name: (F.col("_value") >= low[name]) & (F.col("_value") <= high[name]) for name in quantiles}
+    counts = rows.agg(
+        *[F.count_if(F.col("_value") < low[name]).alias(f"{name}_below") for name in quantiles],
+        *[F.count_if(inside[name]).alias(f"{name}_inside") for name in quantiles],
+    ).first()
+    for name, q in quantiles.items():
+        place = (n - 1) * q
+        if counts[f"{name}_below"] > math.floor(place) or counts[f"{name}_below"] + counts[f"{name}_inside"] <= math.ceil(place):
+            return exact_quantiles(df, value, quantiles)
+    tags = F.filter(F.array(*[F.when(inside[name], F.lit(name)) for name in quantiles]), lambda x: x.isNotNull())
+    near = rows.select("_value", F.explode(tags).alias("_name"))
+    below = F.create_map(*[x for name in quantiles for x in (F.lit(name), F.lit(counts[f"{name}_below"]))])
+    place = F.create_map(*[x for name, q in quantiles.items() for x in (F.lit(name), F.lit((n - 1) * float(q)))])[F.col("_name")]
+    ranked = ranked_values(near, "_value", ["_name"]).withColumn("before", F.col("before") + below[F.col("_name")])
+    holds = lambda at: (F.col("before") <= at) & (at < F.col("before") + F.col("n"))
+    both = ranked.groupBy("_name").agg(
+        F.max(F.when(holds(F.floor(place)), F.col("_value"))).alias("a"), F.max(F.when(holds(F.ceil(place)), F.col("_value"))).alias("b"),
+        F.max(place - F.floor(place)).alias("w"),
+    )
+    between = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("w"))
+    return both.agg(*[F.max(F.when(F.col("_name") == name, between)).alias(name) for name in quantiles])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import flag, ratio, rounded
 from tallyloom.operators import customer as cv
-from tallyloom.operators.ordering import average_rank, exact_quantiles
+from tallyloom.operators.ordering import average_rank, selected_quantiles
 from tallyloom.plans.registry import query, with_sql
 from tallyloom.session import written
 from tallyloom.sources import bindings as b
@@ -472,7 +472,7 @@ def _(spark, sf):
         F.min("a").alias("min"),
         F.max("a").alias("max"),
     )
-    quartiles = exact_quantiles(pred, "a", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    quartiles = selected_quantiles(pred, "a", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     return wide.select("*", *[
         quartiles.select(q).scalar().alias(q) for q in ("q25", "q50", "q75")
     ])

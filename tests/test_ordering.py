@@ -83,3 +83,22 @@ def test_empty_input(spark):
     assert o.average_rank(empty, "v").count() == 0
     assert o.exact_quantiles(empty, "v", {"q": 0.5}, ["g"]).count() == 0
     assert o.dense_index(empty, "v").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["hot", "spread", "few"])
+def test_selected_quantiles(spark, frame, kind):
+    values = {"hot": frame.v, "spread": pd.Series(np.random.default_rng(5).normal(size=60_000)), "few": pd.Series([3.0, 1.0, 2.0, 10.0])}[kind]
+    wanted = {"low": 0.0, "q1": 0.25, "mid": 0.5, "near": 0.503, "top": 0.999, "high": 1.0}
+    df = spark.createDataFrame(pd.DataFrame({"v": values})).repartition(5).union(spark.createDataFrame([(None,)], "v double"))
+    row = o.selected_quantiles(df, "v", wanted).first()
+    for name, q in wanted.items():
+        assert row[name] == pytest.approx(values.quantile(q), rel=1e-12, abs=1e-12), name
+
+
+def test_selected_quantiles_where_a_sketch_does_not_help(spark, monkeypatch):
+    assert o.selected_quantiles(spark.createDataFrame([(None,)], "v double"), "v", {"mid": 0.5}).first().mid is None
+    odd = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,)], "v double")
+    assert o.selected_quantiles(odd, "v", {"mid": 0.5}).first().mid == 2.0
+    monkeypatch.setattr(o, "MARGIN", -0.2)  # brackets that miss
+    df = spark.createDataFrame([(float(i),) for i in range(100)], "v double")
+    assert o.selected_quantiles(df, "v", {"mid": 0.5}).first().mid == 49.5
