@@ -6,11 +6,11 @@ nChannels, mode, data), bytes in B, G, R(, A) order; unreadable files have sizes
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import ratio
@@ -82,17 +82,35 @@ def kept_dropped(df: DataFrame, category: str, min_samples: int) -> DataFrame:
     )
 
 
-def missing_profile(df: DataFrame) -> DataFrame:
-    """Columns with nulls: how many, and percent with one decimal; one pass over the rows."""
-    counts = df.agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in df.columns]
-    )
-    long = counts.unpivot(["_rows"], list(df.columns), "column", "missing")
+def _missing(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns with nulls from one row of null counts and ``_rows``."""
+    long = counts.unpivot(["_rows"], list(columns), "column", "missing")
     return long.where(F.col("missing") > 0).select(
         "column", "missing", F.round(F.try_divide(F.col("missing") * 100.0, F.col("_rows")), 1).alias("pct")
     )
 
 
+def _null_counts(columns: Sequence[str]) -> list[Column]:
+    return [F.count(F.lit(1)).alias("_rows"), *[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns]]
+
+
+def missing_profile(df: DataFrame) -> DataFrame:
+    """Columns with nulls: how many, and percent with one decimal; one pass over the rows."""
+    return _missing(df.agg(*_null_counts(df.columns)), df.columns)
+
+
+def written_profile(df: DataFrame, path: str, category: str | None = None, kinds: Sequence[str] = ()) -> tuple[DataFrame, dict[str, int]]:
+    """Writes ``df`` as Parquet to ``path``; the same scan observes what ``missing_profile`` tells and the rows of some known
+    categories. Returns the profile, and rows per category."""
+    seen = Observation()
+    per_kind = [F.count_if(F.col(category).eqNullSafe(k)).alias(f"_kind{i}") for i, k in enumerate(kinds)] if category else []
+    df.observe(seen, *_null_counts(df.columns), *per_kind).write.parquet(path)
+    found = seen.get
+    fields = ", ".join(f"`{c}` bigint" for c in ["_rows", *df.columns])
+    counts = df.sparkSession.createDataFrame([tuple(found[c] for c in ["_rows", *df.columns])], fields)
+    return _missing(counts, df.columns), {k: found[f"_kind{i}"] for i, k in enumerate(kinds)}
+
+
 def as_year(column: str) -> Column:
     """Text to year; anything that is not a number becomes null."""
     return F.col(column).try_cast("double").cast("int")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import profiling as pr
 from tallyloom.operators import sampling as sa
-from tallyloom.plans.registry import query, with_sql
+from tallyloom.plans.registry import ORACLES, query, with_sql
+from tallyloom.session import new_path
 from tallyloom.sources import bindings as b
 from tallyloom.sources.bindings import IMAGE_SQL, PROFILE_SQL
 
@@ -79,6 +80,13 @@ def _(spark, sf):
     return pr.missing_profile(b.minifigs(spark, sf))
 
 
+@query("written_value_profile", ORACLES["missing_value_profile"])
+def _(spark, sf):
+    """The same of a table that is written anyway: the scan that writes it is the only one."""
+    profile, _ = pr.written_profile(b.minifigs(spark, sf), new_path(spark, "records"))
+    return profile
+
+
 @query("year_histogram", _sql("""
 SELECT CAST(TRY_CAST(year_released AS DOUBLE) AS INT) AS year, count(*) AS n FROM minifig
 WHERE TRY_CAST(year_released AS DOUBLE) IS NOT NULL GROUP BY 1"""))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import profiling as pr
+from tallyloom.session import new_path
 
 
 def test_histogram_matches_numpy(spark):
@@ -30,6 +31,16 @@ def test_years_that_are_no_numbers_are_left_out(spark):
     assert [tuple(r) for r in pr.year_histogram(df, "y").collect()] == [(1999, 2)]
 
 
+def test_profile_of_a_write_equals_the_aggregate(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, None, None), (3, 1.0, "b"), (4, 2.0, "a")], "id int, b double, c string").repartition(3)
+    path = new_path(spark, "profiled")
+    profile, kinds = pr.written_profile(df, path, "c", ["a", "b", "z"])
+    assert sorted(profile.collect()) == sorted(pr.missing_profile(df).collect()) and kinds == {"a": 2, "b": 1, "z": 0}
+    assert sorted(spark.read.parquet(path).collect(), key=str) == sorted(df.collect(), key=str)
+    empty, _ = pr.written_profile(df.limit(0), new_path(spark, "profiled"))
+    assert empty.count() == 0
+
+
 def test_list_lengths_count_missing_as_zero(spark):
     df = spark.createDataFrame([(["a", "b"],), (None,), ([],)], "t array<string>")
     assert {tuple(r) for r in pr.list_length_histogram(df, "t").collect()} == {(2, 1), (0, 2)}
