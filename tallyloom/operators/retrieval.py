@@ -10,7 +10,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,9 +130,11 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
 
 
 def text_vectors(df: DataFrame, text: str, features: int = 1024) -> DataFrame:
-    """Adds ``vec``: TF-IDF over hashed words, unit length; whole texts."""
+    """Adds ``vec``: TF-IDF over hashed words, unit length, all zero for texts without words; whole texts."""
+    if df.isEmpty():
+        return df.withColumn("vec", F.array().cast("array<double>"))
     steps = Pipeline(stages=[
-        Tokenizer(inputCol=text, outputCol="_words"),
+        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\s+"),
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
         IDF(inputCol="_tf", outputCol="_idf"),
         Normalizer(inputCol="_idf", outputCol="_unit"),

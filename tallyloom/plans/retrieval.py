@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import tags_of_map
 from tallyloom.operators import retrieval as rt
+from tallyloom.operators import text_space as ts
 from tallyloom.operators import vector_index as vi
 from tallyloom.plans.registry import query, with_sql
 from tallyloom.session import written
@@ -112,7 +113,7 @@ def _(spark, sf):
 @query("text_vectorize_corpus")
 def _(spark, sf):
     docs = b.table(spark, sf, "documents").select("doc_id", "text")
-    return rt.text_vectors(docs, "text").select("doc_id", "vec")
+    return ts.dense_text_vectors(docs, "text")[0].select("doc_id", "vec")
 
 
 @query("text_vector_norms", """
@@ -122,7 +123,7 @@ def _(spark, sf):
     docs = b.table(spark, sf, "documents").select("doc_id", "text")
     squares = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x)
     words = (F.length(F.trim("text")) > 0).alias("has_words")
-    return rt.text_vectors(docs, "text").select("doc_id", words, F.round(F.sqrt(squares), 6).alias("norm"))
+    return ts.dense_text_vectors(docs, "text")[0].select("doc_id", words, F.round(F.sqrt(squares), 6).alias("norm"))
 
 
 @query("rank_fallback_topk", _sql("SELECT qid, id, similarity AS score, rank FROM cand WHERE rank <= 5"))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tallyloom.operators import retrieval as rt
+from tallyloom.operators import text_space as ts
 from tallyloom.operators import vector_index as vi
 
 
@@ -235,3 +236,27 @@ def test_search_batch(spark, records):
     responses = spark.createDataFrame([(1, '["1"]'), (2, "none")], "qid bigint, text string")
     ranked = search(queries, vectors, records, reviews, responses)
     assert {r.qid: r.id for r in ranked.matches.where("rank = 1").collect()} == {1: "1", 2: "1"}
+
+
+def test_text_space_equals_the_exact_decomposition(spark):
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(300, 6)) @ rng.normal(size=(6, 40)) + 0.05 * rng.normal(size=(300, 40))
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(data)], "id int, vec array<double>").repartition(7)
+    space = ts.fit_space(df, "vec", 40, size=6)
+    values, right = np.linalg.svd(data, full_matrices=False)[1:]
+    assert space.shares == pytest.approx(values[:6] ** 2 / (values**2).sum(), rel=1e-6)
+    assert np.abs((space.directions * right[:6].T).sum(axis=0)) == pytest.approx(np.ones(6), abs=1e-5)
+    got = {r.id: np.array(r.vec) for r in ts.folded(df, "vec", space).collect()}
+    want = data @ space.directions
+    assert all(np.allclose(got[i], want[i] / np.linalg.norm(want[i])) for i in range(300))
+
+
+def test_dense_text_vectors(spark):
+    texts = ["red fox runs", "a red fox ran", "stock prices fell", "prices of stock fell today", "", None, "  "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    made, space = ts.dense_text_vectors(df, "text", size=4)
+    vec = {r.doc_id: np.array(r.vec) for r in made.collect()}
+    assert len(vec) == 7 and all(len(v) == 4 for v in vec.values()) and space.shares.sum() > 0.6
+    assert [round(float(np.linalg.norm(vec[i])), 6) for i in range(7)] == [1, 1, 1, 1, 0, 0, 0]
+    assert vec[0] @ vec[1] > vec[0] @ vec[2] and vec[2] @ vec[3] > vec[1] @ vec[3]
+    assert ts.dense_text_vectors(df.limit(0), "text")[0].count() == 0
