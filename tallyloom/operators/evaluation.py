@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from tallyloom.functions.scalars import argmax, flag, ratio, softmax
 from tallyloom.operators.ordering import (
     average_rank,
-    bucket_of,
     dense_index,
     local_counts,
     placed_values,
