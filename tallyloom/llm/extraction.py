@@ -2,7 +2,9 @@
 
 A page is a sequence of tags and words. Words score positive and tags negative, with weights by kind of tag and by the
 element a word stands in, learned from labelled pages; one linear scan finds the contiguous region with the largest
-sum. Inside the region, elements that never are article text (scripts, forms, adverts, comments ...) are left out.
+sum. Inside the region, elements that never are article text (scripts, forms, menus ...) are left out, and so are those whose
+class or id is a word with a negative weight (adverts, comments ...). Such a word is a kind of its own: the list below gives
+it a prior only, labelled pages can turn it. Words on an element around the article itself say nothing.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ CONTENT = {"article", "main"}
 #: Elements whose words are no article text wherever they stand.
 APART = {"nav", "aside", "footer", "form", "button", "select", "menu", "dialog", "head", "fieldset", "label", "option"}
 ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alert", "menu", "menubar", "alertdialog"}
-#: Words in class or id that mark an element as apart.
+#: Words in class or id that get a weight of their own; each starts from the prior of names.
 NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sidebar", "nav", "navbar", "navigation",
     "menu", "breadcrumb", "breadcrumbs", "footer", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal",
@@ -50,11 +52,13 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 PRIOR = {
     "word:p": (40, 4), "word:heading": (12, 4), "word:item": (8, 8), "word:link": (2, 12), "word:apart": (1, 60), "word:other": (10, 6),
     "tag:p": (20, 2), "tag:heading": (6, 2), "tag:inline": (20, 4), "tag:item": (4, 8), "tag:link": (2, 10), "tag:block": (4, 8),
-    "tag:apart": (1, 30), "tag:content": (2, 2),
+    "tag:apart": (1, 30), "tag:content": (2, 2), "word:name": (1, 20), "tag:name": (1, 10),
 }
 
-#: What a run of words in an element apart costs at most, and each of its tags.
+#: What a run of words in an element that is left out costs at most, and each of its tags.
 APART_COST = 1.0
+#: An element with more than this share of the page's words (a fraction) is a wrapper, whatever it is called.
+WRAPPER = (4, 5)
 
 Weights = dict[str, float]
 
@@ -73,19 +77,31 @@ def _apart(tag: str, attributes: str, inside: bool) -> bool:
             return True
         if name == "role" and value in ROLES:
             return True
-        if name in ("class", "id"):
-            words = SPLIT.split(value)
-            if not NAMES.isdisjoint(words) or not inside and "header" in words:
-                return True
     return False
 
 
+def _name(tag: str, attributes: str, inside: bool) -> str | None:
+    """The first word of class or id that is a name; ``inside``: in an article a header may hold the title."""
+    if not attributes or tag in ("html", "body") or tag in CONTENT:
+        return None
+    for name, value in ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for word in SPLIT.split(value.strip("\"'").lower()):
+                if word in NAMES or word == "header" and not inside:
+                    return word
+    return None
+
+
 def parse(page: str) -> list[tuple[str, str, int, int]]:
     """The page as (kind, text, block, content) in order. Kinds are tag: and word: keys of the weights; ``text`` is the
     raw text of word runs; ``block`` counts the blocks; ``content`` numbers the article or main element around, or -1."""
     out: list[tuple[str, str, int, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, apart, content number
+    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # tag, apart, content number, named elements around
+    names_of: list[tuple[int, ...]] = []  # per token
+    called: list[str] = []  # the name of each named element
+    around_content: set[int] = set()
     block = contents = 0
+    named: tuple[int, ...] = ()
     scan = TOKEN.scanner(page)
     apart, content = False, -1
     while found := scan.match():
@@ -97,6 +113,7 @@ def parse(page: str) -> list[tuple[str, str, int, int]]:
             if text.isspace():
                 if out and out[-1][0].startswith("word:") and out[-1][2] == block:
                     out.append((out[-1][0], text, block, content))
+                    names_of.append(names_of[-1])
                 continue
             names = [x[0] for x in reversed(stack)]
             kind = "other"
@@ -116,6 +133,7 @@ def parse(page: str) -> list[tuple[str, str, int, int]]:
                         continue
                     break
             out.append((f"word:{kind}", text, block, content))
+            names_of.append(named)
             continue
         tag, closing = tag.lower(), bool(found[1])
         is_block = tag in BLOCK
@@ -141,12 +159,18 @@ def parse(page: str) -> list[tuple[str, str, int, int]]:
                     if stack[i][0] in stop:
                         break
             inside = bool(stack) and stack[-1][2] >= 0
-            around = stack[-1] if stack else ("", False, -1)
-            number = around[2]
-            if tag in CONTENT and number < 0:
-                number, contents = contents, contents + 1
-            stack.append((tag, around[1] or _apart(tag, found[3], inside), number))
-        apart, content = (stack[-1][1], stack[-1][2]) if stack else (False, -1)
+            around = stack[-1] if stack else ("", False, -1, ())
+            number, own = around[2], around[3]
+            if tag in CONTENT:
+                around_content.update(own)
+                if number < 0:
+                    number, contents = contents, contents + 1
+            name = _name(tag, found[3], inside)
+            if name:
+                own += (len(called),)
+                called.append(name)
+            stack.append((tag, around[1] or _apart(tag, found[3], inside), number, own))
+        apart, content, named = stack[-1][1:] if stack else (False, -1, ())
         if apart:
             kind = "apart"
         elif tag in CONTENT:
@@ -162,9 +186,36 @@ def parse(page: str) -> list[tuple[str, str, int, int]]:
         else:
             kind = "block" if is_block else "inline"
         out.append((f"tag:{kind}", " " if tag == "br" else "", block, content))
+        names_of.append(named)
+    if not called:
+        return out
+    # words of each named element, and of the page
+    words = [len(text.split()) if kind[0] == "w" and kind != "word:apart" else 0 for kind, text, *_ in out]
+    held = [0] * len(called)
+    for n, own in zip(words, names_of):
+        for i in own:
+            held[i] += n
+    most = sum(words) * WRAPPER[0]
+    counts = {i for i in range(len(called)) if i not in around_content and held[i] * WRAPPER[1] <= most}
+    for at, own in enumerate(names_of):
+        first = next((i for i in own if i in counts), None)
+        if first is not None and not out[at][0].endswith("apart"):
+            out[at] = (f"{out[at][0].split(':')[0]}:name.{called[first]}", *out[at][1:])
     return out
 
 
+def _weight(weights: Weights, kind: str) -> float:
+    """The weight of a kind; names that no labelled page has share one."""
+    found = weights.get(kind)
+    return found if found is not None else weights.get(kind.split(".")[0], 0.0)
+
+
+def _left_out(weights: Weights, kind: str) -> bool:
+    """Whether words of this kind (or of the element of this tag) are no text: apart, or in an element with a negative name."""
+    place = kind.split(":")[1]
+    return place == "apart" or place.startswith("name") and _weight(weights, f"word:{place}") < 0
+
+
 def best_region(scores: list[float]) -> tuple[int, int]:
     """Start and end (exclusive) of the contiguous part with the largest sum: the first such, as short as it can be;
     (0, 0) when no score is positive."""
@@ -182,13 +233,14 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def extract_text(page: str | None, weights: Weights) -> str:
     """The main text: blocks in page order, joined by two newlines; empty if there is none."""
     tokens = parse(page or "")
-    scores = [weights.get(kind, 0.0) * (len(text.split()) if kind[0] == "w" else 1) for kind, text, _, _ in tokens]
-    # words apart never reach the text, so a run of them may cost a region no more than a gap
-    scores = [max(x, -APART_COST) if kind.endswith("apart") else x for x, (kind, *_) in zip(scores, tokens)]
+    scores = [_weight(weights, kind) * (len(text.split()) if kind[0] == "w" else 1) for kind, text, _, _ in tokens]
+    gone = {kind: _left_out(weights, kind) for kind in {t[0] for t in tokens}}
+    # such words never reach the text, so a run of them may cost a region no more than a gap
+    scores = [max(x, -APART_COST) if gone[kind] else x for x, (kind, *_) in zip(scores, tokens)]
     first, end = best_region(scores)
     if first == end:
         return ""
-    inside = {content for kind, text, _, content in tokens[first:end] if kind[0] == "w" and kind != "word:apart"}
+    inside = {content for kind, text, _, content in tokens[first:end] if kind[0] == "w" and not gone[kind]}
     if len(inside) == 1 and -1 not in inside:
         # the whole region lies in one article element: its ends are the element's
         chosen = [t for t in tokens if t[3] in inside]
@@ -197,7 +249,7 @@ def extract_text(page: str | None, weights: Weights) -> str:
         chosen = [t for t in tokens if t[2] in blocks]
     parts: dict[int, list[str]] = {}
     for kind, text, block, _ in chosen:
-        if kind[0] == "w" and kind != "word:apart":
+        if kind[0] == "w" and not gone[kind]:
             parts.setdefault(block, []).append(entities.unescape(text))
         elif text == " " and block in parts:
             parts[block].append(text)  # a line break inside a block
@@ -207,7 +259,8 @@ def extract_text(page: str | None, weights: Weights) -> str:
 
 def weights_from(counts: dict[str, tuple[float, float]]) -> Weights:
     """Log-ratios of how often a kind stands inside and outside articles. Tags never score above -0.05."""
-    total = {k: (PRIOR.get(k, (1, 1))[0] + counts.get(k, (0, 0))[0], PRIOR.get(k, (1, 1))[1] + counts.get(k, (0, 0))[1]) for k in PRIOR | counts}
+    prior = lambda k: PRIOR.get(k, PRIOR.get(k.split(".")[0], (1, 1)))
+    total = {k: tuple(x + y for x, y in zip(prior(k), counts.get(k, (0, 0)))) for k in PRIOR | counts}
     out = {}
     for kind, (a, b) in total.items():
         ratio = max(-4.0, min(2.0, math.log(a / b)))

@@ -1,15 +1,17 @@
 """Secret scans: known shapes by pattern, and novel strings by dictionary-primed compression.
 
-A candidate string beside a sensitive word is measured in context: zstandard is primed with the code around the
-candidate and a dictionary of common identifiers, and the candidate's marginal compressed bytes tell how much of it
-the context explains. Strings that stay incompressible are reported as kind ``novel``. Every whole text is read once,
-in place; there is no shuffle.
+A candidate string on either side of a sensitive word is measured in context: zstandard is primed with the code around
+the candidate and a dictionary of common identifiers, and the candidate's marginal compressed bytes tell how much of
+it the context explains. Strings that stay incompressible are reported as kind ``novel``, with the candidate lines that
+follow such a string directly (the lines of a key). The closer to the word, the less a candidate has to look like a secret
+to be measured. Every whole text is read once, in place; there is no shuffle.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,13 @@ KINDS = ["assign", "access", "hex", "novel"]
 
 #: Words that make their surroundings sensitive.
 SENSITIVE = re.compile(
-    r"(?:passw|secret|token|api[_-]?key|private[_-]?key|credential|bearer|authorization|auth[_-]?key|access[_-]?key"
-    r"|client[_-]?id|conn(?:ection)?[_-]?str)",
+    r"(?:passw|passphrase|secret|token|api[\x20_-]?key|private[\x20_-]?key|credential|bearer|authorization|auth[\x20_-]?key"
+    r"|access[\x20_-]?key|client[\x20_-]?id|conn(?:ection)?[\x20_-]?str)",
     re.IGNORECASE | re.ASCII,
 )
-QUICK = ("passw", "secret", "token", "key", "credential", "bearer", "authorization", "client", "conn")
+QUICK = ("passw", "passphrase", "secret", "token", "key", "credential", "bearer", "authorization", "client", "conn")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~!@#$%^&*-]{12,}")
+CANDIDATE_SIGN = re.compile(r"[A-Za-z0-9+/_=.~!@#$%^&*-]")
 #: Identifiers and phrases of code and configuration that prime the compressor.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key client_id client_secret credential bearer "
@@ -56,8 +59,8 @@ _HEX[97:103] = True
 
 @dataclass(frozen=True)
 class Novelty:
-    """Limits of the novelty measure: code points of context on each side, how far a sensitive word reaches, and the
-    marginal compressed bits per byte from which a string is reported."""
+    """Limits of the novelty measure: code points of context on each side, in which candidates lie too, how far around a
+    sensitive word any mixed string is one, and the marginal compressed bits per byte from which a string is reported."""
 
     context: int = 240
     reach: int = 48
@@ -82,26 +85,76 @@ def _base(text: str, low: str) -> list[tuple[int, int, int]]:
     return found
 
 
+RUNS = re.compile(r"[A-Z]+|[a-z]+|[0-9]+")
+
+
+def _irregular(body: str) -> bool:
+    """Whether the letters of a string change case as no words joined in camel case do."""
+    runs = RUNS.findall(body)
+    return sum(len(r) > 1 if r[0].isupper() else len(r) == 1 and r.islower() for r in runs) >= 3
+
+
+def _plausible(body: str, near: bool, limits: Novelty) -> bool:
+    """Whether a candidate is worth the measure: beside the word letters with digits, or letters of irregular case;
+    farther off both cases and digits."""
+    if len(set(body)) < limits.distinct:
+        return False
+    digits, letters = any(c.isdigit() for c in body), any(c.isalpha() for c in body)
+    if near:
+        return letters and (digits or _irregular(body))
+    return digits and any(c.isupper() for c in body) and any(c.islower() for c in body) and _irregular(body)
+
+
+def _next_line(text: str, end: int) -> re.Match | None:
+    """The candidate that is all of the next line, if it is."""
+    start = end + 1 if text[end : end + 1] == "\n" else end + 2 if text[end : end + 2] == "\r\n" else -1
+    found = CANDIDATE.match(text, start) if start >= 0 else None
+    return found if found and text[found.end() : found.end() + 1] in ("", "\n", "\r") else None
+
+
 def _novel(text: str, taken: list[tuple[int, int, int]], limits: Novelty) -> list[tuple[int, int, int]]:
     spans = sorted((a, b) for a, _, b in taken)
     done, out = -1, []
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + limits.reach)):
-            a = m.start()
-            b = CANDIDATE.match(text, a).end()  # the string may run on beyond the reach
-            if a < done or any(x < b and a < y for x, y in spans):
-                continue
-            body = text[a:b]
-            mixed = any(c.isdigit() for c in body) and any(c.isalpha() for c in body)
-            if not mixed or len(set(body)) < limits.distinct:
-                continue
-            spent = marginal_bytes(body, text[max(0, a - limits.context) : a], text[b : b + limits.context])
-            if 8 * spent >= limits.bits * len(body.encode()):
-                out.append((a, 3, b))
-                done = b
+
+    def reported(a: int, b: int) -> bool:
+        spent = marginal_bytes(text[a:b], text[max(0, a - limits.context) : a], text[b : b + limits.context])
+        return 8 * spent >= limits.bits * len(text[a:b].encode())
+
+    def free(a: int, b: int) -> bool:
+        return a >= done and not any(x < b and a < y for x, y in spans)
+
+    words = [(m.start(), m.end()) for m in SENSITIVE.finditer(text)]
+    first = 0
+    for m in _candidates(text, words, limits.context):
+        a, b = m.span()
+        while first < len(words) and words[first][1] + limits.context <= a:
+            first += 1
+        # of the words whose context holds the candidate the closest counts
+        close = takewhile(lambda w: w[0] - b < limits.context, islice(words, first, None))
+        gap = min((max(a - y, x - b, 0) for x, y in close), default=limits.context)
+        if not free(a, b) or gap >= limits.context or not _plausible(m[0], gap < limits.reach, limits) or not reported(a, b):
+            continue
+        out.append((a, 3, b))
+        done = b
+        while (line := _next_line(text, done)) and free(*line.span()) and len(set(line[0])) >= limits.distinct and reported(*line.span()):
+            out.append((line.start(), 3, line.end()))
+            done = line.end()
     return out
 
 
+def _candidates(text: str, words: list[tuple[int, int]], context: int):
+    """Whole candidate strings that start within ``context`` around some word, in order, each once."""
+    upto = 0
+    for x, y in words:
+        at = max(upto, x - context)
+        while at and at > upto and CANDIDATE_SIGN.match(text, at - 1):
+            at -= 1  # the string that the context cuts
+        while (m := CANDIDATE.search(text, at)) and m.start() < y + context:
+            yield m
+            at = m.end()
+        upto = max(upto, min(at, y + context))
+
+
 def _hex_runs(texts: Texts) -> list[list[tuple[int, int]]]:
     starts, ends = texts._runs(_HEX[texts.data])
     long = ends - starts >= HEX_LEAST

@@ -299,6 +299,14 @@ def test_periodic_runs_on_messy_rows(docs, none, messy, monkeypatch):
     assert periods.periodic_runs(plans.planted(none)).count() == 0
 
 
+def test_texts_without_words_are_not_planted(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:4]
+    texts = [None, "", " \n ", "one"]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    made = {r.doc_id: (list(r.runs), r.collapsed) for r in periods.periodic_runs(plans.planted(df)).collect()}
+    assert made == {ids[0]: ([], ""), ids[1]: ([], ""), ids[2]: ([], ""), ids[3]: ([], "one")}
+
+
 # --- joined pieces ----------------------------------------------------------------------------
 
 
