@@ -4,7 +4,8 @@ Sets of word shingles fall into bands of similar size. Within a band the hashed
 partitions than two sufficiently similar sets can differ in, and the signature of a partition is the set's projection on it
 (pairs of partitions with subsets of one, in PartEnum's terms); a linked pair then shares a signature. A set sends the
 signatures of its first h + 1 partitions that aren't empty, where h bounds the difference from any partner: at most h
-of them can differ, so one of them agrees. Sets too sparse for that also send one common signature of their band.
+of them can differ, so one of them agrees. Sets that fill too few partitions for that also send those of a domain cut so
+finely that each shingle is alone: the prefix of h + 1 shingles, which every set has.
 
 Shingles that a sample shows to be frequent are left out of the domain first, because a projection on a passage that
 many texts share says nothing; sets with too little else use the full domain among themselves. The choice of shingles only
@@ -33,6 +34,8 @@ PERCENT = 80
 SAMPLE = 32
 FREQUENT = 6
 KNOWN = 65_536
+#: Partitions of the finest domain.
+ALONE = 1 << 32
 #: Bits of the filter that tells which texts take part in a comparison; fixed, whatever the input.
 FILTER_BITS = 24
 
@@ -134,7 +137,14 @@ def signatures(sets: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, percen
             keys.append(made)
             holders.append(held)
             enough |= ~left
-        sparse = np.flatnonzero(takes & ~enough)
+        # two sets of which one fills enough partitions share one of these; the others meet in single shingles
+        left = takes & ~enough
+        use = left[owner]
+        salt = mix(salt ^ U64(0x1F3D5B79A6C8E042))
+        made, held, enough = _projections(sets[use], owner[use], n, np.full(n, ALONE), np.where(left, needed, 0), salt)
+        keys.append(made)
+        holders.append(held)
+        sparse = np.flatnonzero(left & ~enough)  # shingles of one set with one place of 2^32: next to never
         keys.append(mix(salt[sparse] ^ U64(0xCBBB9D5DC1059ED8)))
         holders.append(sparse)
     return np.concatenate(keys), np.concatenate(holders)
@@ -184,7 +194,7 @@ def with_place(docs: DataFrame, id_column: str) -> DataFrame:
 
 
 def _sequences(docs: DataFrame, wanted: np.ndarray, id_column: str, text: str, width: int) -> DataFrame:
-    """(id, digest, words) of the texts that the filter lets through; words are 32-bit hashes in order."""
+    """(id, digest, words) of the texts that the filter lets through; words are 64-bit hashes in order."""
     kind = docs.schema[id_column].dataType.simpleString()
 
     def each(batch: pa.RecordBatch):
@@ -194,7 +204,7 @@ def _sequences(docs: DataFrame, wanted: np.ndarray, id_column: str, text: str, w
         for first, end, texts in Texts.from_arrow(column).slices():
             sets, sizes = shingle_sets(texts, width)
             starts, ends = texts.words()
-            words = (texts.hashes(starts, ends, folded=True) >> U64(32)).astype(np.uint32)
+            words = texts.hashes(starts, ends, folded=True)
             cuts = np.searchsorted(starts, texts.offsets)
             yield {
                 "id": ids.slice(first, end - first), "digest": digests(sets, sizes).view(np.int64),
@@ -206,8 +216,8 @@ def _sequences(docs: DataFrame, wanted: np.ndarray, id_column: str, text: str, w
 
 
 def _set_of(words: bytes, width: int) -> np.ndarray:
-    own = np.frombuffer(words, np.uint32).astype(U64)
-    return np.unique(shingles(mix(own), np.array([len(own)]), width)[0])
+    own = np.frombuffer(words, U64)
+    return np.unique(shingles(own, np.array([len(own)]), width)[0])
 
 
 def verified(pairs: DataFrame, sequences: DataFrame, width: int, percent: int) -> DataFrame:
