@@ -60,12 +60,13 @@ def write_shards(
     """Writes the token files and returns their manifest, one row per shard in (part, shard) order.
 
     Null texts count as empty: only the end id. Rows with a null id come first; rows that share an id follow one
-    another by text. Other columns are ignored; an empty table writes no shard.
+    another by a hash of their text, so they may lie in any number of tasks. Other columns are ignored; an empty table writes no shard.
     """
     small_batches(docs.sparkSession)
     folder = folder or new_path(docs.sparkSession, "tokens")
     ordered = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-    ordered = ordered.repartitionByRange("id").sortWithinPartitions("id", "text")
+    order = ["id", F.xxhash64("text"), "text"]
+    ordered = ordered.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, cut)
@@ -81,7 +82,7 @@ def write_shards(
             nonlocal held, before, shard
             name = f"{part:06d}-{shard:05d}-{uuid.uuid4().hex}.wm"
             with files.open_output_stream(f"{base}/{name}") as out:
-                out.write(build(np.concatenate(parts), ids, np.concatenate(counts)))
+                out.write(build(np.concatenate(parts), ids, np.concatenate(counts), 8 * parts[0].dtype.itemsize))
             row = [[part], [shard], [f"{folder}/{name}"], [before], [held], [len(ids)]]
             before, shard, held = before + held, shard + 1, 0
             parts.clear()
