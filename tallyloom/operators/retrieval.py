@@ -69,9 +69,18 @@ def _block_best(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, items: n
     return _keep_best(found, k)
 
 
+#: Blocks that a side is cut into for the sake of parallel work, before they have their full size.
+SPREAD = 32
+#: Cosines that a task holds at once.
+TOGETHER = 1 << 23
+
+
 def _block_count(df: DataFrame, size: int) -> Column:
-    """Blocks of about ``size`` rows, as a scalar the plan computes itself."""
-    return F.greatest(F.lit(1), df.agg(F.ceil(F.count(F.lit(1)) / F.lit(float(size))).cast("int")).scalar())
+    """Blocks of at most about ``size`` rows, as a scalar the plan computes itself: eight times as many of a side that
+    is small, up to SPREAD, since every block of one side is copied once per block of the other."""
+    n = F.count(F.lit(1))
+    most, few = F.ceil(n / F.lit(float(size))), F.ceil(n / F.lit(max(1.0, size / 8.0)))
+    return F.greatest(F.lit(1), df.agg(F.greatest(most, F.least(few, F.lit(SPREAD))).cast("int")).scalar())
 
 
 def _products(asked: DataFrame, held: DataFrame, keys: Sequence[str], k: int, exclude_self: bool) -> DataFrame:
@@ -80,8 +89,11 @@ def _products(asked: DataFrame, held: DataFrame, keys: Sequence[str], k: int, ex
     def product(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(i):
             return pd.DataFrame({"qid": np.zeros(0, np.int64), "id": np.zeros(0, object), "cosine": np.zeros(0)})
-        return _block_best(
-            q["_qid"].to_numpy(np.int64), unit_rows(q["_qvec"]), i["id"].to_numpy(str), unit_rows(i["vec"]), k, exclude_self
+        qids, asking = q["_qid"].to_numpy(np.int64), unit_rows(q["_qvec"])
+        ids, held = i["id"].to_numpy(str), unit_rows(i["vec"])
+        step = max(1, TOGETHER // len(i))
+        return pd.concat(
+            [_block_best(qids[a : a + step], asking[a : a + step], ids, held, k, exclude_self) for a in range(0, len(q), step)]
         )
 
     return asked.groupBy(*[f"_q{c}" for c in keys]).cogroup(held.groupBy(*keys)).applyInPandas(product, SCORES)
@@ -101,8 +113,8 @@ def cosine_topk(
     items: DataFrame,
     k: int = 20,
     exclude_self: bool = False,
-    block: int = 8192,
-    query_block: int = 1024,
+    block: int = 65_536,
+    query_block: int = 8192,
 ) -> DataFrame:
     """Exact k nearest items per query: qid, id, similarity = max(0, cosine), rank.
 

@@ -39,9 +39,10 @@ def vectors():
     return base
 
 
-@pytest.mark.parametrize("block, query_block", [(8192, 1024), (13, 7)])
+@pytest.mark.parametrize("block, query_block, together", [(65_536, 8192, 1 << 23), (65_536, 8192, 300), (13, 7, 1 << 23)])
 @pytest.mark.parametrize("exclude_self", [True, False])
-def test_search_paths_equal_brute_force(spark, vectors, block, query_block, exclude_self):
+def test_search_paths_equal_brute_force(spark, monkeypatch, vectors, block, query_block, together, exclude_self):
+    monkeypatch.setattr(rt, "TOGETHER", together)
     queries, items = tables(spark, vectors)
     got = collected(rt.cosine_topk(queries, items, 5, exclude_self, block, query_block))
     want = brute(vectors, vectors, 5, exclude_self)
