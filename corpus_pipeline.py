@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
 from tallyloom.llm import ngram_join, packing, passages, quality, secrets
 from tallyloom.llm.frames import table
@@ -22,11 +23,23 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; texts without words and rows without id stay."""
-    groups = ngram_join.link_groups(docs)
+    """Of each group of near copies the document with the smallest id; texts without words and rows without id stay.
+
+    Rows that share an id are in one group, so one of them stays: the one with the least text.
+    """
+    groups = written(ngram_join.link_groups(docs), "groups")
     gone = written(groups.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = groups.where("component_id = doc_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = written(again, "repeated-ids")
+    if again.isEmpty():
+        return kept
+    single = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
+    several = kept.join(again, "doc_id", "left_semi").withColumn("__words", F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")))
+    first = several.where("__words").groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in docs.columns if c != "text"))).alias("row"))
+    return single.unionByName(first.select("row.*").select(*docs.columns)).unionByName(
+        several.where("not coalesce(__words, false)").select(*docs.columns)
+    )
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
