@@ -133,7 +133,7 @@ def test_members_of_a_key_that_one_task_cut_all_come_out():
 
 def test_components_of_equal_size_are_joined_wherever_their_link_stands():
     rng = np.random.default_rng(9)
-    fresh = lambda: rng.integers(0, 2**32, 60, dtype=np.uint32)
+    fresh = lambda: rng.integers(0, 2**63, 60, dtype=np.uint64)
     for labels in ([1, 2, 1, 2, 1, 2], [1, 1, 1, 2, 2, 2], [2, 1, 3, 1, 2, 3], [5, 1, 2, 1, 2]):
         for i in range(len(labels)):
             for j in range(i):
@@ -177,6 +177,14 @@ def test_every_linked_pair_shares_a_signature():
                 assert set(keys[holders == 0].tolist()) & set(keys[holders == 1].tolist()), (size, gone)
 
 
+def test_unrelated_short_sets_share_no_signature():
+    rng = np.random.default_rng(7)
+    for size in (1, 2, 3, 6, 10, 14, 20, 24):
+        sets = np.sort(rng.integers(1, 2**63, (20_000, size), dtype=np.uint64), axis=1).ravel()
+        keys, _ = ngram_join.signatures(sets, np.full(20_000, size), np.zeros(0, np.uint64))
+        assert len(np.unique(keys)) == len(keys)
+
+
 def test_large_keys_leave_a_task_as_one_entry():
     packer = buckets.Packer(4)
     keys = np.array([7] * 100 + [9, 9, 5], np.uint64)
@@ -218,6 +226,27 @@ def test_compact_windows_are_all_of_them():
         assert got == want
 
 
+def test_joined_seeds_give_the_same_regions():
+    rng = np.random.default_rng(21)
+    for turn in range(200):
+        n = int(rng.integers(1, 60))
+        out = np.zeros(n, passages.SEED)
+        out["b"], out["a"], out["hash"] = rng.integers(0, 2, n) + 5, rng.integers(0, 2, n), rng.integers(0, 2, n)
+        cb = rng.integers(200_000, 200_000 + (400 if turn % 2 else 120_000), n).astype(np.uint64)
+        ca = cb - rng.choice([3, 5, 90], n).astype(np.uint64)
+        most = 60 if turn % 2 else 65_536
+        for name, c in (("pos_b", cb), ("pos_a", ca)):
+            out[name] = c << np.uint64(32) | rng.integers(0, most, n).astype(np.uint64) << np.uint64(16) | rng.integers(0, most, n).astype(np.uint64)
+        made = passages._merged(passages._distinct(out))
+        assert len(made) <= n and {x.item()[:2] for x in made} == {x.item()[:2] for x in out}
+        for b in (5, 6):
+            for a in (0, 1):
+                both = [rows[(rows["b"] == b) & (rows["a"] == a)] for rows in (out, made)]
+                if len(both[0]):
+                    got = [sorted(passages._regions(x["pos_b"].view(np.int64), x["pos_a"].view(np.int64), x["hash"])) for x in both]
+                    assert got[0] == got[1]
+
+
 def corpus_with_passages(seed, n=60):
     rng = random.Random(seed)
     fresh = lambda k: [f"u{rng.randint(0, 10**9)}" for _ in range(k)]
@@ -314,6 +343,40 @@ def test_cut_passages_leave_the_first_copy(spark):
     assert passages.without_repeats(df.limit(0)).count() == 0
 
 
+def repeated_id_rows():
+    """Id 2 stands for three different texts, two of which near-copy other rows; one of them is short, one long."""
+    body = " ".join(f"p{i}" for i in range(60))
+    other = " ".join(f"q{i}" for i in range(60))
+    long = " ".join(f"u{i}" for i in range(150))
+    return [(1, body), (2, "front " + body), (2, "short text"), (2, long), (2, other), (3, other + " x"), (4, long.replace("u9 ", "v ")), (5, "")]
+
+
+def test_texts_of_one_id_are_one_node(spark):
+    rows = repeated_id_rows()
+    made = linked(spark, rows).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in made) == brute_groups(rows)
+    assert {r.component_id for r in made} == {1, 5}
+
+
+def test_rows_of_one_id_lose_passages_of_their_own_text_only(spark):
+    rows = repeated_id_rows()
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = sorted((r.doc_id, r.text) for r in passages.without_repeats(df).collect())
+    texts = {i: t for i, t in rows if i != 2}
+    assert [t for i, t in got if i == 2] == sorted(["front ", "short text", rows[3][1], rows[4][1]])
+    assert [t for i, t in got if i == 1] == [texts[1]] and [t for i, t in got if i == 3] == ["x"]
+
+
+def test_pipeline_stages_on_repeated_ids(spark, tmp_path):
+    rows = repeated_id_rows() + [(1, repeated_id_rows()[0][1]), (6, None), (6, "")]
+    df = spark.createDataFrame([(i, t, "en", None, len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    single = stages["n-gram Jaccard join"](spark, df, str(tmp_path))
+    assert single.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in single.collect() if r.text) == [(1, rows[0][1])] and single.where("doc_id >= 5").count() == 3
+    assert stages["substring dedup"](spark, df, str(tmp_path)).count() == len(rows)
+
+
 def brute_top(rows, k):
     known = [(i, [int(np.floor(1024.0 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
