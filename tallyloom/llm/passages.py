@@ -9,7 +9,9 @@ overlap under enough hash functions are joined by interval, and the words of bot
 A text keeps the passages it has first (by id); the result names every later repetition with its source. Windows of a
 minimum with at most SMALL members are all paired. In larger ones each is paired with the first window of its minimum, and
 with the first that also has the same token some way before or behind; a second pass over the texts then groups every
-run of LEAST tokens inside such windows, so that whatever repeats word for word meets a document that has it.
+run of LEAST tokens inside such windows, so that whatever repeats word for word meets a document that has it. The same
+pass sketches the tokens of such a window around its minimum: all windows of one minimum are compared by these sketches,
+in blocks where there are many, and each meets the earlier ones that share most with it until none shares anything more.
 """
 
 from __future__ import annotations
@@ -49,6 +51,16 @@ ENTRY = np.dtype([("key", "u8"), ("doc", "i8"), ("pos", "u8"), ("near", "u8")])
 SEED = np.dtype([("b", "i8"), ("a", "i8"), ("pos_b", "u8"), ("pos_a", "u8"), ("hash", "i8")])
 #: A run of LEAST tokens that stands in the window of a large minimum.
 RUN = np.dtype([("key", "u8"), ("doc", "i8"), ("pos", "u8")])
+#: Hash functions whose large minima are compared by sketches, and bits of a sketch.
+SKETCHED = 3
+BITS = 512
+#: Bits that two sketches share where a passage may stand, and that a further partner adds: the tokens of one word.
+SHARED = LEAST * PERCENT // 100
+ADDED = WIDTH
+#: Sketches that one task compares with each other, or with as many of another block.
+BLOCK = 4096
+#: The tokens around a large minimum: ``key`` names the exact ones, under HASHES plus the number of the hash function.
+SPOT = np.dtype([("key", "u8"), ("doc", "i8"), ("pos", "u8"), ("low", "u8"), ("bits", "u8", (BITS // 64,))])
 #: Value of ``hash`` in rows that name a large minimum's place in the filter instead of a seed.
 LARGE = -1
 _PLACE = U64((1 << 28) - 1)
@@ -146,35 +158,61 @@ def _places(keys: np.ndarray) -> np.ndarray:
     return (mix(keys) >> U64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def run_hashes(tokens: np.ndarray, least: int = LEAST) -> np.ndarray:
-    """A hash of the ``least`` tokens from every position on, as far as there are so many."""
+def _sums(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums and factors: (sums[b] - sums[a]) * back[a] is a hash of the tokens from a up to b, wherever they stand."""
     n = len(tokens)
-    if n < least:
-        return np.zeros(0, U64)
     powers = np.full(n, _BASE, U64)
     back = np.full(n, _INVERSE, U64)
-    powers[0] = back[0] = 1
+    powers[:1] = back[:1] = 1
     sums = np.zeros(n + 1, U64)
     np.cumsum(mix(tokens) * np.cumprod(powers, dtype=U64), dtype=U64, out=sums[1:])
-    return mix((sums[least:] - sums[:-least]) * np.cumprod(back, dtype=U64)[: n - least + 1])
+    return sums, np.cumprod(back, dtype=U64)
 
 
-def runs(texts: Texts, ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+def run_hashes(sums: np.ndarray, back: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """A hash of the ``least`` tokens from every position on, as far as there are so many."""
+    return mix((sums[least:] - sums[:-least]) * back[: len(back) - least + 1]) if len(back) >= least else np.zeros(0, U64)
+
+
+def _sketches(marks: np.ndarray, low: np.ndarray, high: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """One bit for each token from ``low`` to ``high`` (inclusive); ``marks`` are the bits of all tokens."""
+    out = np.zeros((len(centres), BITS // 64), U64)
+    for step in range(1 - LEAST, LEAST):
+        at = centres + step
+        row = np.flatnonzero((at >= low) & (at <= high))
+        mark = marks[at[row]]
+        out[row, mark >> 6] |= U64(1) << (mark & 63).astype(U64)
+    return out
+
+
+def runs(texts: Texts, ids: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """RUN records of all runs of LEAST tokens whose minimum the filter holds, under ENOUGH hash functions: those
-    of one run then make seeds with the same partner under so many."""
+    of one run then make seeds with the same partner under so many. And SPOT records of such minima."""
     tokens, sizes = tokens_of(texts)
     stops = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    whole = run_hashes(tokens)
-    parts = [np.zeros(0, RUN)]
-    for j, seed in enumerate(SEEDS[:ENOUGH]):
+    sums, back = _sums(tokens)
+    whole = run_hashes(sums, back)
+    marks = (mix(tokens ^ U64(0x510E527FADE682D1)) >> U64(32)).astype(np.int64) % BITS
+    parts, spots = [np.zeros(0, RUN)], [np.zeros(0, SPOT)]
+    for j, seed in enumerate(SEEDS[:SKETCHED]):
         values = mix(tokens ^ seed)
         centres, starts, ends = compact_windows(values, sizes)
         place = _places((values[centres] & ~U64(7)) | U64(j))
         large = np.flatnonzero(wanted[place >> 6] >> (place & 63).astype(U64) & U64(1))
         centres, starts, ends = centres[large], starts[large], ends[large]
         text = owner[centres]
-        low = np.maximum(starts, centres - LEAST + 1)
+        low, high = np.maximum(starts, centres - LEAST + 1), np.minimum(ends, centres + LEAST - 1)
+        spot = np.zeros(len(centres), SPOT)
+        spot["low"] = (values[centres] & ~U64(7)) | U64(j)
+        exact = (sums[high + 1] - sums[low]) * back[low] + mix(((high - low) << 32 | (centres - low)).astype(U64)) if len(low) else np.zeros(0, U64)
+        spot["key"] = (mix(exact ^ spot["low"]) & ~U64(7)) | U64(HASHES + j)
+        spot["doc"] = ids[text]
+        spot["pos"] = _positions(centres, starts, ends, (stops - sizes)[text])
+        spot["bits"] = _sketches(marks, low, high, centres)
+        spots.append(spot)
+        if j >= ENOUGH:
+            continue
         many = np.maximum(np.minimum(ends - LEAST + 1, centres) - low + 1, 0)
         at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
         out = np.zeros(len(at), RUN)
@@ -182,7 +220,7 @@ def runs(texts: Texts, ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         out["doc"] = np.repeat(ids[text], many)
         out["pos"] = np.repeat(_positions(centres, starts, ends, (stops - sizes)[text]), many)
         parts.append(out)
-    return np.concatenate(parts)
+    return np.concatenate(parts), np.concatenate(spots)
 
 
 def _firsts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,8 +299,9 @@ def _packed(kind: int, rows: np.ndarray, by: np.ndarray, buckets: int) -> Iterat
         )
 
 
-def _combined(rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def _combined(made: list[tuple[np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
     """Packs a map task's windows; minima with many members leave only the first of each group, paired with the others."""
+    rows = np.concatenate([x for x, in made])
     rows = rows[np.argsort(rows["key"], kind="stable")]
     edge = np.concatenate(([True], rows["key"][1:] != rows["key"][:-1]))
     starts = np.flatnonzero(edge)
@@ -278,13 +317,38 @@ def _combined(rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     yield from _packed(2, large, large, buckets)
 
 
-def _combined_runs(rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Packs a map task's runs; of each run those of its first document leave, paired with the others."""
-    later, first, head = _firsts(rows)
-    seeds = _seeds(rows, later, first)
-    kept = rows[head]
-    yield from _packed(0, kept, kept["key"], buckets)
-    yield from _packed(1, seeds, seeds["b"].astype(U64), buckets)
+def _combined_runs(made: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packs a map task's runs and spots; of each run and of equal spots those of the first document leave, paired with the
+    others."""
+    for kind, rows in zip((0, 2), (np.concatenate(x) for x in zip(*made))):
+        later, first, head = _firsts(rows)
+        seeds = _seeds(rows, later, first)
+        kept = rows[head]
+        yield from _packed(kind, kept, kept["key"], buckets)
+        yield from _packed(1, seeds, seeds["b"].astype(U64), buckets)
+
+
+def _partners(rows: np.ndarray, sides: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (later, earlier) of row numbers of one minimum; ``rows`` are sorted by document. Each meets the one of an earlier
+    document whose sketch shares most with its own, then the one that shares most of what is left, as long as that is
+    ADDED or more. With ``sides`` only rows of different sides meet."""
+    bits, docs = np.ascontiguousarray(rows["bits"]), rows["doc"]
+    before = np.searchsorted(docs, docs)
+    later, earlier = [], []
+    for i in np.flatnonzero(before).tolist():
+        shared = np.bitwise_count(bits[: before[i]] & bits[i]).sum(axis=1)
+        near = shared >= SHARED
+        if sides is not None:
+            near &= sides[: before[i]] != sides[i]
+        near = np.flatnonzero(near)
+        left, adds = bits[i], shared[near]
+        while len(near) and adds.max() >= ADDED:
+            best = near[np.argmax(adds)]
+            later.append(i)
+            earlier.append(best)
+            left = left & ~bits[best]
+            adds = np.bitwise_count(bits[near] & left).sum(axis=1)
+    return np.array(later, np.int64), np.array(earlier, np.int64)
 
 
 def _seed_table(out: np.ndarray) -> pa.Table:
@@ -345,13 +409,13 @@ def seeds(docs: DataFrame, id_column: str, text: str) -> DataFrame:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 for first, end, texts in Texts.from_arrow(batch.column(1)).slices():
                     held.append(made(texts, ids[first:end]))
-                    count += len(held[-1])
+                    count += sum(len(x) for x in held[-1])
                     if count >= WINDOW:
-                        yield from combined(np.concatenate(held), buckets)
+                        yield from combined(held, buckets)
                         held, count = [], 0
                 release()
             if count:
-                yield from combined(np.concatenate(held), buckets)
+                yield from combined(held, buckets)
 
         return pack
 
@@ -360,6 +424,7 @@ def seeds(docs: DataFrame, id_column: str, text: str) -> DataFrame:
         return [np.frombuffer(b"".join(x for x, k in zip(data, of) if k == n), kind) for n, kind in enumerate(kinds)]
 
     def match(part: pa.Table) -> pa.Table:
+        release()
         rows, paired, cut = parts(part, ENTRY, SEED, U64)
         rows = rows[np.lexsort((rows["pos"], rows["doc"], rows["key"]))]
         starts = np.flatnonzero(np.concatenate(([True], rows["key"][1:] != rows["key"][:-1]))[: len(rows)])
@@ -375,10 +440,36 @@ def seeds(docs: DataFrame, id_column: str, text: str) -> DataFrame:
         return _seed_table(np.concatenate((*out, named)))
 
     def match_runs(part: pa.Table) -> pa.Table:
+        release()
         # a document's runs lie in many buckets: their seeds meet again by document before any of them is a row
-        rows, paired = parts(part, RUN, SEED)
-        later, first, _ = _firsts(rows)
-        made = _distinct(np.concatenate((paired, _seeds(rows, later, first))))
+        rows, paired, spots = parts(part, RUN, SEED, SPOT)
+        made = [paired]
+        for same in (rows, spots):
+            later, first, head = _firsts(same)
+            made.append(_seeds(same, later, first))
+        made, kept = _distinct(np.concatenate(made)), spots[head]
+        packs = [*_packed(1, made, made["b"].astype(U64), buckets), *_packed(2, kept, kept["low"], buckets)]
+        return pa.Table.from_batches(packs, PACKED)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                rows = np.frombuffer(data, SPOT)
+                columns = [pa.array(np.ascontiguousarray(rows[n]).view(np.int64)) for n in ("low", "key", "doc", "pos")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in rows], pa.binary())], names=["low", "key", "doc", "pos", "spot"])
+
+    def compare_spots(part: pa.Table) -> pa.Table:
+        release()
+        rows = np.frombuffer(b"".join(part["spot"].to_pylist()), SPOT)
+        i, j, side = (part[n].to_numpy() for n in ("i", "j", "block"))
+        order = np.lexsort((rows["pos"], rows["doc"], j, i, rows["low"]))
+        rows, i, j, side = rows[order], i[order], j[order], side[order]
+        edge = np.any([x[1:] != x[:-1] for x in (rows["low"], i, j)], axis=0)
+        starts = np.concatenate(([0], np.flatnonzero(edge) + 1, [len(rows)]))
+        made = [np.zeros(0, SEED)]
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            made.append(_seeds(rows[a:b], *_partners(rows[a:b], side[a:b] if i[a] != j[a] else None)))
+        made = np.concatenate(made)
         return pa.Table.from_batches(_packed(1, made, made["b"].astype(U64), buckets), PACKED)
 
     def collapse(part: pa.Table) -> pa.Table:
@@ -386,39 +477,55 @@ def seeds(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
     known = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long"), text)
     schema, columns = "bucket int, kind int, data binary", "b long, a long, pos_b long, pos_a long, hash long"
-    packed = known.mapInArrow(packing(entries, _combined), schema)
+    packed = known.mapInArrow(packing(lambda texts, ids: (entries(texts, ids),), _combined), schema)
     found = written(packed.groupBy("bucket").applyInArrow(match, columns), "seeds")
     wanted = place_filter(found.where(F.col("hash") == LARGE).select("b").distinct(), F.col("b"))
     found = found.where(F.col("hash") != LARGE)
     if not wanted.any():
         return found
     again = known.mapInArrow(packing(lambda texts, ids: runs(texts, ids, wanted), _combined_runs), schema)
-    matched = again.groupBy("bucket").applyInArrow(match_runs, schema)
-    return found.unionByName(matched.groupBy("bucket").applyInArrow(collapse, columns))
+    matched = written(again.groupBy("bucket").applyInArrow(match_runs, schema), "second-seeds")
+    spots = matched.where("kind = 2").select("data").mapInArrow(unpack, "low long, key long, doc long, pos long, spot binary")
+    # minima with more sketches than one task should hold are cut into blocks, every two of which meet
+    many = spots.groupBy("low").count().where(F.col("count") > BLOCK)
+    many = many.select("low", F.ceil(F.col("count") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    cut = spots.join(F.broadcast(many), "low", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("key", "doc", "pos"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = cut.select("low", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "spot")
+    units = units.withColumn("unit", F.pmod(F.xxhash64("low", "i", "j"), F.lit(buckets)).cast("int"))
+    near = units.groupBy("unit").applyInArrow(compare_spots, schema)
+    later = matched.where("kind = 1").unionByName(near).groupBy("bucket").applyInArrow(collapse, columns)
+    return found.unionByName(later)
 
 
 def _regions(pos_b: np.ndarray, pos_a: np.ndarray, hashes: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Token regions (b0, b1, a0, a1), ends inclusive, where windows of enough hash functions overlap at one shift."""
     cb, ca = (pos_b >> 32), (pos_a >> 32)
-    lb, rb = cb - (pos_b >> 16 & 65535), cb + (pos_b & 65535)
-    la, ra = ca - (pos_a >> 16 & 65535), ca + (pos_a & 65535)
-    shift = cb - ca
-    order = np.argsort(shift, kind="stable")
-    group = np.concatenate(([0], np.cumsum(np.diff(shift[order]) > SLACK)))
+    lb, rb = (cb - (pos_b >> 16 & 65535)).tolist(), (cb + (pos_b & 65535)).tolist()
+    la, ra = (ca - (pos_a >> 16 & 65535)).tolist(), (ca + (pos_a & 65535)).tolist()
+    # most pairs have a few seeds only: plain lists are faster there
+    shift, kinds = (cb - ca).tolist(), hashes.tolist()
+    groups: list[list[int]] = []
+    last = None
+    for i in sorted(range(len(shift)), key=shift.__getitem__):
+        if last is None or shift[i] - last > SLACK:
+            groups.append([])
+        groups[-1].append(i)
+        last = shift[i]
     out = []
-    for g in range(int(group[-1]) + 1):
-        rows = order[group == g]
-        rows = rows[np.argsort(lb[rows], kind="stable")]
+    for rows in groups:
         reach, chain = -1, []
-        for i in [*rows.tolist(), -1]:
+        for i in [*sorted(rows, key=lb.__getitem__), -1]:
             if chain and (i < 0 or lb[i] > reach):
-                if len(set(hashes[chain].tolist())) >= ENOUGH:
-                    c = np.array(chain)
-                    out.append((int(lb[c].min()), int(rb[c].max()), int(la[c].min()), int(ra[c].max())))
+                seen = {kinds[k] for k in chain}
+                # seeds of sketches or of equal spots share a passage's tokens already
+                if len(seen) >= ENOUGH or max(seen) >= HASHES:
+                    out.append((min(lb[k] for k in chain), max(rb[k] for k in chain), min(la[k] for k in chain), max(ra[k] for k in chain)))
                 reach, chain = -1, []
             if i >= 0:
                 chain.append(i)
-                reach = max(reach, int(rb[i]))
+                reach = max(reach, rb[i])
     return out
 
 
@@ -433,13 +540,15 @@ def compare(words_b: np.ndarray, words_a: np.ndarray, percent: int = PERCENT) ->
         return []
     tb, ta = _tokens(words_b), _tokens(words_a)
     order = np.argsort(ta, kind="stable")
-    at = np.minimum(np.searchsorted(ta[order], tb), len(ta) - 1)
-    place = np.where(ta[order][at] == tb, order[at], -1)
+    sorted_a = ta[order]
+    at = np.minimum(np.searchsorted(sorted_a, tb), len(ta) - 1)
+    place = np.where(sorted_a[at] == tb, order[at], -1)
     # a token that stands in several places of the source counts where the copy goes on, if it does
-    for i in range(1, len(tb)):
-        p = place[i - 1] + 1
-        if place[i] >= 0 and 0 < p < len(ta) and place[i] != p and ta[p] == tb[i]:
-            place[i] = p
+    several = (place >= 0) & (sorted_a[np.minimum(at + 1, len(ta) - 1)] == tb) & (at + 1 < len(ta))
+    for i in np.flatnonzero(several[1:]).tolist():
+        p = place[i] + 1
+        if 0 < p < len(ta) and place[i + 1] != p and ta[p] == tb[i + 1]:
+            place[i + 1] = p
     found = np.flatnonzero(place >= 0)
     if len(found) < LEAST * percent // 100:
         return []

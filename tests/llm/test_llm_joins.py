@@ -331,6 +331,25 @@ def test_near_copies_of_passages_are_found(spark):
     assert found == set(range(1, 30))
 
 
+@pytest.mark.parametrize("block", [4096, 7])
+def test_near_copies_around_a_frequent_line_are_found(spark, monkeypatch, block):
+    """Two documents each share a line that stands in all and some words beside it; one has a word of the line changed, so that
+    no 50 words of it are the same."""
+    monkeypatch.setattr(passages, "BLOCK", block, raising=False)
+    rng = random.Random(18)
+    fresh = lambda k: [f"u{rng.randint(0, 10**9)}" for _ in range(k)]
+    line = fresh(40)
+    rows, want = [], {}
+    for n in range(60):
+        before, behind = fresh(4 + n % 9), fresh(16 - n % 9)
+        changed = line[:20] + fresh(1) + line[21:]
+        rows += [(n, " ".join(fresh(60) + before + line + behind + fresh(60))), (100 + n, " ".join(fresh(60) + before + changed + behind + fresh(60)))]
+        want[100 + n] = n
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {(r.doc_id, r.source_id) for r in passages.repeats(df).collect()}
+    assert len(found & set(want.items())) >= 58
+
+
 def test_cut_passages_leave_the_first_copy(spark):
     body = " ".join(f"p{i}" for i in range(60))
     rows = [(1, f"head {body} tail", 0, "x"), (2, f"Ünique start\n{body}\nend here", 0, None), (3, body, 0, "y"), (4, None, None, "z"), (None, body, 7, "n"), (5, "", 0, "e")]
