@@ -367,10 +367,12 @@ PACKED = "point int, _bucket int, xs binary, ns binary, ys binary, _ss double, _
 SUMS = "point int, _bucket int, _size long, _values long, _r double, _rr double, _rs double, _s double, _ss double, _lo double, _hi double"
 
 
-def _packed_blends(points: np.ndarray, cuts: np.ndarray, y: np.ndarray, models: np.ndarray) -> pa.RecordBatch:
-    """One row per grid point and value range: the distinct blends in order, their rows, and the sum of their target ranks."""
-    rows: dict[str, list] = {f.split()[0]: [] for f in PACKED.split(", ")}
+def _packed_blends(points: np.ndarray, cuts: np.ndarray, y: np.ndarray, models: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One batch per grid point with a row per value range: the distinct blends in order, their rows, and the sum of their
+    target ranks. All points together would hold hundreds of copies of the rows."""
+    kinds = {"int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
     for point, (weights, cut) in enumerate(zip(points, cuts)):
+        rows: dict[str, list] = {f.split()[0]: [] for f in PACKED.split(", ")}
         blend = weights[0] * models[0] + weights[1] * models[1] + weights[2] * models[2]
         order = np.argsort(blend, kind="stable")
         x, own = blend[order], y[order]
@@ -386,10 +388,9 @@ def _packed_blends(points: np.ndarray, cuts: np.ndarray, y: np.ndarray, models:
         rows["point"] += [point] * len(starts)
         for name, values in (("xs", x[first]), ("ns", n), ("ys", s)):
             rows[name] += [part.tobytes() for part in np.split(values, starts[1:])]
-    kinds = {"int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
-    return pa.RecordBatch.from_arrays(
-        [pa.array(rows[f.split()[0]], kinds[f.split()[1]]) for f in PACKED.split(", ")], names=list(rows)
-    )
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rows[f.split()[0]], kinds[f.split()[1]]) for f in PACKED.split(", ")], names=list(rows)
+        )
 
 
 def _range_sums(part: pa.Table) -> pa.Table:
@@ -433,10 +434,10 @@ def ensemble_search(df: DataFrame, y: str, a: str, b: str, c: str, steps: int =
             if sum(x.shape[1] for x in held) >= TOGETHER:
                 rows = np.concatenate(held, axis=1)
                 held = []
-                yield _packed_blends(*shared.value, rows[0], rows[1:])
+                yield from _packed_blends(*shared.value, rows[0], rows[1:])
         if held and sum(x.shape[1] for x in held):
             rows = np.concatenate(held, axis=1)
-            yield _packed_blends(*shared.value, rows[0], rows[1:])
+            yield from _packed_blends(*shared.value, rows[0], rows[1:])
 
     kinds = target.select(*(F.col(x).cast("double") for x in ("_y", a, b, c)))
     ranges = kinds.mapInArrow(pack, PACKED).groupBy("point", "_bucket").applyInArrow(_range_sums, SUMS)

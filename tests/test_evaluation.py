@@ -71,6 +71,17 @@ def test_spearman_of_a_constant_is_null(spark):
     assert {r.g: r.rho for r in ev.spearman(df, "y", "p", ["g"]).collect()} == {"c": None, "one": None}
 
 
+def test_packed_blends_leave_a_task_one_grid_point_at_a_time():
+    rng = np.random.default_rng(4)
+    points = np.array([(i / 20, j / 20, (20 - i - j) / 20) for i in range(21) for j in range(21 - i)])
+    made = ev._packed_blends(points, np.tile(np.linspace(0.1, 0.9, 7), (len(points), 1)), rng.random(5000), rng.random((3, 5000)))
+    seen = 0
+    for point, batch in enumerate(made):
+        assert set(batch["point"].to_pylist()) == {point} and batch.nbytes < 40 * 5000
+        seen += sum(len(n) // 8 for n in batch["xs"].to_pylist())
+    assert point == len(points) - 1 and seen == 5000 * len(points)
+
+
 def test_ensemble_search_equals_brute_force(spark):
     rng = np.random.default_rng(9)
     f = pd.DataFrame(rng.integers(0, 12, (120, 4)).astype(float), columns=["y", "a", "b", "c"])
