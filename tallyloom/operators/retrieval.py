@@ -71,8 +71,8 @@ def _block_best(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, items: n
 
 #: Blocks that a side is cut into for the sake of parallel work, before they have their full size.
 SPREAD = 32
-#: Cosines that a task holds at once.
-TOGETHER = 1 << 23
+#: Cosines that a task holds at once, in a few copies of 16 MB.
+TOGETHER = 1 << 21
 
 
 def _block_count(df: DataFrame, size: int) -> Column:

@@ -1,5 +1,7 @@
 """Vector search against brute force, and the rules of reranking and text assembly."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -261,3 +263,13 @@ def test_dense_text_vectors(spark):
     assert [round(float(np.linalg.norm(vec[i])), 6) for i in range(7)] == [1, 1, 1, 1, 0, 0, 0]
     assert vec[0] @ vec[1] > vec[0] @ vec[2] and vec[2] @ vec[3] > vec[1] @ vec[3]
     assert ts.dense_text_vectors(df.limit(0), "text")[0].count() == 0
+
+
+def test_products_of_a_full_block_hold_little_memory():
+    rng = np.random.default_rng(2)
+    items, step = rng.normal(size=(65_536, 8)), rt.TOGETHER // 65_536
+    tracemalloc.start()
+    found = rt._block_best(np.arange(step), items[:step], np.arange(65_536).astype(str), items, 5, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 5 * step and peak < 100 << 20
