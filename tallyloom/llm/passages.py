@@ -61,8 +61,6 @@ ADDED = WIDTH
 BLOCK = 4096
 #: The tokens around a large minimum: ``key`` names the exact ones, under HASHES plus the number of the hash function.
 SPOT = np.dtype([("key", "u8"), ("doc", "i8"), ("pos", "u8"), ("low", "u8"), ("bits", "u8", (BITS // 64,))])
-#: Value of ``hash`` in rows that name a large minimum's place in the filter instead of a seed.
-LARGE = -1
 _PLACE = U64((1 << 28) - 1)
 _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -351,10 +349,6 @@ def _partners(rows: np.ndarray, sides: np.ndarray | None) -> tuple[np.ndarray, n
     return np.array(later, np.int64), np.array(earlier, np.int64)
 
 
-def _seed_table(out: np.ndarray) -> pa.Table:
-    return pa.table({n: pa.array(np.ascontiguousarray(out[n]).view(np.int64)) for n in SEED.names})
-
-
 def _distinct(seeds: np.ndarray) -> np.ndarray:
     """Each seed once: the runs of two windows mostly make the same one."""
     order = np.lexsort([seeds[n] for n in SEED.names])
@@ -390,12 +384,15 @@ def _merged(seeds: np.ndarray) -> np.ndarray:
     return np.concatenate((out[short], seeds[np.repeat(~short, sizes)]))
 
 
+#: Columns of a region: the documents and the first and last tokens in both.
+REGION = ("b", "a", "b0", "b1", "a0", "a1")
 PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 
 
-def seeds(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(b, a, pos_b, pos_a, hash): pairs of windows with one minimum in different documents, all of a small minimum, and of a
-    large one as many as bring every run of LEAST tokens to a document that has it before."""
+def regions(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(b, a, b0, b1, a0, a1): token regions of two documents that seeds show to be alike. Seeds are pairs of windows with one
+    minimum in different documents, all of a small minimum, and of a large one as many as bring every run of LEAST tokens to
+    a document that has it before. They travel packed by later document, and no seed is a row."""
     small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.length(text))).first()[0] or 0
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -434,10 +431,10 @@ def seeds(docs: DataFrame, id_column: str, text: str) -> DataFrame:
         many = np.repeat(large, sizes)
         few, hot = rows[~many], rows[many]
         later, first, _ = _stars(hot)
-        out = [paired, _seeds(few, *_all_pairs(few, sizes[~large])), _seeds(hot, later, first)]
-        named = np.zeros(int(large.sum()), SEED)
-        named["b"], named["hash"] = _places(rows["key"][starts[large]]), LARGE
-        return _seed_table(np.concatenate((*out, named)))
+        made = _distinct(np.concatenate((paired, _seeds(few, *_all_pairs(few, sizes[~large])), _seeds(hot, later, first))))
+        named = np.unique(_places(rows["key"][starts[large]])).astype(U64)
+        packs = [*_packed(1, made, made["b"].astype(U64), buckets), *_packed(2, named, np.zeros(len(named), U64), buckets)]
+        return pa.Table.from_batches(packs, PACKED)
 
     def match_runs(part: pa.Table) -> pa.Table:
         release()
@@ -451,6 +448,11 @@ def seeds(docs: DataFrame, id_column: str, text: str) -> DataFrame:
         packs = [*_packed(1, made, made["b"].astype(U64), buckets), *_packed(2, kept, kept["low"], buckets)]
         return pa.Table.from_batches(packs, PACKED)
 
+    def unpack_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data, np.int64))], names=["place"])
+
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
@@ -473,16 +475,17 @@ def seeds(docs: DataFrame, id_column: str, text: str) -> DataFrame:
         return pa.Table.from_batches(_packed(1, made, made["b"].astype(U64), buckets), PACKED)
 
     def collapse(part: pa.Table) -> pa.Table:
-        return _seed_table(_merged(_distinct(parts(part, RUN, SEED)[1])))
+        release()
+        return _region_table(_merged(_distinct(parts(part, RUN, SEED)[1])))
 
     known = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long"), text)
-    schema, columns = "bucket int, kind int, data binary", "b long, a long, pos_b long, pos_a long, hash long"
+    schema, columns = "bucket int, kind int, data binary", ", ".join(f"{n} long" for n in REGION)
     packed = known.mapInArrow(packing(lambda texts, ids: (entries(texts, ids),), _combined), schema)
-    found = written(packed.groupBy("bucket").applyInArrow(match, columns), "seeds")
-    wanted = place_filter(found.where(F.col("hash") == LARGE).select("b").distinct(), F.col("b"))
-    found = found.where(F.col("hash") != LARGE)
+    found = written(packed.groupBy("bucket").applyInArrow(match, schema), "seeds")
+    wanted = place_filter(found.where("kind = 2").select("data").mapInArrow(unpack_places, "place long").distinct(), F.col("place"))
+    found = found.where("kind = 1")
     if not wanted.any():
-        return found
+        return found.groupBy("bucket").applyInArrow(collapse, columns)
     again = known.mapInArrow(packing(lambda texts, ids: runs(texts, ids, wanted), _combined_runs), schema)
     matched = written(again.groupBy("bucket").applyInArrow(match_runs, schema), "second-seeds")
     spots = matched.where("kind = 2").select("data").mapInArrow(unpack, "low long, key long, doc long, pos long, spot binary")
@@ -495,8 +498,7 @@ def seeds(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     units = cut.select("low", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "spot")
     units = units.withColumn("unit", F.pmod(F.xxhash64("low", "i", "j"), F.lit(buckets)).cast("int"))
     near = units.groupBy("unit").applyInArrow(compare_spots, schema)
-    later = matched.where("kind = 1").unionByName(near).groupBy("bucket").applyInArrow(collapse, columns)
-    return found.unionByName(later)
+    return found.unionByName(matched.where("kind = 1")).unionByName(near).groupBy("bucket").applyInArrow(collapse, columns)
 
 
 def _regions(pos_b: np.ndarray, pos_a: np.ndarray, hashes: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -529,6 +531,18 @@ def _regions(pos_b: np.ndarray, pos_a: np.ndarray, hashes: np.ndarray) -> list[t
     return out
 
 
+def _region_table(seeds: np.ndarray) -> pa.Table:
+    """The regions of all pairs of documents in ``seeds``, REGION columns."""
+    seeds = seeds[np.lexsort((seeds["a"], seeds["b"]))]
+    starts = np.flatnonzero(np.concatenate(([True], (seeds["b"][1:] != seeds["b"][:-1]) | (seeds["a"][1:] != seeds["a"][:-1])))[: len(seeds)])
+    rows: list[tuple[int, ...]] = []
+    for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(seeds)]):
+        some = seeds[x:y]
+        rows += [(int(some["b"][0]), int(some["a"][0]), *r) for r in _regions(some["pos_b"].view(np.int64), some["pos_a"].view(np.int64), some["hash"])]
+    columns = np.array(rows, np.int64).reshape(-1, len(REGION)).T
+    return pa.table({n: pa.array(np.ascontiguousarray(x)) for n, x in zip(REGION, columns)})
+
+
 def _tokens(words: np.ndarray) -> np.ndarray:
     return shingles(mix(words.astype(U64)), np.array([len(words)]), WIDTH)[0]
 
@@ -609,26 +623,12 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
 def _repeats(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """``repeats`` with the digest of the text that repeats the passage, as rows that share an id may differ in their text; the
     same row may come several times."""
-    grouped = seeds(docs, id_column, text).groupBy("b", "a").agg(F.collect_list(F.struct("pos_b", "pos_a", "hash")).alias("seeds"))
-
-    def join(batch: pa.RecordBatch):
-        rows = {k: [] for k in ("b", "a", "b0", "b1", "a0", "a1")}
-        flat, offsets = batch.column(2).flatten(), batch.column(2).offsets.to_numpy()
-        parts = [flat.field(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        offsets = offsets - offsets[0]
-        for i, (b, a) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-            lo, hi = offsets[i], offsets[i + 1]
-            for region in _regions(*(x[lo:hi] for x in parts)):
-                for k, v in zip(rows, (b, a, *region)):
-                    rows[k].append(v)
-        yield {k: pa.array(v, pa.int64()) for k, v in rows.items()}
-
-    regions = written(arrow_map(grouped, ["b", "a", "seeds"], join, "b long, a long, b0 long, b1 long, a0 long, a1 long"), "regions")
-    copies = _words(docs, id_filter(regions.select("b").distinct(), "b"), id_column, text).withColumnRenamed("id", "b")
-    sources = _words(docs, id_filter(regions.select("a").distinct(), "a"), id_column, text).withColumnRenamed("id", "a").drop("digest")
+    found = written(regions(docs, id_column, text), "regions")
+    copies = _words(docs, id_filter(found.select("b").distinct(), "b"), id_column, text).withColumnRenamed("id", "b")
+    sources = _words(docs, id_filter(found.select("a").distinct(), "a"), id_column, text).withColumnRenamed("id", "a").drop("digest")
 
     names = ["b", "a", "b0", "b1", "a0", "a1", "digest"]
-    sliced = copies.join(regions, "b").select(*names, "words")
+    sliced = copies.join(found, "b").select(*names, "words")
 
     def slices(batch: pa.RecordBatch):
         made = [w[4 * x : 4 * (y + WIDTH)] for w, x, y in zip(*(batch.column(i).to_pylist() for i in (7, 2, 3)))]

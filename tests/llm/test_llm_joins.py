@@ -331,6 +331,22 @@ def test_near_copies_of_passages_are_found(spark):
     assert found == set(range(1, 30))
 
 
+def test_seeds_of_a_large_group_are_regions_before_they_are_rows(spark):
+    """Near copies make several seeds for each two documents that meet; a row is one stretch of two documents, not a seed."""
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(300)]
+    rows = []
+    for i in range(80):
+        own = list(passage)
+        for _ in range(4):
+            own[rng.randrange(300)] = f"c{i}x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    found = [r.asDict() for r in passages.regions(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id", "text").collect()]
+    assert {r["b"] for r in found} == set(range(1, 80)) and all(r["a"] < r["b"] for r in found)
+    pairs = {(r["a"], r["b"]) for r in found}
+    assert len({tuple(r.values()) for r in found}) == len(found) <= 2 * len(pairs)
+
+
 @pytest.mark.parametrize("block", [4096, 7])
 def test_near_copies_around_a_frequent_line_are_found(spark, monkeypatch, block):
     """Two documents each share a line that stands in all and some words beside it; one has a word of the line changed, so that
