@@ -485,16 +485,18 @@ def _(spark, sf):
 SELECT c_custkey AS cust_id, {_r('monetary', 'avg_ipt', 'brand_entropy')}, frequency, n_unique_brands
 FROM customer LEFT JOIN base ON c_custkey = cust_id"""))
 def _(spark, sf):
-    tx = kept_transactions(spark, sf)
-    orders = written(cv.order_rollup(tx), "orders")
+    # only what is asked for travels and is written
+    tx = kept_transactions(spark, sf, ["cust_id", "sale_id", "prod_id", "order_date", "sale_revenue", "sale_discount", "returned_to", "brand"])
+    orders = written(cv.order_rollup(tx).select("cust_id", "sale_id", "order_date", "order_revenue", "n_items"), "orders")
     ref = cv.as_of(orders)
     everyone = b.revenue_labels(spark, sf).select("cust_id")
+    # a row of shares is one brand of a customer
+    brands = cv.shares(tx, ["brand"]).groupBy("cust_id").agg(F.count("value").alias("n_unique_brands"), cv.brand_aggregates()[0])
     parts = [
         cv.customer_aggregate(orders, cv.rfm_aggregates(ref)).select("cust_id", "monetary"),
         cv.distinct_orders(orders, ref),
         cv.gap_statistics(orders).select("cust_id", "avg_ipt"),
-        cv.distinct_values(tx, {"n_unique_brands": "brand"}),
-        cv.shares(tx, ["brand"]).groupBy("cust_id").agg(cv.brand_aggregates()[0]),
+        brands,
     ]
     for part in parts:
         everyone = cv.merge_labels(everyone, part)
