@@ -332,6 +332,15 @@ def pivot_aggregates(kind: str, values: Sequence[str], prefix: str) -> list[Colu
     ]
 
 
+def share_aggregates(column: str, values: Sequence[str], prefix: str) -> list[Column]:
+    """The columns of ``pivot_aggregates`` straight from item rows: a fixed list of values needs no row per customer and value."""
+    known, value = F.count(column).cast("double"), F.col(column).cast("string")
+    return [
+        F.try_divide(F.count(F.when(value == v, 1)).cast("double"), known).alias(f"{prefix}_{v.lower().replace(' ', '_')}")
+        for v in values
+    ]
+
+
 def top_values(tx: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """Most frequent known value per customer for each key, the smaller value on ties."""
     counts = _entries(tx, keys)
@@ -469,13 +478,12 @@ def order_features(orders: DataFrame, ref: Column, years: tuple[int, int]) -> Da
 
 
 def item_features(tx: DataFrame, categories: Sequence[str], seasons: Sequence[str]) -> DataFrame:
-    """All item-grain features: one aggregate over items, one over their keys, one over shares."""
-    pivoted = shares(tx, ["brand", "category", "season"]).groupBy(CUST).agg(
-        *brand_aggregates(),
-        *pivot_aggregates("category", categories, "cat"),
-        *pivot_aggregates("season", seasons, "season"),
-    )
-    return preferences(tx).join(pivoted, CUST, "left")
+    """All item-grain features: one aggregate over items, one over their keys, one over the shares of brands."""
+    pivots = [*share_aggregates("category", categories, "cat"), *share_aggregates("season", seasons, "season")]
+    plain = customer_aggregate(tx, [*preference_aggregates(), item_price_aggregate(), *pivots])
+    brands = shares(tx, ["brand"]).groupBy(CUST).agg(F.count("value").alias("n_unique_brands"), *brand_aggregates())
+    others = {name: column for name, column in VARIETY.items() if column != "brand"}
+    return plain.join(distinct_values(tx, others), CUST, "left").join(brands, CUST, "left").na.fill(0, subset=list(VARIETY))
 
 
 def feature_matrix(

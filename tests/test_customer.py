@@ -57,6 +57,21 @@ def test_reference_date_is_day_after_last_order(orders):
     assert cv.reference_date(orders).first()[0] == dt.date(2000, 3, 2)
 
 
+def test_fixed_vocabularies_make_no_rows_per_value(tx):
+    """Shares of listed values come with the item aggregate: no exploded row names a category or a season."""
+    made = cv.item_features(tx, ["other", "c"], ["S1", "S2"])
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    exploded = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert exploded and not any("category" in line or "season" in line for line in exploded)
+    names = ["cat_other", "cat_c", "season_s1", "season_s2"]
+    long = cv.shares(tx, ["category", "season"]).groupBy("cust_id").agg(
+        *cv.pivot_aggregates("category", ["other", "c"], "cat"), *cv.pivot_aggregates("season", ["S1", "S2"], "season")
+    )
+    want = {r.cust_id: [r[n] for n in names] for r in long.collect()}
+    got = {r.cust_id: [r[n] for n in names] for r in made.collect()}
+    assert got == want | {3: [None] * 4} and got[5] == [0.0, 1.0, 1.0, 0.0]
+
+
 def test_single_order_has_null_gaps_and_deviation(matrix):
     for column in ("avg_ipt", "std_ipt", "min_ipt", "max_ipt", "std_order_val", "recency_ipt_ratio", "ript_sq"):
         assert matrix[1][column] is None
