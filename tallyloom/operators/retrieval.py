@@ -53,19 +53,55 @@ def _keep_best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     return frame[frame.groupby("qid", sort=False).cumcount() < k]
 
 
+#: Of so many columns one is looked at to find a bound that the best of all columns reach.
+STRIDE = 16
+
+
+def shortlist(scores: np.ndarray, k: int, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns, by row, of all scores that may be among the best ``k`` of their row, ties included.
+
+    The k-th best of a part of the columns is not above the k-th best of all, so nothing below it (less ``slack``) counts.
+    """
+    part = scores[:, ::STRIDE] if scores.shape[1] >= 4 * STRIDE * k else scores
+    width = part.shape[1]
+    cut = np.partition(part, width - k, axis=1)[:, width - k] if width > k else part.min(axis=1)
+    cut = np.maximum(cut - slack, np.finfo(scores.dtype).min)  # minus infinity marks what is left out
+    return np.divmod(np.flatnonzero(scores >= cut[:, None].astype(scores.dtype)), scores.shape[1])
+
+
+def places(row: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by row, then larger values first, and the place (from 0) that each has in its row in that order."""
+    order = np.lexsort((-values, row))
+    row = row[order]
+    return order, np.arange(len(row)) - np.searchsorted(row, row)
+
+
+def _own_places(qids: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of every query and item that have the same id, by query."""
+    order, asked = np.argsort(ids, kind="stable"), qids.astype(str)
+    first, last = (np.searchsorted(ids, asked, side, order) for side in ("left", "right"))
+    many = last - first
+    return np.repeat(np.arange(len(qids)), many), order[np.repeat(last - np.cumsum(many), many) + np.arange(many.sum())]
+
+
 def _block_best(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, items: np.ndarray, k: int,
-                exclude_self: bool) -> pd.DataFrame:
+                exclude_self: bool, own: tuple[np.ndarray, np.ndarray] | None = None) -> pd.DataFrame:
     """Best k items of one block for each query of another; ties at the cut are all looked at.
 
-    Cosines are rounded to nine digits so that equal vectors tie whatever block they are in.
+    Cosines are rounded to nine digits so that equal vectors tie whatever block they are in. ``own`` may give the positions
+    that ``exclude_self`` leaves out.
     """
-    scores = np.round(queries @ items.T, 9)
+    scores = queries @ items.T
     if exclude_self:
-        scores[qids.astype(str)[:, None] == ids[None, :]] = -np.inf
-    width = scores.shape[1]
-    cut = np.partition(scores, width - k, axis=1)[:, width - k] if width > k else scores.min(axis=1)
-    row, column = np.nonzero((scores >= cut[:, None]) & (scores > -np.inf))
-    found = pd.DataFrame({"qid": qids[row], "id": ids[column].astype(object), "cosine": scores[row, column]})
+        scores[_own_places(qids, ids) if own is None else own] = -np.inf
+    row, column = shortlist(scores, k, 2e-9)  # rounding moves two cosines towards each other by 1e-9 at most
+    cosine = np.round(scores[row, column], 9)
+    order, place = places(row, cosine)
+    row, column, cosine = row[order], column[order], cosine[order]
+    cut = np.full(len(qids), -np.inf)
+    cut[row[place == k - 1]] = cosine[place == k - 1]
+    kept = cosine >= cut[row]
+    found = pd.DataFrame({"qid": qids[row[kept]], "id": ids[column[kept]].astype(object), "cosine": cosine[kept]})
     return _keep_best(found, k)
 
 
@@ -92,9 +128,12 @@ def _products(asked: DataFrame, held: DataFrame, keys: Sequence[str], k: int, ex
         qids, asking = q["_qid"].to_numpy(np.int64), unit_rows(q["_qvec"])
         ids, held = i["id"].to_numpy(str), unit_rows(i["vec"])
         step = max(1, TOGETHER // len(i))
-        return pd.concat(
-            [_block_best(qids[a : a + step], asking[a : a + step], ids, held, k, exclude_self) for a in range(0, len(q), step)]
-        )
+        row, column = _own_places(qids, ids) if exclude_self else (np.zeros(0, np.int64),) * 2
+        out = []
+        for a in range(0, len(q), step):
+            own = slice(*np.searchsorted(row, (a, a + step)))
+            out.append(_block_best(qids[a : a + step], asking[a : a + step], ids, held, k, exclude_self, (row[own] - a, column[own])))
+        return pd.concat(out)
 
     return asked.groupBy(*[f"_q{c}" for c in keys]).cogroup(held.groupBy(*keys)).applyInPandas(product, SCORES)
 

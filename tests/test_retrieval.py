@@ -273,3 +273,27 @@ def test_products_of_a_full_block_hold_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(found) == 5 * step and peak < 100 << 20
+
+
+def test_shortlist_holds_all_of_the_best_and_few_others():
+    rng = np.random.default_rng(6)
+    scores = rng.normal(size=(7, 5000))
+    scores[2, 10:400] = 9.0  # more ties than places
+    scores[3, 5:] = -np.inf
+    scores[4] = -np.inf
+    row, column = rt.shortlist(scores, 5)
+    for r in range(7):
+        own = set(column[row == r].tolist())
+        cut = np.sort(scores[r])[-5]
+        assert own >= set(np.nonzero((scores[r] >= cut) & (scores[r] > -np.inf))[0].tolist())
+        assert len(own) < 1000
+    order, place = rt.places(row, scores[row, column])
+    assert [int((row[order] == r).sum()) for r in range(7)] == [int((row == r).sum()) for r in range(7)]
+    assert (place[1:] == np.where(np.diff(row[order]) == 0, place[:-1] + 1, 0)).all()
+
+
+def test_every_item_with_the_id_of_the_query_is_left_out():
+    ids, items = np.array(["7", "3", "7", "12"]), np.eye(4)
+    found = rt._block_best(np.array([7, 5, 12]), np.ones((3, 4)), ids, items, 4, True)
+    assert [found[found["qid"] == q]["id"].tolist() for q in (7, 5, 12)] == [["12", "3"], ["12", "3", "7", "7"], ["3", "7", "7"]]
+    assert [x.tolist() for x in rt._own_places(np.array([7, 5, 12]), ids)] == [[0, 0, 2], [0, 2, 3]]
