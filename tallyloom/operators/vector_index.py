@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.operators.retrieval import cosine_topk, unit_rows
+from tallyloom.operators.retrieval import cosine_topk, places, shortlist, unit_rows
 from tallyloom.session import written
 
 #: Items that an index learns from at most.
@@ -77,13 +77,14 @@ class Quantiser:
         codes = np.stack([_nearest(left[:, s], self.words[s]) for s in range(left.shape[1])], axis=1)
         return cells, codes.astype(np.uint8)
 
+    def decode(self, cells: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that cells and codes stand for: centres and codewords together."""
+        left = np.stack([words[code] for words, code in zip(self.words, codes.T)], axis=1)
+        return (self.centres[cells] + left.reshape(len(cells), -1)[:, : self.centres.shape[1]]).astype(np.float32)
+
     def scores(self, queries: np.ndarray, cells: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Estimated inner products (query, item): one look-up per slice in the query's table."""
-        tables = np.einsum("qsd,swd->sqw", self._slices(queries), self.words).astype(np.float32)
-        out = (queries @ self.centres.T).astype(np.float32)[:, cells]
-        for table, code in zip(tables, codes.T):
-            out += table[:, code]
-        return out
+        """Estimated inner products (query, item)."""
+        return queries.astype(np.float32) @ self.decode(cells, codes).T
 
 
 @dataclass(frozen=True)
@@ -212,22 +213,27 @@ def indexed_topk(
         if not len(q) or not len(i):
             return pd.DataFrame({"qid": np.zeros(0, np.int64), "id": np.zeros(0, object), "score": np.zeros(0)})
         quantiser = shared.value[0]
+        i = i.sort_values("cell", kind="stable")  # items of a cell lie side by side
         cells = i["cell"].to_numpy(np.int64)
         codes = np.frombuffer(b"".join(i["code"]), np.uint8).reshape(len(i), -1)
         visited = np.zeros((len(q), len(quantiser.centres)), bool)
         for row, own in enumerate(q["_cells"]):
             visited[row, own] = True
-        vectors, qids, ids = unit_rows(q["_vec"]), q["qid"].to_numpy(np.int64), i["id"].to_numpy(object)
+        vectors, qids, ids = unit_rows(q["_vec"]).astype(np.float32), q["qid"].to_numpy(np.int64), i["id"].to_numpy(object)
+        decoded = quantiser.decode(cells, codes)
+        here, begin = np.unique(cells, return_index=True)
+        spans = list(zip(here.tolist(), begin.tolist(), [*begin[1:].tolist(), len(cells)]))
         out = []
-        step = max(1, (1 << 23) // len(i))  # estimates that are held at once
+        step = max(1, (1 << 22) // len(i))  # estimates that are held at once
         for a in range(0, len(q), step):
-            scores = quantiser.scores(vectors[a : a + step], cells, codes)
-            scores[~visited[a : a + step][:, cells]] = -np.inf
-            width = min(keep, len(i))
-            best = np.argpartition(-scores, width - 1, axis=1)[:, :width]
-            found = np.take_along_axis(scores, best, axis=1)
-            row, column = np.nonzero(found > -np.inf)
-            out.append(pd.DataFrame({"qid": qids[a + row], "id": ids[best[row, column]], "score": found[row, column].astype(np.float64)}))
+            scores = vectors[a : a + step] @ decoded.T
+            for cell, first_item, end in spans:
+                scores[~visited[a : a + step, cell], first_item:end] = -np.inf
+            row, column = shortlist(scores, keep)
+            found = scores[row, column]
+            order, place = places(row, found)
+            best = order[place < keep]
+            out.append(pd.DataFrame({"qid": qids[a + row[best]], "id": ids[column[best]], "score": found[best].astype(np.float64)}))
         return pd.concat(out)
 
     near = asked.groupBy("_to", "_turn").cogroup(held.groupBy("_block", "_at")).applyInPandas(guess, "qid bigint, id string, score double")

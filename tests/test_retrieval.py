@@ -297,3 +297,16 @@ def test_every_item_with_the_id_of_the_query_is_left_out():
     found = rt._block_best(np.array([7, 5, 12]), np.ones((3, 4)), ids, items, 4, True)
     assert [found[found["qid"] == q]["id"].tolist() for q in (7, 5, 12)] == [["12", "3"], ["12", "3", "7", "7"], ["3", "7", "7"]]
     assert [x.tolist() for x in rt._own_places(np.array([7, 5, 12]), ids)] == [[0, 0, 2], [0, 2, 3]]
+
+
+@pytest.mark.parametrize("dimensions", [8, 9])
+def test_estimates_are_products_with_the_decoded_vectors(dimensions):
+    rng = np.random.default_rng(8)
+    rows, queries = rng.normal(size=(400, dimensions)), rng.normal(size=(5, dimensions))
+    quantiser = vi.Quantiser.fit(rows, 4)
+    cells, codes = quantiser.encode(rows)
+    decoded = quantiser.decode(cells, codes)
+    assert decoded.shape == rows.shape and np.linalg.norm(rows - decoded) < 0.5 * np.linalg.norm(rows)
+    tables = np.einsum("qsd,swd->sqw", vi.Quantiser._slices(queries), quantiser.words)
+    looked_up = (queries @ quantiser.centres.T)[:, cells] + sum(t[:, c] for t, c in zip(tables, codes.T))
+    assert quantiser.scores(queries, cells, codes) == pytest.approx(looked_up, abs=1e-4)
