@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import flag, floor0, ratio, total, year_quarter
 from tallyloom.operators.ordering import exact_quantiles
+from tallyloom.session import bucket_count
 
 CUST = "cust_id"
 LOOKBACKS = (90, 180, 365)
@@ -256,13 +257,17 @@ def preference_aggregates() -> list[Column]:
 
 
 def _entries(tx: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """Rows per customer, kind and known value: several key columns under each other, counted."""
-    entries = F.explode(
-        F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("string").alias("value")) for k, c in keys.items()])
-    )
+    """Rows per customer, kind and known value: several key columns under each other, counted.
+
+    Nearly every row brings new entries, so a task's table of counts is as large as its rows. Narrow rows are dealt evenly
+    over all of the session's partitions first, by customer and values, so not even one busy customer fills a task.
+    """
+    names = {k: f"_k{i}" for i, k in enumerate(keys)}
+    narrow = tx.where(F.col(CUST).isNotNull()).select(CUST, *[c.cast("string").alias(names[k]) for k, c in keys.items()])
+    dealt = narrow.repartition(bucket_count(tx), CUST, *names.values())
+    entries = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in names.items()]))
     return (
-        tx.where(F.col(CUST).isNotNull())
-        .select(CUST, entries.alias("e"))
+        dealt.select(CUST, entries.alias("e"))
         .select(CUST, "e.kind", "e.value")
         .where(F.col("value").isNotNull())
         .groupBy(CUST, "kind", "value")

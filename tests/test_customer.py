@@ -139,3 +139,15 @@ def test_quarter_filter_bounds(spark):
     df = spark.createDataFrame([(dt.date.fromisoformat(d),) for d in days], "order_date date")
     assert cv.filter_period(df, 2000).count() == 4
     assert cv.filter_period(df, 2000, 1).count() == 2
+
+
+def test_counts_of_values_begin_with_rows_dealt_over_all_partitions(spark):
+    """Also those of one busy customer; an aggregate over undealt rows holds whatever a task has read."""
+    from tallyloom.session import bucket_count
+
+    rows = [(1, f"b{i % 7}", "c") for i in range(700)] + [(2, "x", None), (None, "x", "c"), (3, None, None)]
+    tx = spark.createDataFrame(rows, "cust_id int, brand string, category string")
+    entries = cv._entries(tx, {"brand": F.col("brand"), "category": F.col("category")})
+    assert f"{bucket_count(tx)}), REPARTITION_BY_NUM" in entries._jdf.queryExecution().toString()
+    got = {(r.cust_id, r.kind, r.value): r.n for r in entries.collect()}
+    assert got == {**{(1, "brand", f"b{i}"): 100 for i in range(7)}, (1, "category", "c"): 700, (2, "brand", "x"): 1}
