@@ -180,18 +180,23 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     )
 
 
-def text_vectors(df: DataFrame, text: str, features: int = 1024) -> DataFrame:
-    """Adds ``vec``: TF-IDF over hashed words, unit length, all zero for texts without words; whole texts."""
-    if df.isEmpty():
-        return df.withColumn("vec", F.array().cast("array<double>"))
+def word_weights(df: DataFrame, text: str, features: int = 1024) -> DataFrame:
+    """Adds ``weights``: TF-IDF over hashed words as a sparse vector of unit length, without entries for texts without words;
+    whole texts. ``df`` has rows."""
     steps = Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\s+"),
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
         IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="_unit"),
+        Normalizer(inputCol="_idf", outputCol="weights"),
     ])
-    out = steps.fit(df).transform(df)
-    return out.withColumn("vec", vector_to_array("_unit")).drop("_words", "_tf", "_idf", "_unit")
+    return steps.fit(df).transform(df).drop("_words", "_tf", "_idf")
+
+
+def text_vectors(df: DataFrame, text: str, features: int = 1024) -> DataFrame:
+    """Adds ``vec``: TF-IDF over hashed words, unit length, all zero for texts without words; whole texts."""
+    if df.isEmpty():
+        return df.withColumn("vec", F.array().cast("array<double>"))
+    return word_weights(df, text, features).withColumn("vec", vector_to_array("weights")).drop("weights")
 
 
 # --- ranking ----------------------------------------------------------------------------------

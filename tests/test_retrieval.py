@@ -310,3 +310,18 @@ def test_estimates_are_products_with_the_decoded_vectors(dimensions):
     tables = np.einsum("qsd,swd->sqw", vi.Quantiser._slices(queries), quantiser.words)
     looked_up = (queries @ quantiser.centres.T)[:, cells] + sum(t[:, c] for t, c in zip(tables, codes.T))
     assert quantiser.scores(queries, cells, codes) == pytest.approx(looked_up, abs=1e-4)
+
+
+def test_full_matrices_hold_few_rows_of_a_batch():
+    import pyarrow as pa
+
+    n, features = 10_000, 1024
+    indices = pa.array([[i % features, (i * 7 + 1) % features] for i in range(n)], pa.list_(pa.int32()))
+    values = pa.array([[1.0, 2.0]] * n, pa.list_(pa.float64()))
+    column = pa.StructArray.from_arrays([indices, values], ["indices", "values"])
+    tracemalloc.start()
+    made = [(len(own), own.sum(), own[0].nonzero()[0].tolist()) for own in ts._matrices(column, features)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(m[0] for m in made) == n and sum(m[1] for m in made) == 3.0 * n and peak < 16 << 20
+    assert made[1][2] == sorted([ts.TOGETHER % features, (ts.TOGETHER * 7 + 1) % features])
