@@ -35,8 +35,7 @@ def labelled(spark, sf):
     parts = {"fit": 0.8, "validate": 0.2}
     rows = sa.stratified_split(rows, "spends", "cust_id", parts, sa.hashed("cust_id", 42)).withColumn("held", F.col("split") == "validate")
     keep = ["cust_id", "revenue_label", "part", "fold", "held"]
-    kept = written(rows.select(*keep, *names, *encoded), "model-rows")
-    return ml.assembled(kept, [*names, *encoded], NULLABLE).select(*keep, "features")
+    return ml.model_rows(rows, keep, [*names, *encoded], NULLABLE)
 
 
 def train_part(rows):

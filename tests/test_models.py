@@ -31,6 +31,15 @@ def test_missing_values_get_a_flag(rows):
     assert len(rows.first().features) == 4
 
 
+def test_model_rows_hold_the_written_vector_and_its_names(spark):
+    df = spark.createDataFrame([(1, 2.0, 3.0, None), (2, None, 5.0, 7.0)], "id long, y double, x double, gap double")
+    out = ml.model_rows(df, ["id", "y"], ["x", "gap"], ["gap"])
+    assert spark.read.parquet(*out.inputFiles()).columns == ["id", "y", "features"]
+    assert {r.id: (r.y, list(r.features.toArray())) for r in out.collect()} == {1: (2.0, [3.0, 0.0, 1.0]), 2: (None, [5.0, 7.0, 0.0])}
+    named = {a["name"] for kind in out.schema["features"].metadata["ml_attr"]["attrs"].values() for a in kind}
+    assert named == {"x", "gap", "gap_missing"}
+
+
 def test_two_stage(rows):
     out = ml.two_stage_revenue(rows.withColumn("held", F.col("id") % 5 == 0), rows, "y", "held", trees=5, depth=3)
     assert rho(out) > 0.8
