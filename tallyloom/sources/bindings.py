@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.session import bucket_count
+
 MONEY = T.DecimalType(18, 4)
 
 # Observation ends where the label period starts; the last two observed years get split columns.
@@ -186,14 +188,19 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct document -> entity mentions (doc_id, name)."""
+    """Distinct document -> entity mentions (doc_id, name).
+
+    Nearly all are distinct, so nothing is combined before the shuffle: rows are dealt by document over all of the session's
+    partitions, which bounds a task's memory, and joins and distinct counts by document need no further shuffle.
+    """
     lines = table(spark, sf_dir, "lineitem")
     by_supplier = lines.select(F.col("l_orderkey").alias("doc_id"), _name("S", "l_suppkey").alias("name"))
     by_part = lines.select(F.col("l_orderkey").alias("doc_id"), _name("P", "l_partkey").alias("name"))
     by_customer = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("doc_id"), _name("C", "o_custkey").alias("name")
     )
-    return by_supplier.unionByName(by_part).unionByName(by_customer).distinct()
+    every = by_supplier.unionByName(by_part).unionByName(by_customer)
+    return every.repartition(bucket_count(lines), "doc_id").distinct()
 
 
 GRAPH_SQL = """

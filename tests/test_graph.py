@@ -93,3 +93,19 @@ def test_profile_totals_equal_neighbour_counts(spark):
 
     counts = {r.neighbor: r.interactions for r in g.neighbour_counts(b.related_to(spark, SF), b.EGO).collect()}
     assert {r.alter: r.total_interactions for r in totals.collect()} == counts
+
+
+def test_mentions_of_a_document_are_dealt_to_one_of_the_sessions_partitions(spark, tmp_path):
+    from tallyloom.session import bucket_count
+    from tallyloom.sources import bindings as b
+
+    folder = str(tmp_path)
+    lines = [(d, p, s) for d in range(40) for p, s in ((1, 2), (1, 2), (3, 2))] + [(None, 1, None), (None, 1, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(d, d % 5) for d in range(40)], "o_orderkey long, o_custkey long").write.parquet(f"{folder}/orders.parquet")
+    out = b.mentions(spark, folder)
+    wanted = [(d, n) for d in range(40) for n in ("S#2", "P#1", "P#3", f"C#{d % 5}")] + [(None, "P#1"), (None, None)]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, wanted))
+    assert out.rdd.getNumPartitions() == bucket_count(out)
+    places = {tuple(r) for r in out.select("doc_id", F.spark_partition_id()).collect()}
+    assert len(places) == 41
