@@ -144,12 +144,15 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def related_to(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges supplier -> customer, one per item (src, dst, action, doc_id)."""
+    """Edges supplier -> customer, one per item (src, dst, action, doc_id).
+
+    Items are dealt by order over all of the session's partitions, which bounds what a task of the join sorts.
+    """
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
     return (
-        table(spark, sf_dir, "lineitem")
-        .select("l_orderkey", "l_suppkey", "l_partkey")
+        items.repartition(bucket_count(items), "l_orderkey")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .select(

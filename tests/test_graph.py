@@ -109,3 +109,20 @@ def test_mentions_of_a_document_are_dealt_to_one_of_the_sessions_partitions(spar
     assert out.rdd.getNumPartitions() == bucket_count(out)
     places = {tuple(r) for r in out.select("doc_id", F.spark_partition_id()).collect()}
     assert len(places) == 41
+
+
+def test_edges_of_a_document_are_dealt_to_one_of_the_sessions_partitions(spark, tmp_path):
+    from tallyloom.session import bucket_count
+    from tallyloom.sources import bindings as b
+
+    folder = str(tmp_path)
+    lines = [(d, 1, s) for s in (2, 2, 3) for d in range(40)] + [(None, 1, 2), (7, 9, 2), (99, 1, 2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(d, d % 5) for d in range(40)], "o_orderkey long, o_custkey long").write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame([(1, "PROMO")], "p_partkey long, p_type string").write.parquet(f"{folder}/part.parquet")
+    out = b.related_to(spark, folder)
+    wanted = [(f"S#{s}", f"C#{d % 5}", "promo", d) for d in range(40) for s in (2, 2, 3)]
+    assert sorted(map(tuple, out.collect())) == sorted(wanted)
+    assert out.rdd.getNumPartitions() == bucket_count(out)
+    places = {tuple(r) for r in out.select("doc_id", F.spark_partition_id()).collect()}
+    assert len(places) == 40
