@@ -2,7 +2,8 @@
 
 Every round fits one tree to the Newton step of each row, minus gradient over curvature of the deviance at the row's present
 margin, weighted by the curvature; a leaf's weighted mean is then the Newton step of the leaf. Margins are written every
-few rounds, together with the trees so far, so plans stay short and a fit that was cut off goes on where it was.
+few rounds, together with the trees so far, so plans stay short and a fit that was cut off goes on where it was. Rows are written
+once, with a number; margins are number and margin only, in the same buckets, so neither moves when they meet.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegre
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.session import new_path
+from tallyloom.session import dealt, new_path
 
 #: Rounds without a better validation deviance after which a fit ends, and what counts as better (a share of the deviance).
 PATIENCE = 3
 BETTER = 1e-4
 #: Rounds between two written tables of margins.
 STRIDE = 4
+#: Rows of a bucket, where there are more buckets than cores. Every bucket sends its sums of all bins in every round.
+BUCKET_ROWS = 1 << 17
 
 
 def tweedie_deviance(y: Column, mean: Column, power: float) -> Column:
@@ -65,17 +68,23 @@ class BoostedTrees:
         return self.margin(df, "_margin").withColumn(out, F.exp("_margin") * self.scale).drop("_margin")
 
 
-def _saved(model: BoostedTrees, folder: str, rows: DataFrame) -> None:
-    """Writes trees that aren't written yet, the margins, and last the row that makes both count."""
+def _buckets(spark: SparkSession, rows: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS))
+
+
+def _saved(model: BoostedTrees, folder: str, rows: DataFrame, buckets: int) -> DataFrame:
+    """Writes the margins, and last the row that makes them and the trees count; returns the margins (_id, _f)."""
     spark = rows.sparkSession
     done = len(model.trees)
-    rows.write.mode("overwrite").parquet(f"{folder}/margins-{done}")
+    margins = dealt(rows.select("_id", "_f"), "margins", "_id", f"{folder}/margins-{done}", buckets)
     state = {"rounds": done, "scale": model.scale, "rate": model.rate, "history": model.history}
     spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/state-{done}")
+    return margins
 
 
-def _resumed(spark: SparkSession, folder: str) -> tuple[BoostedTrees, DataFrame] | None:
-    """The last state in ``folder``: it is written after everything it names."""
+def _resumed(spark: SparkSession, folder: str) -> tuple[BoostedTrees, DataFrame, DataFrame, int] | None:
+    """The last state in ``folder``, rows, margins and their buckets: it is written after everything it names. Both tables are
+    dealt anew for this session."""
     try:
         states = spark.read.parquet(f"{folder}/state-*").collect()  # one row per STRIDE rounds
     except AnalysisException as e:
@@ -84,7 +93,10 @@ def _resumed(spark: SparkSession, folder: str) -> tuple[BoostedTrees, DataFrame]
         raise
     state = max((json.loads(r["state"]) for r in states), key=lambda x: x["rounds"])
     trees = [DecisionTreeRegressionModel.load(f"{folder}/tree-{i}") for i in range(state["rounds"])]
-    return BoostedTrees(state["scale"], state["rate"], trees, state["history"]), spark.read.parquet(f"{folder}/margins-{state['rounds']}")
+    tables = [spark.read.parquet(f"{folder}/{name}") for name in ("rows", f"margins-{state['rounds']}")]
+    buckets = _buckets(spark, tables[1].count())
+    rows, margins = (dealt(table, "resumed", "_id", buckets=buckets) for table in tables)
+    return BoostedTrees(state["scale"], state["rate"], trees, state["history"]), rows, margins, buckets
 
 
 def fit_tweedie(
@@ -103,17 +115,20 @@ def fit_tweedie(
     folder = folder or new_path(spark, "boosted-trees")
     before = _resumed(spark, folder)
     if before:
-        model, rows = before
+        model, rows, margins, buckets = before
     else:
-        first = train.where(~F.col(held)).agg(F.avg(target)).first()[0]
-        model = BoostedTrees(first or 0.0, rate)
+        first, many = train.agg(F.avg(F.when(~F.col(held), target)), F.count(F.lit(1))).first()
+        model, buckets = BoostedTrees(first or 0.0, rate), _buckets(spark, many)
         if not model.scale:
             return model
-        rows = train.select(features, (target / model.scale).alias("_y"), F.col(held).alias("_held"), F.lit(0.0).alias("_f"))
-        _saved(model, folder, rows)
-        rows = spark.read.schema(rows.schema).parquet(f"{folder}/margins-0")
-    done = len(model.trees)  # trees that the margins in ``rows`` hold
-    current = rows
+        rows = train.select(
+            F.monotonically_increasing_id().alias("_id"), features, (target / model.scale).alias("_y"), F.col(held).alias("_held")
+        )
+        rows = dealt(rows, "boosted-rows", "_id", f"{folder}/rows", buckets)
+        margins = _saved(model, folder, rows.withColumn("_f", F.lit(0.0)), buckets)
+    at = lambda margins: rows.join(margins.hint("shuffle_hash"), "_id")  # noqa: E731  no sort: the margins of a bucket are few
+    done = len(model.trees)  # trees that ``margins`` hold
+    current = at(margins)
     if not model.history:
         model.history.append(_validation(current, power))
     while len(model.trees) < most:
@@ -128,13 +143,13 @@ def fit_tweedie(
         ).fit(current.where(~F.col("_held")).select(features, step.alias("_step"), weight.alias("_weight")))
         fitted.write().overwrite().save(f"{folder}/tree-{len(model.trees)}")
         model.trees.append(fitted)
-        current = model.margin(rows.withColumnRenamed("_f", "_g"), "_f", "_g", model.trees[done:]).select(*rows.columns)
+        current = model.margin(at(margins).withColumnRenamed("_f", "_g"), "_f", "_g", model.trees[done:]).drop("_g")
         now = _validation(current, power)
         model.history.append(now if now < min(model.history) * (1 - BETTER) else max(now, min(model.history)))
         if len(model.trees) - done >= STRIDE:
             done = len(model.trees)
-            _saved(model, folder, current)
-            current = rows = spark.read.schema(rows.schema).parquet(f"{folder}/margins-{done}")
+            margins = _saved(model, folder, current, buckets)
+            current = at(margins)
     best = min(range(len(model.history)), key=model.history.__getitem__)
     model.trees = model.trees[:best]
     return model

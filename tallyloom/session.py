@@ -72,6 +72,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, name: str, key: str, path: str | None = None, buckets: int | None = None) -> DataFrame:
+    """Like :func:`written`, in buckets by ``key``: aggregates, windows and joins by that column need no further shuffle.
+
+    The table is in the session's catalog only until its frame is made; a ``path`` that is given is written anew.
+    """
+    spark, n = df.sparkSession, buckets or bucket_count(df)
+    table = f"tallyloom_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    to = df.repartition(n, key).write.format("parquet").mode("overwrite").option("path", path or new_path(spark, name))
+    to.bucketBy(n, key).saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay
+    return found
+
+
 def bucket_count(df: DataFrame) -> int:
     """How many pieces to split a hot group into: follows the session's shuffle width."""
     return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -81,6 +81,22 @@ def test_boosting_goes_on_where_it_was(rows, spark):
     assert resumed.history == pytest.approx(whole.history) and len(resumed.trees) == len(whole.trees)
 
 
+def test_boosting_writes_rows_once_and_margins_alone(rows, spark, monkeypatch):
+    """What a round writes doesn't grow with the features, and rows and margins meet where they are."""
+    import os
+
+    from tallyloom.session import new_path
+
+    plans = []
+    saved = bo._saved
+    monkeypatch.setattr(bo, "_saved", lambda model, folder, df, *more: plans.append(df._jdf.queryExecution().toString()) or saved(model, folder, df, *more))
+    folder = new_path(spark, "margins")
+    bo.fit_tweedie(rows.withColumn("held", F.col("id") % 5 == 0), "y", "held", least=5, most=5, folder=folder)
+    assert [f for f in sorted(os.listdir(folder)) if not f.startswith(("tree", "state"))] == ["margins-0", "margins-4", "rows"]
+    assert spark.read.parquet(f"{folder}/margins-4").columns == ["_id", "_f"] and spark.read.parquet(f"{folder}/margins-4").count() == 600
+    assert len(plans) == 2 and "ShuffledHashJoin" in plans[1] and "Exchange" not in plans[1]
+
+
 def test_boosting_without_rows_or_spend(rows):
     none = bo.fit_tweedie(rows.withColumn("held", F.lit(False)).limit(0), "y", "held")
     assert none.trees == [] and none.predict(rows).where("prediction <> 0").count() == 0
