@@ -256,18 +256,20 @@ def preference_aggregates() -> list[Column]:
     ]
 
 
-def _entries(tx: DataFrame, keys: dict[str, Column]) -> DataFrame:
+def _entries(tx: DataFrame, keys: dict[str, Column], dealt: bool = False) -> DataFrame:
     """Rows per customer, kind and known value: several key columns under each other, counted.
 
     Nearly every row brings new entries, so a task's table of counts is as large as its rows. Narrow rows are dealt evenly
-    over all of the session's partitions first, by customer and values, so not even one busy customer fills a task.
+    over all of the session's partitions first, by customer and values, so not even one busy customer fills a task. Rows that are
+    ``dealt`` by customer (:func:`tallyloom.session.dealt`) are as evenly dealt as customers are, and stay where they are.
     """
     names = {k: f"_k{i}" for i, k in enumerate(keys)}
     narrow = tx.where(F.col(CUST).isNotNull()).select(CUST, *[c.cast("string").alias(names[k]) for k, c in keys.items()])
-    dealt = narrow.repartition(bucket_count(tx), CUST, *names.values())
+    if not dealt:
+        narrow = narrow.repartition(bucket_count(tx), CUST, *names.values())
     entries = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in names.items()]))
     return (
-        dealt.select(CUST, entries.alias("e"))
+        narrow.select(CUST, entries.alias("e"))
         .select(CUST, "e.kind", "e.value")
         .where(F.col("value").isNotNull())
         .groupBy(CUST, "kind", "value")
@@ -275,13 +277,13 @@ def _entries(tx: DataFrame, keys: dict[str, Column]) -> DataFrame:
     )
 
 
-def distinct_values(tx: DataFrame, columns: dict[str, str]) -> DataFrame:
+def distinct_values(tx: DataFrame, columns: dict[str, str], dealt: bool = False) -> DataFrame:
     """Distinct known values per customer for several columns (output name -> column).
 
     Narrow key rows are counted once each; several distinct counts in one aggregate would
     carry every column and every other sum through the same shuffle.
     """
-    entries = _entries(tx, {name: F.col(c) for name, c in columns.items()})
+    entries = _entries(tx, {name: F.col(c) for name, c in columns.items()}, dealt)
     counts = [F.count(F.when(F.col("kind") == name, 1)).alias(name) for name in columns]
     return entries.groupBy(CUST).agg(*counts)
 
@@ -305,14 +307,15 @@ def item_price_aggregate() -> Column:
     return ratio(total(F.col("sale_revenue")), F.count(F.lit(1))).alias("avg_item_price")
 
 
-def shares(tx: DataFrame, keys: Sequence[str]) -> DataFrame:
+def shares(tx: DataFrame, keys: Sequence[str], dealt: bool = False) -> DataFrame:
     """Long table of shares: customer, kind, value, n, share of the customer's known values.
 
     Counts are taken first, so the window sees one row per customer and vocabulary entry.
     """
     of_customer = Window.partitionBy(CUST, "kind")
     # One shuffle by customer serves this window and the aggregate by customer that follows.
-    counts = _entries(tx, {k: F.col(k) for k in keys}).repartition(CUST)
+    counts = _entries(tx, {k: F.col(k) for k in keys}, dealt)
+    counts = counts if dealt else counts.repartition(CUST)
     return counts.withColumn("share", F.col("n") / F.sum("n").over(of_customer))
 
 
@@ -346,9 +349,9 @@ def share_aggregates(column: str, values: Sequence[str], prefix: str) -> list[Co
     ]
 
 
-def top_values(tx: DataFrame, keys: dict[str, Column]) -> DataFrame:
+def top_values(tx: DataFrame, keys: dict[str, Column], dealt: bool = False) -> DataFrame:
     """Most frequent known value per customer for each key, the smaller value on ties."""
-    counts = _entries(tx, keys)
+    counts = _entries(tx, keys, dealt)
     best = [
         F.min(F.when(F.col("kind") == name, F.struct((-F.col("n")).alias("less"), "value")))["value"].alias(name)
         for name in keys
@@ -482,13 +485,13 @@ def order_features(orders: DataFrame, ref: Column, years: tuple[int, int]) -> Da
     )
 
 
-def item_features(tx: DataFrame, categories: Sequence[str], seasons: Sequence[str]) -> DataFrame:
+def item_features(tx: DataFrame, categories: Sequence[str], seasons: Sequence[str], dealt: bool = False) -> DataFrame:
     """All item-grain features: one aggregate over items, one over their keys, one over the shares of brands."""
     pivots = [*share_aggregates("category", categories, "cat"), *share_aggregates("season", seasons, "season")]
     plain = customer_aggregate(tx, [*preference_aggregates(), item_price_aggregate(), *pivots])
-    brands = shares(tx, ["brand"]).groupBy(CUST).agg(F.count("value").alias("n_unique_brands"), *brand_aggregates())
+    brands = shares(tx, ["brand"], dealt).groupBy(CUST).agg(F.count("value").alias("n_unique_brands"), *brand_aggregates())
     others = {name: column for name, column in VARIETY.items() if column != "brand"}
-    return plain.join(distinct_values(tx, others), CUST, "left").join(brands, CUST, "left").na.fill(0, subset=list(VARIETY))
+    return plain.join(distinct_values(tx, others, dealt), CUST, "left").join(brands, CUST, "left").na.fill(0, subset=list(VARIETY))
 
 
 def feature_matrix(
@@ -498,10 +501,11 @@ def feature_matrix(
     years: tuple[int, int],
     categories: Sequence[str],
     seasons: Sequence[str],
+    dealt: bool = False,
 ) -> DataFrame:
-    """One row per customer: 101 fixed features plus one column per category and season."""
+    """One row per customer: 101 fixed features plus one column per category and season. ``dealt``: both tables are dealt by customer."""
     base = order_features(orders, ref, years).join(
-        item_features(tx, categories, seasons), CUST, "left"
+        item_features(tx, categories, seasons, dealt), CUST, "left"
     )
     return cycle_columns(intensity_columns(velocity_columns(growth_columns(base))))
 

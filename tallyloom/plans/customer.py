@@ -9,7 +9,7 @@ from tallyloom.functions.scalars import flag, ratio, rounded
 from tallyloom.operators import customer as cv
 from tallyloom.operators.ordering import average_rank, selected_quantiles
 from tallyloom.plans.registry import query, with_sql
-from tallyloom.session import written
+from tallyloom.session import dealt, written
 from tallyloom.sources import bindings as b
 from tallyloom.sources.bindings import TX_SQL, YEAR1, YEAR2
 
@@ -233,11 +233,18 @@ def kept_transactions(spark: SparkSession, sf: str, columns=None) -> DataFrame:
     return written(b.transactions(spark, sf).select(*(columns or ["*"])), "transactions")
 
 
-def features(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole feature matrix over the written transaction and order tables."""
-    tx = kept_transactions(spark, sf, [*ITEM_COLUMNS, "sale_id", "sale_discount", "returned_to"])
-    orders = written(cv.order_rollup(tx), "orders")
-    return cv.feature_matrix(tx, orders, cv.as_of(orders), YEARS, b.CATEGORIES, b.SEASONS)
+def dealt_lines(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """What features read of the item rows of known customers, and further columns, written and dealt by customer: nothing that is
+    computed per customer moves items again. Items of unknown products are in it too, with ``listed`` null."""
+    lines = b.transactions(spark, sf, every=True).where(F.col("cust_id").isNotNull())
+    return dealt(lines.select(*ITEM_COLUMNS, "sale_id", "sale_discount", "returned_to", "listed", *columns), "lines", "cust_id")
+
+
+def features(spark: SparkSession, sf: str, lines: DataFrame | None = None) -> DataFrame:
+    """The whole feature matrix over the transaction and order tables, dealt by customer; ``lines`` may give the items."""
+    tx = (dealt_lines(spark, sf) if lines is None else lines).where("listed")
+    orders = dealt(cv.order_rollup(tx), "orders", "cust_id")
+    return cv.feature_matrix(tx, orders, cv.as_of(orders), YEARS, b.CATEGORIES, b.SEASONS, dealt=True)
 
 
 # --- preparation ------------------------------------------------------------------------------
@@ -539,14 +546,15 @@ def _(spark, sf):
     return rounded(encoding_input(spark, sf))
 
 
-def encoding_input(spark: SparkSession, sf: str) -> DataFrame:
-    """All labelled customers with their log target and the five encoding keys."""
-    tx = b.transactions(spark, sf)
+def encoding_input(spark: SparkSession, sf: str, lines: DataFrame | None = None) -> DataFrame:
+    """All labelled customers with their log target and the five encoding keys; ``lines`` may give the items, dealt by customer."""
+    kept = lines is not None
+    tx = lines.where("listed") if kept else b.transactions(spark, sf)
     labels = b.revenue_labels(spark, sf).select(
         "cust_id", F.log1p(F.greatest("revenue_label", F.lit(0.0))).alias("y_log")
     )
-    keyed = cv.merge_labels(labels, cv.top_values(tx, cv.encoding_keys(YEAR2)))
-    return cv.merge_labels(keyed, cv.acquisition_cohort(b.order_lines(spark, sf)))
+    keyed = cv.merge_labels(labels, cv.top_values(tx, cv.encoding_keys(YEAR2), kept))
+    return cv.merge_labels(keyed, cv.acquisition_cohort(lines if kept else b.order_lines(spark, sf)))
 
 
 @query("interpurchase_gaps", with_sql(FEAT_SQL, select="SELECT * FROM gap"))

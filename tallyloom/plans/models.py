@@ -8,7 +8,7 @@ from tallyloom.operators import boosting as bo
 from tallyloom.operators import customer as cv
 from tallyloom.operators import models as ml
 from tallyloom.operators import sampling as sa
-from tallyloom.plans.customer import FIXED_COLUMNS, G_PIVOT, encoding_input, features
+from tallyloom.plans.customer import FIXED_COLUMNS, G_PIVOT, dealt_lines, encoding_input, features
 from tallyloom.plans.registry import query, with_sql
 from tallyloom.plans.sampling import KEYS
 from tallyloom.session import written
@@ -21,19 +21,22 @@ NULLABLE = ["avg_ipt", "std_ipt", "std_order_val"]
 def labelled(spark, sf):
     """Customers with label, part, fold, validation mark and the vector of all features, the five target encodings
     included: out of fold for training rows, from all training rows for the test part. Written once, since
-    fits scan it often."""
+    fits scan it often; features, the widest part, come last, so their rows travel in no join, fold or split."""
     names = [*FIXED_COLUMNS, *G_PIVOT[0]]
     encoded = [f"te_{k}" for k in KEYS]
-    rows = cv.merge_labels(b.revenue_labels(spark, sf), features(spark, sf))
-    rows = rows.withColumns({c: F.col(c).cast("double") for c in names}).select("cust_id", "revenue_label", "part", *names)
-    keyed = written(sa.kfold(encoding_input(spark, sf).join(rows.select("cust_id", "part"), "cust_id"), "cust_id", 5, sa.hashed("cust_id", 7)), "keys")
+    lines = dealt_lines(spark, sf, "fine_category")
+    labels = b.revenue_labels(spark, sf)
+    keyed = encoding_input(spark, sf, lines).join(labels.select("cust_id", "part"), "cust_id")
+    keyed = written(sa.kfold(written(keyed, "encoding"), "cust_id", 5, sa.hashed("cust_id", 7)), "keys")
     train = keyed.where(F.col("part") == "train")
     codes = sa.encode_out_of_fold(train, "cust_id", KEYS, "y_log").select("cust_id", "fold", *encoded).unionByName(
         sa.encode_full(train, keyed.where(F.col("part") == "test"), "cust_id", KEYS, "y_log").select("cust_id", "fold", *encoded)
     )
-    rows = rows.join(codes, "cust_id").withColumn("spends", F.col("revenue_label") > 0)
+    rows = written(labels.join(codes, "cust_id").withColumn("spends", F.col("revenue_label") > 0), "encoded")
     parts = {"fit": 0.8, "validate": 0.2}
     rows = sa.stratified_split(rows, "spends", "cust_id", parts, sa.hashed("cust_id", 42)).withColumn("held", F.col("split") == "validate")
+    wide = features(spark, sf, lines).select("cust_id", *[F.col(c).cast("double").alias(c) for c in names])
+    rows = cv.merge_labels(rows, wide)
     keep = ["cust_id", "revenue_label", "part", "fold", "held"]
     return ml.model_rows(rows, keep, [*names, *encoded], NULLABLE)
 

@@ -65,8 +65,9 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Item rows with product attributes: the flat transaction table."""
+def transactions(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """Item rows with product attributes: the flat transaction table. With ``every`` also those of unknown products, where
+    the flag ``listed`` is null."""
     words = F.split("p_name", " ")
     parts = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("prod_id"),
@@ -78,9 +79,8 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("p_type") == "PROMO").cast("int").alias("outlet"),
     )
     season = F.concat(F.lit("S"), F.quarter("pack_date").cast("string"))
-    return (
-        order_lines(spark, sf_dir).withColumn("season", season).join(parts, "prod_id")
-    )
+    lines = order_lines(spark, sf_dir).withColumn("season", season)
+    return lines.join(parts.withColumn("listed", F.lit(True)), "prod_id", "left") if every else lines.join(parts, "prod_id")
 
 
 def revenue_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,3 +151,46 @@ def test_counts_of_values_begin_with_rows_dealt_over_all_partitions(spark):
     assert f"{bucket_count(tx)}), REPARTITION_BY_NUM" in entries._jdf.queryExecution().toString()
     got = {(r.cust_id, r.kind, r.value): r.n for r in entries.collect()}
     assert got == {**{(1, "brand", f"b{i}"): 100 for i in range(7)}, (1, "category", "c"): 700, (2, "brand", "x"): 1}
+
+
+def _moves(df):
+    """Shuffles by customer in a plan, those of the ranges of medians aside."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning(cust_id" in line and "_bucket" not in line]
+
+
+def test_features_of_dealt_tables_move_no_rows_by_customer(spark, tx, orders, matrix):
+    from tallyloom.session import dealt
+
+    lines = dealt(tx.where("cust_id is not null"), "lines", "cust_id")
+    made = dealt(cv.order_rollup(lines), "orders", "cust_id")
+    df = cv.feature_matrix(lines, made, cv.as_of(made), (1999, 2000), ["C", "c"], ["S1", "S2"], dealt=True)
+    assert not _moves(df) and not _moves(cv.top_values(lines, cv.encoding_keys(2000), dealt=True))
+    assert _moves(cv.feature_matrix(tx, orders, cv.as_of(orders), (1999, 2000), ["C", "c"], ["S1", "S2"]))
+    short = lambda row: {c: round(v, 9) if isinstance(v, float) else v for c, v in row.items()}
+    assert {r.cust_id: short(r.asDict()) for r in df.collect()} == {c: short(row) for c, row in matrix.items()}
+    assert not spark.sql("SHOW TABLES LIKE 'tallyloom*'").count()  # scratch tables leave no names behind
+
+
+def test_kept_lines_give_the_same_encoding_keys(spark, tmp_path):
+    """Items of unknown products count for the cohort only, items and customers without a key nowhere."""
+    from tallyloom.plans.customer import dealt_lines, encoding_input
+
+    day = lambda text: dt.datetime.fromisoformat(text)
+    tables = {
+        "customer": ([(1,), (2,), (3,), (3,), (None,)], "c_custkey long"),
+        "orders": ([(10, 1, 5.0, day("1999-01-05")), (11, 1, 7.0, day("2000-06-01")), (12, 2, 1.0, day("1999-08-01")),
+                    (13, None, 1.0, day("1999-08-01")), (14, 3, 9.0, day("2001-02-01")), (None, 2, 1.0, day("1998-01-01"))],
+                   "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp"),
+        "part": ([(7, "red shoe x", "B1", "PROMO", 3), (8, "blue hat", "B2", "SMALL", 4)],
+                 "p_partkey long, p_name string, p_brand string, p_type string, p_size int"),
+        "lineitem": ([(o, p, 1, 2.0, 0.5, "R", "O", day("1999-01-06")) for o, p in
+                      [(10, 99), (11, 7), (11, 8), (11, 7), (12, 99), (12, None), (13, 7), (14, 8), (None, 7)]],
+                     "l_orderkey long, l_partkey long, l_suppkey long, l_extendedprice double, l_discount double, l_returnflag string,"
+                     " l_linestatus string, l_shipdate timestamp"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    plain = lambda df: sorted(map(str, df.collect()))
+    got = plain(encoding_input(spark, str(tmp_path), dealt_lines(spark, str(tmp_path), "fine_category")))
+    assert got == plain(encoding_input(spark, str(tmp_path))) and len(got) == 5 and "1999Q1" in got[0] and "top_brand='B1'" in got[0]
