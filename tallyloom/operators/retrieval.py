@@ -105,18 +105,19 @@ def _block_best(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, items: n
     return _keep_best(found, k)
 
 
-#: Blocks that a side is cut into for the sake of parallel work, before they have their full size.
-SPREAD = 32
+#: Blocks that a side is cut into for the sake of parallel work, before they have their full size: at most SPREAD where the
+#: other side is one block, and about EACH where both sides have several, since every block of one meets every block of the other.
+SPREAD, EACH = 32, 8
 #: Cosines that a task holds at once, in a few copies of 16 MB.
 TOGETHER = 1 << 21
 
 
-def _block_count(df: DataFrame, size: int) -> Column:
+def block_count(df: DataFrame, size: int, spread: Column | int = SPREAD) -> Column:
     """Blocks of at most about ``size`` rows, as a scalar the plan computes itself: eight times as many of a side that
-    is small, up to SPREAD, since every block of one side is copied once per block of the other."""
-    n = F.count(F.lit(1))
+    is small, up to ``spread``, since every block of one side is copied once per block of the other."""
+    n = df.agg(F.count(F.lit(1))).scalar()
     most, few = F.ceil(n / F.lit(float(size))), F.ceil(n / F.lit(max(1.0, size / 8.0)))
-    return F.greatest(F.lit(1), df.agg(F.greatest(most, F.least(few, F.lit(SPREAD))).cast("int")).scalar())
+    return F.greatest(F.lit(1), most, F.least(few, F.lit(spread) if isinstance(spread, int) else spread)).cast("int")
 
 
 def _products(asked: DataFrame, held: DataFrame, keys: Sequence[str], k: int, exclude_self: bool) -> DataFrame:
@@ -153,14 +154,16 @@ def cosine_topk(
     k: int = 20,
     exclude_self: bool = False,
     block: int = 65_536,
-    query_block: int = 8192,
+    query_block: int = 32_768,
 ) -> DataFrame:
     """Exact k nearest items per query: qid, id, similarity = max(0, cosine), rank.
 
     Items and queries are cut into blocks of bounded size by hash; every pair of blocks is one
-    task's matrix product, and only the best k per query leave it. Ties are settled by id.
+    task's matrix product, and only the best k per query leave it. Ties are settled by id. What travels grows with the
+    number of blocks: every vector once per block of the other side, and k rows per query and block of items.
     """
-    ni, nq = _block_count(items, block), _block_count(queries, query_block)
+    nq = block_count(queries, query_block, EACH)
+    ni = block_count(items, block, F.greatest(F.lit(EACH), F.ceil(F.lit(float(SPREAD)) / nq)))
     held = items.select(
         "id", "vec", F.pmod(F.xxhash64("id"), ni).cast("int").alias("ib"), F.explode(F.sequence(F.lit(0), nq - 1)).alias("qb")
     )

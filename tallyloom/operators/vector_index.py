@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.operators.retrieval import cosine_topk, places, shortlist, unit_rows
+from tallyloom.operators.retrieval import block_count, cosine_topk, places, shortlist, unit_rows
 from tallyloom.session import written
 
 #: Items that an index learns from at most.
@@ -140,8 +140,8 @@ def build_index(items: DataFrame, k: int = 20, cells: int = 64, recall: float =
                 of, codes = shared.value.encode(unit_rows(frame["vec"]))
                 yield pd.DataFrame({"id": frame["id"], "cell": of.astype(np.int32), "code": [c.tobytes() for c in codes], "vec": frame["vec"]})
 
-    kept = items.select("id", F.col("vec").cast("array<double>").alias("vec"))
-    coded = written(kept.mapInPandas(encode, "id string, cell int, code binary, vec array<double>"), "vector-index")
+    kind = items.schema["vec"].dataType.simpleString()  # floats stay floats: vectors of survivors are most of what travels
+    coded = written(items.select("id", "vec").mapInPandas(encode, f"id string, cell int, code binary, vec {kind}"), "vector-index")
     sizes = np.zeros(len(quantiser.centres), np.int64)
     for r in coded.groupBy("cell").count().collect():  # one row per cell
         sizes[r["cell"]] = r["count"]
@@ -172,12 +172,13 @@ def _visits(order: np.ndarray, index_sizes: np.ndarray, probes: int, need: int)
 
 
 def indexed_topk(
-    queries: DataFrame, index: VectorIndex, k: int = 20, exclude_self: bool = False, block: int = 65_536, query_block: int = 1024
+    queries: DataFrame, index: VectorIndex, k: int = 20, exclude_self: bool = False, block: int = 1 << 18, query_block: int = 65_536
 ) -> DataFrame:
     """Approximate k nearest items per query: qid, id, similarity = max(0, cosine), rank.
 
     A query meets the blocks that hold cells it visits; codes travel once per query block, whole vectors only for
     survivors. A query visits further cells until these hold enough items, so none gets fewer than k if there are k.
+    Items have larger blocks than queries: of every block that a query meets its survivors travel, of queries four bytes per dimension.
     """
     spark = queries.sparkSession
     keep = int(np.ceil(index.survivors * k)) + int(exclude_self)
@@ -190,17 +191,24 @@ def indexed_topk(
         for frame in frames:
             if not len(frame):
                 continue
-            near = unit_rows(frame["vec"]) @ quantiser.centres.T
+            unit = unit_rows(frame["vec"])
+            near = unit @ quantiser.centres.T
             order = np.argsort(-near, axis=1, kind="stable")
             many = _visits(order, sizes, probes, keep)
-            cells = [row[:n].astype(np.int32) for row, n in zip(order, many.tolist())]
+            cells = [row[:n] for row, n in zip(order, many.tolist())]
             to = [np.unique(np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in own])) for own in cells]
-            yield pd.DataFrame({"qid": frame["qid"], "_vec": frame["vec"], "_cells": cells, "_blocks": to})
-
-    asked = queries.select(F.col("qid").cast("bigint"), F.col("vec").cast("array<double>").alias("vec"))
-    turns = F.greatest(F.lit(1), queries.agg(F.ceil(F.count(F.lit(1)) / F.lit(float(query_block))).cast("int")).scalar())
-    asked = asked.mapInPandas(place, "qid bigint, _vec array<double>, _cells array<int>, _blocks array<bigint>").select(
-        "qid", "_vec", "_cells", F.explode("_blocks").alias("_to"), F.pmod(F.xxhash64("qid"), turns).cast("int").alias("_turn")
+            visited = np.zeros(near.shape, bool)
+            for row, own in enumerate(cells):
+                visited[row, own] = True
+            yield pd.DataFrame({
+                "qid": frame["qid"], "_unit": [v.tobytes() for v in unit.astype(np.float32)],
+                "_cells": [v.tobytes() for v in np.packbits(visited, axis=1)], "_blocks": to,
+            })
+
+    asked = queries.select(F.col("qid").cast("bigint"), "vec")
+    turns = block_count(queries, query_block)
+    asked = asked.mapInPandas(place, "qid bigint, _unit binary, _cells binary, _blocks array<bigint>").select(
+        "qid", "_unit", "_cells", F.explode("_blocks").alias("_to"), F.pmod(F.xxhash64("qid"), turns).cast("int").alias("_turn")
     )
     cell_block = F.element_at(F.array(*[F.lit(int(x)) for x in first]), F.col("cell") + 1)
     cell_parts = F.element_at(F.array(*[F.lit(int(x)) for x in parts]), F.col("cell") + 1)
@@ -216,10 +224,10 @@ def indexed_topk(
         i = i.sort_values("cell", kind="stable")  # items of a cell lie side by side
         cells = i["cell"].to_numpy(np.int64)
         codes = np.frombuffer(b"".join(i["code"]), np.uint8).reshape(len(i), -1)
-        visited = np.zeros((len(q), len(quantiser.centres)), bool)
-        for row, own in enumerate(q["_cells"]):
-            visited[row, own] = True
-        vectors, qids, ids = unit_rows(q["_vec"]).astype(np.float32), q["qid"].to_numpy(np.int64), i["id"].to_numpy(object)
+        visited = np.frombuffer(b"".join(q["_cells"]), np.uint8).reshape(len(q), -1)
+        visited = np.unpackbits(visited, axis=1, count=len(quantiser.centres)).astype(bool)
+        vectors = np.frombuffer(b"".join(q["_unit"]), np.float32).reshape(len(q), -1)
+        qids, ids = q["qid"].to_numpy(np.int64), i["id"].to_numpy(object)
         decoded = quantiser.decode(cells, codes)
         here, begin = np.unique(cells, return_index=True)
         spans = list(zip(here.tolist(), begin.tolist(), [*begin[1:].tolist(), len(cells)]))
@@ -241,7 +249,7 @@ def indexed_topk(
     near = near.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= keep).select("qid", "id")
     if exclude_self:
         near = near.where(F.col("qid").cast("string") != F.col("id"))
-    own = queries.select(F.col("qid").cast("bigint"), F.col("vec").cast("array<double>").alias("_q"))
+    own = queries.select(F.col("qid").cast("bigint"), F.col("vec").alias("_q"))
     both = near.join(index.items.select("id", "vec"), "id").join(own, "qid").select("qid", "id", "_q", "vec")
 
     def rescore(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

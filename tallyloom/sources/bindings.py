@@ -234,16 +234,16 @@ mention AS MATERIALIZED (
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items (id text, vec array<double>)."""
+    """Items (id text, vec array<float>)."""
     return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vec")
+        F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vec")
     )
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector also serves as a query (qid bigint, vec)."""
     return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("qid"), F.col("embedding").cast("array<double>").alias("vec")
+        F.col("vec_id").alias("qid"), F.col("embedding").alias("vec")
     )
 
 

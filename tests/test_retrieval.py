@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.operators import retrieval as rt
 from tallyloom.operators import text_space as ts
@@ -54,6 +55,20 @@ def test_search_paths_equal_brute_force(spark, monkeypatch, vectors, block, quer
         assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]])
 
 
+def test_vectors_travel_once_per_block_of_the_other_side(spark, monkeypatch, vectors):
+    """Two sides of several blocks are cut no further than the work needs; one small block of queries meets many blocks of items."""
+    sent = {}
+    products = rt._products
+    monkeypatch.setattr(rt, "_products", lambda asked, held, *more: sent.update(asked=asked, held=held) or products(asked, held, *more))
+    queries, items = tables(spark, vectors)
+    found = rt.cosine_topk(queries, items, 5, False, 64, 32)
+    assert sent["held"].count() == sent["asked"].count() == 8 * 150 and found.count() == 5 * 150
+    rt.cosine_topk(queries.where("qid = 1"), items, 5, False, 64, 32)
+    assert sent["held"].count() == 150 and sent["asked"].count() == 19
+    rt.cosine_topk(queries, items, 5, False, 10, 10)
+    assert sent["held"].count() == sent["asked"].count() == 15 * 150
+
+
 def test_fewer_items_than_k(spark):
     queries, items = tables(spark, np.eye(3))
     got = collected(rt.cosine_topk(queries, items, 20))
@@ -84,6 +99,17 @@ def test_index_finds_most_neighbours_and_reads_few_items(spark, clustered, block
         assert len({i for i, _ in rows}) == len(rows) and str(q) not in dict(rows)
 
 
+def test_index_moves_floats_as_floats_and_queries_as_bytes(spark, clustered):
+    queries, items = tables(spark, clustered.astype(np.float32))
+    short = [df.withColumn("vec", F.col("vec").cast("array<float>")) for df in (queries, items)]
+    index = vi.build_index(short[1], 10, cells=20)
+    assert index.items.schema["vec"].dataType.elementType.typeName() == "float"
+    found = vi.indexed_topk(short[0], index, 10, True, 300, 300)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_unit#" in plan and "_vec#" not in plan and "array<double>" not in plan
+    assert collected(found) == collected(vi.indexed_topk(queries, vi.build_index(items, 10, cells=20), 10, True, 300, 300))
+
+
 def test_index_without_clusters_reads_few_whole_vectors(spark):
     data = np.random.default_rng(9).normal(size=(1500, 32))
     queries, items = tables(spark, data)
